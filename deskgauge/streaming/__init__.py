@@ -1,0 +1,5 @@
+"""Deliberately empty.
+
+Every result is computed from a batch snapshot (see ``sources.snapshots``);
+no operator in the inventory is a stream operator, so none is built here.
+"""
