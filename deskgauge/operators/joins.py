@@ -1,14 +1,16 @@
 """Join helpers shared by the feature and rule operators.
 
-No join here carries a broadcast hint.  Spark broadcasts a side by itself
-when its measured size is below ``spark.sql.autoBroadcastJoinThreshold`` and
-shuffles it otherwise, and adaptive execution splits the partitions of a hot
-key, so a lookup table that outgrows memory changes the plan, not the job.
+Joins with data of unknown size carry no broadcast hint.  Spark broadcasts a
+side by itself when its measured size is below
+``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise, and
+adaptive execution splits the partitions of a hot key, so a lookup table that
+outgrows memory changes the plan, not the job.  The one hint, in
+:func:`reduce_to`, is for the ids of a top-k result, which k bounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 class ColumnCollision(ValueError):
@@ -35,6 +37,15 @@ def actions_of(actions: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
+def reduce_to(df: DataFrame, key: str, top: DataFrame, top_key: str) -> DataFrame:
+    """Rows of ``df`` that belong to a top-k result, found without a shuffle.
+
+    ``top`` must come from ``limit``: its ids are broadcast.
+    """
+    ids = F.broadcast(top.select(F.col(top_key).alias("_kept")))
+    return df.join(ids, df[key] == ids["_kept"], "left_semi")
+
+
 def unclassified(tickets: DataFrame, classification: DataFrame) -> DataFrame:
     """Tickets without a classification row."""
     known = classification.select("AP_REQUEST_ID")

@@ -73,23 +73,30 @@ def header(df: DataFrame) -> list[dict]:
     ]
 
 
-def _soonest(tickets: DataFrame, rows: int) -> DataFrame:
-    # sort + limit is one TakeOrderedAndProject: each task keeps `rows` rows.
+def soonest(tickets: DataFrame, rows: int = TOP_ROWS) -> DataFrame:
+    """The tickets whose resolution date comes first.
+
+    Sort and limit are one TakeOrderedAndProject: each task keeps ``rows`` rows.
+    """
     return tickets.orderBy(
         F.col("AP_SD_MAX_RESOLUTION_DATE").asc_nulls_last(), "AP_SD_REQUEST_ID"
-    ).limit(rows).withColumn(
+    ).limit(rows)
+
+
+def _show_location(tickets: DataFrame) -> DataFrame:
+    return tickets.withColumn(
         "AP_SD_RECIPIENT_LOCATION_RH",
         X.display_location(F.col("AP_SD_RECIPIENT_LOCATION_RH")),
     )
 
 
 def mail_table(tickets: DataFrame, rows: int = TOP_ROWS) -> DataFrame:
-    return with_header(_soonest(tickets, rows), MAIL_TABLE)
+    return with_header(_show_location(soonest(tickets, rows)), MAIL_TABLE)
 
 
 def expiration_table(tickets: DataFrame, rows: int = TOP_ROWS) -> DataFrame:
     """Soonest to expire; the caller filters with ``selectors.is_unexpired``."""
-    table = _soonest(tickets, rows).withColumn(
+    table = _show_location(soonest(tickets, rows)).withColumn(
         "AP_SD_MAX_RESOLUTION_DATE",
         XT.short_text(XT.local(F.col("AP_SD_MAX_RESOLUTION_DATE"))),
     )

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deskgauge.functions import time as XT
 from deskgauge.operators import classification as C
-from deskgauge.operators import cleaning, events, features, reports, rules, scoring
+from deskgauge.operators import (
+    cleaning, events, features, joins, reports, rules, scoring,
+)
 from deskgauge.operators import selectors as S
 
 Selector = Callable[[], Column]
@@ -90,6 +92,29 @@ def _full(desk: Desk, tickets: DataFrame, tech_filter: str | None, now: Column,
     return desk.classify(_score(desk, tickets, now))
 
 
+def _soonest(desk: Desk, tickets: DataFrame, tech_filter: str | None) -> DataFrame:
+    """The soonest tickets with technician and type label.
+
+    Without a technician filter the order depends on ticket columns only, so
+    the tickets are cut first, and only the actions and classification rows
+    of the few that remain are aggregated and joined.
+    """
+    actions, known = desk.clean_actions(), desk.classification
+    if tech_filter:
+        tickets = features.with_technician(tickets, actions, tech_filter)
+        tickets = reports.soonest(tickets)
+    else:
+        tickets = reports.soonest(tickets)
+        actions = joins.reduce_to(
+            actions, features.ACTION_TICKET_ID, tickets, features.TICKET_ID
+        )
+        tickets = features.with_technician(tickets, actions)
+    if "AP_TYPE_FR" in tickets.columns:
+        return tickets
+    known = joins.reduce_to(known, "AP_REQUEST_ID", tickets, features.TICKET_ID)
+    return C.with_classification(tickets, known, desk.intervention_types)
+
+
 def _rows(desk: Desk, tickets: DataFrame, tech_filter: str | None) -> DataFrame:
     return reports.format_rows(_full(desk, tickets, tech_filter, desk.now))
 
@@ -188,10 +213,7 @@ def _not_recontacted(desk: Desk) -> DataFrame:
 
 
 def suspended_mail_table(desk: Desk, tech_filter: str | None = None) -> DataFrame:
-    tickets = features.with_technician(
-        _not_recontacted(desk), desk.clean_actions(), tech_filter
-    )
-    return reports.mail_table(desk.classify(tickets))
+    return reports.mail_table(_soonest(desk, _not_recontacted(desk), tech_filter))
 
 
 def suspended_mail_rows(desk: Desk, tech_filter: str | None = None) -> DataFrame:
@@ -276,10 +298,7 @@ def tickets_by_expiration(desk: Desk, inter_type: str | None = None,
                           tech_filter: str | None = None) -> DataFrame:
     """``inter_type`` narrows the table to a segment; default all."""
     tickets = _flow_tickets(desk, inter_type).filter(S.is_unexpired(desk.now))
-    tickets = features.with_technician(tickets, desk.clean_actions(), tech_filter)
-    if "AP_TYPE_FR" not in tickets.columns:
-        tickets = desk.classify(tickets)
-    return reports.expiration_table(tickets)
+    return reports.expiration_table(_soonest(desk, tickets, tech_filter))
 
 
 def technician_table(desk: Desk) -> DataFrame:
