@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from deskgauge import constants as K
 from deskgauge import schemas
 from deskgauge.functions import time as XT
+from deskgauge.functions.text import sql_text
 from deskgauge.plans.flows import Desk
 from deskgauge.sources.extracts import ServiceDesk
 
@@ -37,37 +38,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(selector: Column, values, other=None) -> Column:
+def _pick(selector: str, values, other=None) -> Column:
     """``values[selector]``, or ``other`` beyond the list."""
-    chain = F.lit(other)
+    def shown(value):
+        if value is None:
+            return "NULL"
+        return sql_text(value) if isinstance(value, str) else str(value)
+
     pairs = values.items() if isinstance(values, dict) else enumerate(values)
-    for key, value in pairs:
-        chain = F.when(selector == key, F.lit(value)).otherwise(chain)
-    return chain
+    branches = " ".join(f"WHEN {key} THEN {shown(value)}" for key, value in pairs)
+    return F.expr(f"CASE {selector} {branches} ELSE {shown(other)} END")
 
 
 def _padded(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), 9, "0"))
 
 
-def _rfc(k: Column) -> Column:
-    return F.concat(
-        F.when(k % 4 == 0, "D").otherwise("I"), F.lpad(k.cast("string"), 9, "0")
-    )
+def _rfc(k: str) -> Column:
+    return F.expr(f"concat(IF({k} % 4 = 0, 'D', 'I'), lpad(CAST({k} AS STRING), 9, '0'))")
 
 
 def _plus_minutes(date: Column, minutes: Column) -> Column:
     return F.timestamp_add("MINUTE", minutes.cast("bigint"), date)
 
 
-def _catalog(k: Column) -> Column:
-    return _pick(k % 20, (5535, 5687, 5564), 1000).cast("bigint")
+def _catalog(k: str) -> Column:
+    return _pick(f"{k} % 20", (5535, 5687, 5564), 1000).cast("bigint")
 
 
 def _complete(df: DataFrame, schema) -> DataFrame:
     """Missing columns of the schema as typed nulls, in schema order."""
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+    present = set(df.columns)
+    return df.selectExpr(*[
+        f"CAST({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
         for f in schema.fields
     ])
 
@@ -78,25 +81,24 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, date = F.col("o_orderkey"), F.col("o_orderdate")
     urgency = F.substring("o_orderpriority", 1, 1).cast("bigint")
     locations = (*K.LOCATIONS, None, UNKNOWN_SITE, UNKNOWN_SITE)
-    status = _pick(k % 9, STATUSES).cast("bigint")
+    status = _pick("o_orderkey % 9", STATUSES).cast("bigint")
     joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
     return _complete(joined.select(
         k.alias("REQUEST_ID"),
-        _rfc(k).alias("RFC_NUMBER"),
+        _rfc("o_orderkey").alias("RFC_NUMBER"),
         _plus_minutes(date, k % 1440).alias("SUBMIT_DATE_UT"),
         F.timestamp_add("DAY", (60 + k % 90).cast("bigint"), date).alias("MAX_RESOLUTION_DATE_UT"),
         status.alias("STATUS_ID"),
         F.concat(F.lit("Statut "), status.cast("string")).alias("STATUS_FR"),
         urgency.alias("URGENCY_ID"),
         F.when(urgency != 4, F.col("o_orderpriority")).alias("URGENCY_FR"),
-        _catalog(k).alias("SD_CATALOG_ID"),
-        F.coalesce(_pick(k % 50, (9926, 8696)).cast("bigint"), k % 50).alias("CI_ID"),
-        _pick(k % 40, CI_NAMES).alias("CI_NAME"),
-        F.when(k % 25 < len(COMMENTS), _pick(k % 25, COMMENTS))
-        .otherwise("<b>écran</b> noir").alias("COMMENT"),
+        _catalog("o_orderkey").alias("SD_CATALOG_ID"),
+        F.coalesce(_pick("o_orderkey % 50", (9926, 8696)).cast("bigint"), k % 50).alias("CI_ID"),
+        _pick("o_orderkey % 40", CI_NAMES).alias("CI_NAME"),
+        _pick("o_orderkey % 25", COMMENTS, "<b>écran</b> noir").alias("COMMENT"),
         _padded("Customer#", F.col("o_custkey") + 1).alias("REQUESTOR_LAST_NAME"),
         F.col("c_name").alias("RECIPIENT_LAST_NAME"),
-        _pick(k % 30, locations).alias("RECIPIENT_LOCATION_RH"),
+        _pick("o_orderkey % 30", locations).alias("RECIPIENT_LOCATION_RH"),
     ), schemas.TICKETS)
 
 
@@ -113,18 +115,25 @@ def _action_start() -> Column:
     return F.when((k + n) % 11 != 0, start)
 
 
+def _label(kind: Column) -> Column:
+    label = F.lit("Traitement")
+    for key, value in LABELS.items():
+        label = F.when(kind == key, value).otherwise(label)
+    return label
+
+
 def _note() -> Column:
-    return F.when(F.col("n") == 6, _pick(F.col("k") % 5, NOTES))
+    return F.when(F.col("n") == 6, _pick("k % 5", NOTES))
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("k"), F.col("n")
-    kind = _pick(n, ACTION_TYPES).cast("bigint")
+    kind = _pick("n", ACTION_TYPES).cast("bigint")
     return _complete(action_lines(spark, sf_dir).select(
         (k * 10 + n).alias("ACTION_ID"),
         k.alias("REQUEST_ID"),
-        _rfc(k).alias("RFC_NUMBER"),
-        _pick(kind, LABELS, "Traitement").alias("ACTION_LABEL_FR"),
+        _rfc("k").alias("RFC_NUMBER"),
+        _label(kind).alias("ACTION_LABEL_FR"),
         kind.alias("ACTION_TYPE_ID"),
         _action_start().alias("START_DATE_UT"),
         F.when(k % 13 != 0, _padded("Supplier#", F.col("supplier"))).alias("DONE_BY_NAME"),
@@ -136,7 +145,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").filter(k % 7 != 0).select(
-        k.alias("id"), k.alias("AP_REQUEST_ID"), _rfc(k).alias("AP_RFC_NUMBER"),
+        k.alias("id"), k.alias("AP_REQUEST_ID"), _rfc("o_orderkey").alias("AP_RFC_NUMBER"),
         (1 + F.col("o_custkey") % 16).alias("AP_INTERVENTION_TYPE"),
     )
 
@@ -184,13 +193,13 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*schemas.ANSWERS.names)
 
 
-def desk(spark: SparkSession, sf_dir: str) -> Desk:
+def desk(spark: SparkSession, sf_dir: str, with_answers: bool = False) -> Desk:
     return Desk(
         tickets=tickets(spark, sf_dir),
         actions=actions(spark, sf_dir),
         classification=classification(spark, sf_dir),
         intervention_types=intervention_types(spark),
-        answers=answers(spark, sf_dir),
+        answers=answers(spark, sf_dir) if with_answers else None,
         as_of=XT.moment(AS_OF),
         vip_names=VIP_NAMES,
     )
@@ -209,7 +218,7 @@ def sd_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(
         k.alias("REQUEST_ID"),
         (k - 1).alias("PARENT_REQUEST_ID"),
-        F.when(k % 29 != 0, _rfc(k)).alias("RFC_NUMBER"),
+        F.when(k % 29 != 0, _rfc("o_orderkey")).alias("RFC_NUMBER"),
         date.alias("CREATION_DATE_UT"),
         _plus_minutes(date, k % 1440).alias("SUBMIT_DATE_UT"),
         F.lit(None).cast("timestamp_ntz").alias("END_DATE_UT"),
@@ -220,8 +229,8 @@ def sd_request(spark: SparkSession, sf_dir: str) -> DataFrame:
         person.alias("RECIPIENT_ID"),
         (k % 5).alias("LOCATION_ID"),
         F.lit("0400000000").alias("REQUESTOR_PHONE"),
-        _catalog(k).alias("SD_CATALOG_ID"),
-        _pick(k % 9, STATUSES).cast("bigint").alias("STATUS_ID"),
+        _catalog("o_orderkey").alias("SD_CATALOG_ID"),
+        _pick("o_orderkey % 9", STATUSES).cast("bigint").alias("STATUS_ID"),
         F.lit("ticket").alias("COMMENT"),
         F.lit(None).cast("string").alias("DESCRIPTION"),
         F.substring("o_orderpriority", 1, 1).cast("bigint").alias("URGENCY_ID"),
@@ -248,13 +257,13 @@ def sd_request(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def am_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("k"), F.col("n")
-    kind = F.when((k % 19 == 0) & (n == 2), 23).otherwise(_pick(n, ACTION_TYPES))
+    kind = F.when((k % 19 == 0) & (n == 2), 23).otherwise(_pick("n", ACTION_TYPES))
     start = _action_start()
     lines = action_lines(spark, sf_dir).select(
         (k * 10 + n).alias("ACTION_ID"),
         k.alias("REQUEST_ID"),
         n.alias("ACTION_NUMBER"),
-        _pick(kind, LABELS, "Traitement").alias("ACTION_LABEL_FR"),
+        _label(kind).alias("ACTION_LABEL_FR"),
         kind.cast("bigint").alias("ACTION_TYPE_ID"),
         start.alias("START_DATE_UT"),
         _plus_minutes(start, F.lit(60)).alias("END_DATE_UT"),

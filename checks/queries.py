@@ -732,7 +732,7 @@ def component(name: str, part, points: str, words: str):
     def _(spark, sf):
         found = part()
         return aged(spark, sf).select(
-            ticket_id(), scoring.points_of(found).alias("points"), scoring.text_of(found).alias("words"))
+            ticket_id(), found.points().alias("points"), found.text().alias("words"))
 
 
 component("c1_since_creation", scoring.since_creation, "c1", "w1")
@@ -1024,7 +1024,7 @@ def _(spark, sf):
                      max(CASE WHEN question = 58 AND answer = 'Oui' THEN 1 ELSE 0 END) AS tel
               FROM an GROUP BY id)""")
 def _(spark, sf):
-    found = flows.employee_movement_calendar(adapter.desk(spark, sf))
+    found = flows.employee_movement_calendar(adapter.desk(spark, sf, with_answers=True))
     return found.select(
         F.col("extendedProps")["SPOT"].substr(2, 9).cast("bigint").alias("id"),
         F.col("color").alias("value"))
@@ -1124,6 +1124,12 @@ def flow(name: str, sql: str, run, flat=None):
         return flat(found) if flat else found
 
 
+@query("q1_employee_movement_calendar", _EMPLOYEE_SQL)
+def _(spark, sf):
+    desk = adapter.desk(spark, sf, with_answers=True)
+    return flat_employee(flows.employee_movement_calendar(desk))
+
+
 TECH = "hotline|supplier#00000000(1|3)"
 _TECH_WHERE = f"regexp_matches(done_by, '{TECH}', 'i')"
 _OBSERVED = "id IN (SELECT id FROM observed)"
@@ -1131,7 +1137,6 @@ _INSTALL = f"catalog_id IN ({O.values(K.CATALOG_SOFTWARE_INSTALL)})"
 _DUE = "status IN (39, 42) AND id IN (SELECT id FROM due_contact)"
 _OFTEN = "status IN (39, 42) AND urgency = 5 AND id IN (SELECT id FROM often_contacted)"
 
-flow("q1_employee_movement_calendar", _EMPLOYEE_SQL, flows.employee_movement_calendar, flat_employee)
 flow("q2_rdv_calendar", _RDV_EVENT_SQL, flows.rdv_calendar, flat_rdv)
 flow("q3_under_observation_rows", O.row_list(_OBSERVED), flows.under_observation_rows)
 flow("q4_under_observation_count", O.count(_OBSERVED), flows.under_observation_count)

@@ -56,6 +56,18 @@ def _accent_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single) + "".join(marks), "".join(single.values()), several
 
 
+def sql_text(value: str) -> str:
+    """SQL literal of a text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(entries: dict[str, str]) -> Column:
+    """A map literal, in one expression instead of one per entry."""
+    return F.expr("map(" + ", ".join(
+        sql_text(part) for entry in entries.items() for part in entry
+    ) + ")")
+
+
 def strip_accents(column: Column) -> Column:
     """Canonical decomposition without its nonspacing marks, without Python.
 
@@ -65,7 +77,7 @@ def strip_accents(column: Column) -> Column:
     is first expanded letter by letter.
     """
     letters, bases, several = _accent_tables()
-    pairs = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    pairs = literal_map(several)
 
     def expand(letter: Column) -> Column:
         index = F.ascii(letter) - _HANGUL_FIRST
@@ -82,7 +94,8 @@ def strip_accents(column: Column) -> Column:
             F.coalesce(F.try_element_at(pairs, letter), letter)
         )
 
-    needs_expanding = column.rlike("[" + "".join(several) + "가-힣]")
+    # Ranges around the letters to expand: expanding more text is harmless.
+    needs_expanding = column.rlike(r"[\x{980}-\x{1BFF}가-힣\x{11300}-\x{1D1FF}]")
     expanded = F.array_join(F.transform(F.split(column, ""), expand), "")
     stripped = F.translate(
         F.when(needs_expanding, expanded).otherwise(column), letters, bases
@@ -135,8 +148,8 @@ def blank_to_null(column: Column) -> Column:
 
 def display_location(column: Column) -> Column:
     """Known locations by their displayed name, others unchanged, null filled."""
-    names = F.create_map(*[F.lit(x) for pair in LOCATIONS.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, column), column, F.lit(FILL_LOCATION))
+    known = F.try_element_at(literal_map(LOCATIONS), column)
+    return F.coalesce(known, column, F.lit(FILL_LOCATION))
 
 
 def rdv_date_text(column: Column) -> Column:

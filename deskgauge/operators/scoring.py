@@ -1,4 +1,4 @@
-"""Ticket scoring: six components fused into one projection, no join."""
+"""Ticket scoring: six components per ticket, added up without a join."""
 
 from __future__ import annotations
 
@@ -18,80 +18,76 @@ NEEDED_COLUMNS = ("C_TICKET_TYPE", "C_TICKET_AGE", "C_LAST_ACTION_DATE",
                   "AP_SD_URGENCY_ID", "AP_SD_STATUS_ID")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Component:
-    """Points (0 where null) and the text that justifies them ('' where null)."""
+    """One part of the score.
 
-    points: Column
-    text: Column
+    ``grant`` is a struct (base, per_day, text), null where the part does not
+    apply; ``minutes`` names the duration whose whole days count, if any.  A
+    null duration gives no points at all, but keeps the text.
+    """
 
+    name: str
+    grant: Column
+    minutes: str | None = None
 
-def _by_rate(rates: dict, cell) -> Column:
-    """``cell(key, rate)`` of the rate row that fits urgency and type."""
-    chain = None
-    for (urgency, kind), rate in rates.items():
-        fits = (F.col("AP_SD_URGENCY_ID") == urgency) & (F.col("C_TICKET_TYPE") == kind)
-        value = cell((urgency, kind), rate)
-        chain = F.when(fits, value) if chain is None else chain.when(fits, value)
-    return chain
+    def points(self, grant: Column | None = None) -> Column:
+        grant = self.grant if grant is None else grant
+        points = grant["base"]
+        if self.minutes:
+            points = points + XT.whole_days(F.col(self.minutes)) * grant["per_day"]
+        return F.coalesce(points, F.lit(0)).cast("bigint")
 
+    def text(self, grant: Column | None = None) -> Column:
+        return F.coalesce((self.grant if grant is None else grant)["text"], F.lit(""))
 
-def _rated(rates: dict, minutes: Column, lead, reason: str,
-           applies: Column | None = None) -> Component:
-    days = XT.whole_days(minutes)
-    points = _by_rate(rates, lambda key, rate: rate[0] + days * rate[1])
-
-    def justify(key, rate):
-        urgency, kind = key
-        name = f"{K.TICKET_TYPE_NAMES[kind]}-{K.URGENCY_NAMES[urgency]}"
-        return F.lit(f"{lead(key, rate)}{rate[1]} pt/jour pour {name} {reason}")
-
-    text = _by_rate(rates, justify)
-    if applies is not None:
-        points, text = F.when(applies, points), F.when(applies, text)
-    return Component(points, text)
 
+def _grant(base: int, per_day: int, text: str) -> str:
+    return (f"named_struct('base', {base}L, 'per_day', {per_day}L, "
+            f"'text', {X.sql_text(text)})")
 
-def _plus(key, rate) -> str:
-    return "+"
 
-
-def _base_unless_normal(key, rate) -> str:
-    return "+" if key[0] == K.URGENCY_NORMAL else f"{rate[0]} base + "
+def _by_rate(rates: dict, reason: str, show_base: bool = False) -> Column:
+    """The grant of the rate that fits urgency and ticket type."""
+    branches = []
+    for (urgency, kind), (base, per_day) in rates.items():
+        lead = f"{base} base + " if show_base and urgency != K.URGENCY_NORMAL else "+"
+        name = f"{K.TICKET_TYPE_NAMES[kind]}-{K.URGENCY_NAMES[urgency]}"
+        text = f"{lead}{per_day} pt/jour pour {name} {reason}"
+        branches.append(f"WHEN AP_SD_URGENCY_ID = {urgency} AND C_TICKET_TYPE = {kind} "
+                        f"THEN {_grant(base, per_day, text)}")
+    return F.expr(f"CASE {' '.join(branches)} END")
 
 
 def since_creation() -> Component:
-    return _rated(K.RATE_SINCE_CREATION, F.col("C_TICKET_AGE"),
-                  _base_unless_normal, K.REASON_SINCE_CREATION)
+    grant = _by_rate(K.RATE_SINCE_CREATION, K.REASON_SINCE_CREATION, show_base=True)
+    return Component("since_creation", grant, "C_TICKET_AGE")
 
 
 def since_last_action() -> Component:
-    return _rated(K.RATE_SINCE_LAST_ACTION, F.col("C_LAST_ACTION_DATE"),
-                  _plus, K.REASON_SINCE_LAST_ACTION)
+    grant = _by_rate(K.RATE_SINCE_LAST_ACTION, K.REASON_SINCE_LAST_ACTION)
+    return Component("since_last_action", grant, "C_LAST_ACTION_DATE")
 
 
 def not_suspended() -> Component:
     running = ~X.member(F.col("AP_SD_STATUS_ID"), K.STATUS_SUSPENDED_FOR_SCORE)
-    return _rated(K.RATE_NOT_SUSPENDED, F.col("C_LAST_ACTION_DATE"),
-                  _plus, K.REASON_NOT_SUSPENDED, running)
-
-
-def _bonus(applies: Column, points: Column, text: str) -> Component:
-    return Component(F.when(applies, points), F.when(applies, F.lit(text)))
+    grant = F.when(running, _by_rate(K.RATE_NOT_SUSPENDED, K.REASON_NOT_SUSPENDED))
+    return Component("not_suspended", grant, "C_LAST_ACTION_DATE")
 
 
 def security() -> Component:
-    return _bonus(selectors.is_security(), F.lit(K.SECURITY_POINTS), K.SECURITY_TEXT)
+    grant = F.expr(_grant(K.SECURITY_POINTS, 0, K.SECURITY_TEXT))
+    return Component("security", F.when(selectors.is_security(), grant))
 
 
 def vip(vip_names: Sequence[str]) -> Component:
-    days = XT.whole_days(F.col("C_LAST_ACTION_DATE"))
-    points = K.VIP_BASE + days * K.VIP_PER_DAY
-    return _bonus(selectors.is_about(vip_names), points, K.VIP_TEXT)
+    grant = F.expr(_grant(K.VIP_BASE, K.VIP_PER_DAY, K.VIP_TEXT))
+    return Component("vip", F.when(selectors.is_about(vip_names), grant), "C_LAST_ACTION_DATE")
 
 
 def industrial() -> Component:
-    return _bonus(selectors.is_industrial(), F.lit(K.INDUSTRIAL_POINTS), K.INDUSTRIAL_TEXT)
+    grant = F.expr(_grant(K.INDUSTRIAL_POINTS, 0, K.INDUSTRIAL_TEXT))
+    return Component("industrial", F.when(selectors.is_industrial(), grant))
 
 
 def components(vip_names: Sequence[str] = ()) -> list[Component]:
@@ -99,23 +95,26 @@ def components(vip_names: Sequence[str] = ()) -> list[Component]:
             security(), vip(vip_names), industrial()]
 
 
-def points_of(component: Component) -> Column:
-    return F.coalesce(component.points, F.lit(0)).cast("bigint")
-
-
-def text_of(component: Component) -> Column:
-    return F.coalesce(component.text, F.lit(""))
-
-
 def with_score(tickets: DataFrame, vip_names: Sequence[str] = ()) -> DataFrame:
-    """Total points and the six justification texts, each after a separator."""
+    """Total points and the six justification texts, each after a separator.
+
+    The grants are columns of their own first, so that points and texts share
+    one evaluation of the patterns; no join and no shuffle is involved.
+    """
     require_columns(tickets, NEEDED_COLUMNS)
     parts = components(vip_names)
+    granted = {part: f"_{part.name}" for part in parts}
     pieces = [
-        piece for part in parts
-        for piece in (F.lit(K.JUSTIFICATION_SEPARATOR), text_of(part))
+        piece for part, name in granted.items()
+        for piece in (F.lit(K.JUSTIFICATION_SEPARATOR), part.text(F.col(name)))
     ]
-    return tickets.withColumns({
-        "C_POINTS": reduce(lambda a, b: a + b, map(points_of, parts)),
-        "C_POINTS_JUSTIFICATION": F.concat(*pieces),
-    })
+    points = [part.points(F.col(name)) for part, name in granted.items()]
+    return (
+        tickets
+        .withColumns({name: part.grant for part, name in granted.items()})
+        .withColumns({
+            "C_POINTS": reduce(lambda a, b: a + b, points),
+            "C_POINTS_JUSTIFICATION": F.concat(*pieces),
+        })
+        .drop(*granted.values())
+    )
