@@ -17,6 +17,7 @@ from deskgauge.constants import (
 )
 
 _IGNORE_CASE = "(?iu)"
+_BLANK = r"^[\s\x1C-\x1F\p{IsWhite_Space}]*$"
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 _CASE_IGNORABLE = r"\p{Mn}\p{Me}\p{Cf}\p{Lm}\p{Sk}'.:\x{B7}\x{2018}\x{2019}\x{2024}\x{2027}"
 
@@ -111,18 +112,33 @@ def strip_greeting(column: Column) -> Column:
     return F.regexp_replace(column, _IGNORE_CASE + PATTERN_GREETING, "")
 
 
+def never_null(condition: Column, *columns: Column) -> Column:
+    """The condition, false where one of ``columns`` is null.
+
+    Written with IS NOT NULL, not ``coalesce``, so that the condition and its
+    negation still reach the parquet reader and runtime filters.
+    """
+    for column in columns:
+        condition = column.isNotNull() & condition
+    return condition
+
+
 def matches(column: Column, pattern: str) -> Column:
     """Pattern found anywhere, ignoring case; null does not match."""
-    return F.coalesce(column.rlike(_IGNORE_CASE + pattern), F.lit(False))
+    return never_null(column.rlike(_IGNORE_CASE + pattern), column)
 
 
 def contains(column: Column, literal: str) -> Column:
-    return F.coalesce(column.contains(literal), F.lit(False))
+    return never_null(column.contains(literal), column)
+
+
+def startswith(column: Column, prefix: str) -> Column:
+    return never_null(column.startswith(prefix), column)
 
 
 def member(column: Column, values) -> Column:
     """``isin`` that is false, not null, for a null column."""
-    return F.coalesce(column.isin(*values), F.lit(False))
+    return never_null(column.isin(*values), column)
 
 
 def title_case(column: Column) -> Column:
@@ -143,7 +159,7 @@ def sentinel_to_null(column: Column) -> Column:
 
 
 def blank_to_null(column: Column) -> Column:
-    return F.when(column.rlike(r"^\s*$"), None).otherwise(column)
+    return F.when(column.rlike(_BLANK), None).otherwise(column)
 
 
 def display_location(column: Column) -> Column:
@@ -155,7 +171,3 @@ def display_location(column: Column) -> Column:
 def rdv_date_text(column: Column) -> Column:
     """First ``dd?MM?yyyy`` that follows a colon; null when there is none."""
     return F.nullif(F.regexp_extract(column, PATTERN_RDV_DATE, 1), F.lit(""))
-
-
-def startswith(column: Column, prefix: str) -> Column:
-    return F.coalesce(column.startswith(prefix), F.lit(False))

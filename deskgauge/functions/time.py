@@ -57,7 +57,7 @@ def as_utc(column: Column, data_type: T.DataType, pattern: str | None = None) ->
 
 def parse_day(text: Column) -> Column:
     """``dd/MM/yyyy`` text to midnight; null when it is not a real day."""
-    shape = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
+    shape = r"^(\d{1,2})/(\d{1,2})/(\d{4})\z"
     iso = F.regexp_replace(text, shape, "$3-$2-$1")
     return F.when(text.rlike(shape), iso.try_cast("date").cast("timestamp_ntz"))
 

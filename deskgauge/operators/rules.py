@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deskgauge import constants as K
+from deskgauge.functions import text as X
 from deskgauge.functions import time as XT
 from deskgauge.operators import features, joins, selectors
 
@@ -104,11 +105,12 @@ def is_suspended_too_long(as_of: Column, inter_type: str | None) -> Column:
     hotline = inter_type == HOTLINE
     kind = selectors.is_hotline() if hotline else selectors.is_proxy()
     grace = GRACE_DAYS_HOTLINE if hotline else GRACE_DAYS_PROXY
-    deadline = XT.add_business_days(XT.local(F.col("C_SUSPENDED_AT")), grace)
+    suspended_at = F.col("C_SUSPENDED_AT")
+    deadline = XT.add_business_days(XT.local(suspended_at), grace)
     return (
         selectors.is_suspended_by_technician()
         & kind
-        & F.coalesce(deadline < XT.local(as_of), F.lit(False))
+        & X.never_null(deadline < XT.local(as_of), suspended_at)
     )
 
 

@@ -97,9 +97,8 @@ def is_normal_urgency() -> Column:
 
 
 def is_unexpired(as_of: Column) -> Column:
-    return is_not_suspended() & F.coalesce(
-        F.col("AP_SD_MAX_RESOLUTION_DATE") > as_of, F.lit(False)
-    )
+    due = F.col("AP_SD_MAX_RESOLUTION_DATE")
+    return is_not_suspended() & X.never_null(due > as_of, due)
 
 
 def has_dated_rdv() -> Column:
