@@ -141,16 +141,22 @@ def _bin_step(span: Column, max_bins: int) -> Column:
 def histogram(df: DataFrame, value: Column, max_bins: int = MAX_BINS) -> DataFrame:
     """Rows per bin of ``value``; nulls are left out.
 
-    The range comes from one aggregate row, used as a scalar subquery.
+    Rows are first counted per value.  The range, a scalar subquery, and the
+    bins both read that count (the range looks at it, so that both need the
+    same columns), so Spark computes and shuffles it once.
     """
-    values = df.select(value.cast("double").alias("_value")).filter("_value IS NOT NULL")
-    span = (F.max("_value") - F.min("_value")).alias("span")
-    step = values.agg(span).select(_bin_step(F.col("span"), max_bins).alias("step")).scalar()
+    counted = (
+        df.select(value.cast("double").alias("_value")).filter("_value IS NOT NULL")
+        .groupBy("_value").agg(F.count("*").alias("_rows"))
+    )
+    seen = F.when(F.col("_rows") > 0, F.col("_value"))
+    span = counted.agg((F.max(seen) - F.min(seen)).alias("span"))
+    step = span.select(_bin_step(F.col("span"), max_bins).alias("step")).scalar()
+    start = F.floor(F.col("_value") / step) * step
     return (
-        values.select((F.floor(F.col("_value") / step) * step).alias("bin_start"),
-                      (F.floor(F.col("_value") / step) * step + step).alias("bin_end"))
+        counted.select(start.alias("bin_start"), (start + step).alias("bin_end"), "_rows")
         .groupBy("bin_start", "bin_end")
-        .agg(F.count("*").alias("total"))
+        .agg(F.sum("_rows").alias("total"))
         .orderBy("bin_start")
     )
 
