@@ -153,7 +153,7 @@ VIEWS: dict[str, str] = {
         SELECT CAST(range AS BIGINT) AS type_id, 'Type ' || CAST(range AS VARCHAR) AS type_name
         FROM range(1, 17)""",
     "an": """
-        SELECT id, rfc, catalog_id, q.* FROM (
+        SELECT id, rfc, catalog_id, CAST(q.question AS BIGINT) AS question, q.raw, q.answer FROM (
             SELECT id, rfc, catalog_id, unnest([
                 {'question': 45, 'raw': NULL, 'answer': 'dupont ' || CAST(id AS VARCHAR)},
                 {'question': 46, 'raw': NULL, 'answer': 'jean-pierre'},
@@ -289,7 +289,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN n <= 3 THEN 5 ELSE n + 1 END AS GROUP_ID
         FROM ra""",
     "sd_question": """
-        SELECT REQUEST_ID, q.question AS QUESTION_ID, q.raw AS RESULT, q.answer AS RESULT_STRING_FR FROM (
+        SELECT REQUEST_ID, CAST(q.question AS BIGINT) AS QUESTION_ID, q.raw AS RESULT, q.answer AS RESULT_STRING_FR FROM (
             SELECT REQUEST_ID, unnest([
                 {'question': 45, 'raw': NULL, 'answer': 'dupont ' || CAST(REQUEST_ID AS VARCHAR)},
                 {'question': 46, 'raw': NULL, 'answer': 'jean-pierre'},

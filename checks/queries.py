@@ -49,6 +49,11 @@ def action_id() -> Column:
     return F.col("AP_AM_ACTION_ID").alias("action_id")
 
 
+def nullable(name: str, alias: str) -> Column:
+    """An integer that may be null, as a double: both engines hand it to pandas alike."""
+    return F.col(name).cast("double").alias(alias)
+
+
 def now() -> Column:
     return XT.moment(AS_OF)
 
@@ -584,20 +589,21 @@ def _(spark, sf):
 # --------------------------------------------------------------- aggregations
 
 @query("a1_technician",
-       "SELECT t.id, k.action_id, k.type_id, k.start, k.done_by FROM t LEFT JOIN tech k USING (id)")
+       """SELECT t.id, CAST(k.action_id AS DOUBLE) AS action_id, CAST(k.type_id AS DOUBLE) AS type_id,
+                 k.start, k.done_by FROM t LEFT JOIN tech k USING (id)""")
 def _(spark, sf):
     return features.with_technician(clean(spark, sf), acts(spark, sf)).select(
-        ticket_id(), action_id(), F.col("AP_AM_ACTION_TYPE_ID").alias("type_id"),
-        F.col("AP_AM_START_DATE").alias("start"),
+        ticket_id(), nullable("AP_AM_ACTION_ID", "action_id"),
+        nullable("AP_AM_ACTION_TYPE_ID", "type_id"), F.col("AP_AM_START_DATE").alias("start"),
         F.col("AP_AM_DONE_BY_OPERATOR_NAME").alias("done_by"))
 
 
 def last_action(name: str, column: str, which: str):
-    @query(name, f"SELECT t.id, {O.minutes('f.' + column)} AS minutes "
+    @query(name, f"SELECT t.id, CAST({O.minutes('f.' + column)} AS DOUBLE) AS minutes "
                  "FROM t LEFT JOIN firstact f USING (id)")
     def _(spark, sf):
         return features.with_last_action(clean(spark, sf), acts(spark, sf), now(), which).select(
-            ticket_id(), F.col("C_LAST_ACTION_DATE").alias("minutes"))
+            ticket_id(), nullable("C_LAST_ACTION_DATE", "minutes"))
 
 
 last_action("a2_last_action_age", "first_start", "first")
@@ -635,11 +641,11 @@ def _(spark, sf):
 
 
 @query("a6_observation_age",
-       f"""SELECT t.id, {O.minutes('o.at')} AS minutes FROM t LEFT JOIN
+       f"""SELECT t.id, CAST({O.minutes('o.at')} AS DOUBLE) AS minutes FROM t LEFT JOIN
            (SELECT id, max(start) AS at FROM a WHERE type_id = 108 GROUP BY id) o USING (id)""")
 def _(spark, sf):
     return features.observation_age(clean(spark, sf), acts(spark, sf), now()).select(
-        ticket_id(), F.col("C_LAST_ACTION_DATE").alias("minutes"))
+        ticket_id(), nullable("C_LAST_ACTION_DATE", "minutes"))
 
 
 @query("a7_rdv_state",
@@ -822,7 +828,7 @@ def _(spark, sf):
 def _(spark, sf):
     order = Window.partitionBy("AP_AM_REQUEST_ID").orderBy(
         F.desc_nulls_first("AP_AM_START_DATE"), F.desc("AP_AM_ACTION_ID"))
-    return acts(spark, sf).select(action_id(), F.row_number().over(order).alias("position"))
+    return acts(spark, sf).select(action_id(), F.row_number().over(order).cast("bigint").alias("position"))
 
 
 @query("t5_types_by_count", _TYPE_COUNTS)
@@ -910,11 +916,11 @@ def _(spark, sf):
 
 @query("x12_casts",
        """SELECT c_custkey, try_cast(substr(c_name, 10) AS BIGINT) AS number,
-                 try_cast(c_name AS BIGINT) AS none, CAST(c_custkey AS VARCHAR) AS shown FROM customer""")
+                 CAST(try_cast(c_name AS BIGINT) AS DOUBLE) AS none, CAST(c_custkey AS VARCHAR) AS shown FROM customer""")
 def _(spark, sf):
     return adapter.table(spark, sf, "customer").select(
         "c_custkey", F.col("c_name").substr(10, 20).try_cast("bigint").alias("number"),
-        F.col("c_name").try_cast("bigint").alias("none"),
+        F.col("c_name").try_cast("bigint").cast("double").alias("none"),
         F.col("c_custkey").cast("string").alias("shown"))
 
 

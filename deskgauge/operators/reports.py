@@ -167,4 +167,5 @@ def first_rows(df: DataFrame, order_by: str, rows: int = CHART_ROWS) -> DataFram
     The limit comes first, so the unpartitioned window sees ``rows`` rows.
     """
     few = df.orderBy(order_by).limit(rows)
-    return few.withColumn("row_number", F.row_number().over(Window.orderBy(order_by)))
+    number = F.row_number().over(Window.orderBy(order_by)).cast("bigint")
+    return few.withColumn("row_number", number)
