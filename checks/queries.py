@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import adapter, oracle as O
 from deskgauge import constants as K
@@ -823,12 +823,21 @@ def _(spark, sf):
 
 
 @query("t4_action_order",
-       """SELECT action_id, row_number() OVER (PARTITION BY id ORDER BY start DESC NULLS FIRST,
-                 action_id DESC) AS position FROM a""")
-def _(spark, sf):
-    order = Window.partitionBy("AP_AM_REQUEST_ID").orderBy(
-        F.desc_nulls_first("AP_AM_START_DATE"), F.desc("AP_AM_ACTION_ID"))
-    return acts(spark, sf).select(action_id(), F.row_number().over(order).cast("bigint").alias("position"))
+       """SELECT id, max(CASE WHEN r1 = 1 THEN action_id END) AS open_or_newest,
+                 max(CASE WHEN r2 = 1 THEN action_id END) AS earliest,
+                 max(CASE WHEN r3 = 1 THEN action_id END) AS latest
+          FROM (SELECT id, action_id,
+                       row_number() OVER (PARTITION BY id ORDER BY start DESC NULLS FIRST, action_id DESC) AS r1,
+                       row_number() OVER (PARTITION BY id ORDER BY start NULLS LAST, action_id) AS r2,
+                       row_number() OVER (PARTITION BY id ORDER BY start DESC NULLS LAST, action_id DESC) AS r3
+                FROM a) GROUP BY id""")
+def _(spark, sf):
+    # The ordered firsts as aggregates: no task ever holds a whole group.
+    start, number = F.col("AP_AM_START_DATE"), F.col("AP_AM_ACTION_ID")
+    return acts(spark, sf).groupBy(F.col("AP_AM_REQUEST_ID").alias("id")).agg(
+        F.max_by(number, F.struct(start.isNull(), start, number)).alias("open_or_newest"),
+        F.min_by(number, F.struct(start.isNull(), start, number)).alias("earliest"),
+        F.max_by(number, F.struct(start, number)).alias("latest"))
 
 
 @query("t5_types_by_count", _TYPE_COUNTS)

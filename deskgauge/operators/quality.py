@@ -27,7 +27,7 @@ def tickets_without_action(tickets: DataFrame, actions: DataFrame,
     """Tickets that have no (eligible) action."""
     if eligible is not None:
         actions = actions.filter(eligible)
-    ids = actions.select(features.ACTION_TICKET_ID)
+    ids = actions.select(features.ACTION_TICKET_ID).distinct()
     return tickets.join(
         ids, tickets[features.TICKET_ID] == ids[features.ACTION_TICKET_ID], "left_anti"
     )

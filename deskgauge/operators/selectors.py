@@ -169,7 +169,7 @@ def under_observation(tickets: DataFrame, actions: DataFrame) -> DataFrame:
     """Tickets with a pilot note that carries the observation tag."""
     noted = actions.filter(features.is_pilot_note(K.TAG_OBSERVATION)).select(
         features.ACTION_TICKET_ID
-    )
+    ).distinct()
     return tickets.join(
         noted, tickets[features.TICKET_ID] == noted[features.ACTION_TICKET_ID], "left_semi"
     )

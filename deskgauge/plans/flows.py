@@ -147,11 +147,12 @@ def under_observation_rows(desk: Desk, tech_filter: str | None = None) -> DataFr
 
 
 def under_observation_count(desk: Desk, tech_filter: str | None = None) -> DataFrame:
-    wanted = [features.OBSERVATION]
-    if tech_filter:
-        wanted.append(features.TECHNICIAN)
+    """Without a technician filter only the tagged notes are read."""
+    tickets, actions = desk.clean_tickets(), desk.clean_actions()
+    if not tech_filter:
+        return reports.row_count(S.under_observation(tickets, actions))
     tickets = features.with_action_features(
-        desk.clean_tickets(), desk.clean_actions(), *wanted
+        tickets, actions, features.OBSERVATION, features.TECHNICIAN
     ).filter("C_UNDER_OBSERVATION")
     return reports.row_count(features.filter_technician(tickets, tech_filter))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deskgauge import constants as K
 from deskgauge import schemas
+from deskgauge.functions import text as X
 
 
 @dataclass(frozen=True)
@@ -42,10 +43,13 @@ def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str,
 
 
 def is_open_new_arrival() -> Column:
+    """Never null, so that it can be negated."""
+    status = F.col("STATUS_ID")
     return (
-        (F.col("SD_CATALOG_ID") == K.CATALOG_NEW_ARRIVAL)
+        X.member(F.col("SD_CATALOG_ID"), (K.CATALOG_NEW_ARRIVAL,))
         & F.col("RFC_NUMBER").isNotNull()
-        & ~F.col("STATUS_ID").isin(*K.STATUS_CLOSED)
+        & status.isNotNull()
+        & ~status.isin(*K.STATUS_CLOSED)
     )
 
 
@@ -58,24 +62,31 @@ def open_hotline_ids(actions: DataFrame) -> DataFrame:
     ).select("REQUEST_ID").distinct()
 
 
-def open_request_ids(desk: ServiceDesk) -> DataFrame:
+def open_request_ids(desk: ServiceDesk, hotline_ids: DataFrame | None = None) -> DataFrame:
     """Distinct requests of either kind."""
+    hotline = open_hotline_ids(desk.am_action) if hotline_ids is None else hotline_ids
     arrivals = desk.sd_request.filter(is_open_new_arrival()).select("REQUEST_ID")
-    return open_hotline_ids(desk.am_action).union(arrivals).distinct()
+    return hotline.union(arrivals).distinct()
 
 
-def open_requests(desk: ServiceDesk) -> DataFrame:
-    """Ticket rows to extract: one join, since the second kind is a row test."""
-    flagged = open_hotline_ids(desk.am_action).select(
-        F.col("REQUEST_ID").alias("_open_id")
-    )
+def wanted_requests(desk: ServiceDesk, hotline_ids: DataFrame | None = None) -> DataFrame:
+    """Distinct open requests with their RFC number, null for dangling ids."""
+    return lookup(open_request_ids(desk, hotline_ids), desk.sd_request,
+                  "REQUEST_ID", "REQUEST_ID", {"RFC_NUMBER": "RFC_NUMBER"})
+
+
+def open_requests(desk: ServiceDesk, hotline_ids: DataFrame | None = None) -> DataFrame:
+    """Ticket rows to extract.
+
+    New arrivals are a plain filter of the ticket scan.  Only the others meet
+    the open ids, in a semi join; an OR of both would shuffle every ticket.
+    """
+    hotline = open_hotline_ids(desk.am_action) if hotline_ids is None else hotline_ids
     requests = desk.sd_request
-    return requests.join(
-        flagged, requests["REQUEST_ID"] == flagged["_open_id"], "left"
-    ).filter(
-        (F.col("_open_id").isNotNull() & F.col("MAX_RESOLUTION_DATE_UT").isNotNull())
-        | is_open_new_arrival()
-    ).drop("_open_id")
+    others = requests.filter(
+        ~is_open_new_arrival() & F.col("MAX_RESOLUTION_DATE_UT").isNotNull()
+    ).join(hotline, "REQUEST_ID", "left_semi")
+    return requests.filter(is_open_new_arrival()).unionByName(others)
 
 
 def star_join_tickets(desk: ServiceDesk, requests: DataFrame) -> DataFrame:
@@ -120,20 +131,27 @@ def _first(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
-def extract_tickets(desk: ServiceDesk, limit: int | None = None) -> DataFrame:
-    """Open tickets; ``limit`` keeps the lowest request ids, default all."""
-    tickets = star_join_tickets(desk, open_requests(desk))
+def extract_tickets(desk: ServiceDesk, limit: int | None = None,
+                    hotline_ids: DataFrame | None = None) -> DataFrame:
+    """Open tickets; ``limit`` keeps the lowest request ids, default all.
+
+    ``hotline_ids`` is a stored result of :func:`open_hotline_ids`: its size
+    is known when the join is planned.
+    """
+    tickets = star_join_tickets(desk, open_requests(desk, hotline_ids))
     return _first(tickets, limit, "REQUEST_ID")
 
 
-def extract_actions(desk: ServiceDesk, limit: int | None = None) -> DataFrame:
+def extract_actions(desk: ServiceDesk, limit: int | None = None,
+                    wanted: DataFrame | None = None) -> DataFrame:
     """Actions of open tickets.
 
     The wanted ids take their RFC number along, so the actions, the big side,
-    meet the ticket side in a single join.
+    meet the ticket side in a single join.  ``wanted`` is a stored result of
+    :func:`wanted_requests`.
     """
-    wanted = lookup(open_request_ids(desk), desk.sd_request,
-                    "REQUEST_ID", "REQUEST_ID", {"RFC_NUMBER": "RFC_NUMBER"})
+    if wanted is None:
+        wanted = wanted_requests(desk)
     kept = desk.am_action.filter(
         ~F.col("ACTION_TYPE_ID").isin(*K.ACTION_NOT_EXTRACTED)
     )

@@ -12,15 +12,17 @@ from deskgauge.schemas import with_text_dates
 DELIMITER = ";"
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType,
+                   multi_line: bool = True) -> DataFrame:
     """Delimited export with a header; dates stay text until cleaning.
 
-    Comments may span lines, so records are read whole (``multiLine``); split
-    large exports into many files, since such a file is read by one task.
+    Comments may span lines, so by default a file is read whole by one task:
+    export large tables as many files.  Without line breaks in the text,
+    ``multi_line=False`` lets Spark split the files.
     """
     return spark.read.csv(
         path, schema=with_text_dates(schema), sep=DELIMITER, header=True,
-        multiLine=True, quote='"', escape='"',
+        multiLine=multi_line, quote='"', escape='"',
     )
 
 

@@ -18,11 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from deskgauge import schemas
 from deskgauge.functions import time as XT
 from deskgauge.operators import classification as C
-from deskgauge.sources.extracts import ServiceDesk, extract_actions, extract_tickets
+from deskgauge.sources import extracts
+from deskgauge.sources.extracts import ServiceDesk
 
 _MANIFEST = "version string, created_at timestamp_ntz"
 
 
+def new_version() -> str:
+    return str(uuid.uuid4())
+
+
 @dataclass(frozen=True)
 class VersionStore:
     """Versions under ``root``, a folder every executor can reach."""
@@ -33,18 +38,27 @@ class VersionStore:
     def _path(self, version: str, name: str) -> str:
         return f"{self.root}/versions/{version}/{name}"
 
-    def write(self, frames: dict[str, DataFrame],
-              created_at: dt.datetime | None = None) -> str:
-        """Write all frames as one new version and list it."""
-        version = str(uuid.uuid4())
-        for name, frame in frames.items():
-            frame.write.parquet(self._path(version, name))
+    def put(self, version: str, name: str, frame: DataFrame) -> DataFrame:
+        """Store a frame of a version that is not listed yet; read it back."""
+        frame.write.parquet(self._path(version, name))
+        return self.read(version, name)
+
+    def publish(self, version: str, created_at: dt.datetime | None = None) -> str:
+        """List a version whose frames are all stored."""
         line = self.spark.range(1, numPartitions=1).select(
             F.lit(version).alias("version"), XT.moment(created_at).alias("created_at")
         )
         line.write.mode("append").parquet(f"{self.root}/manifest")
         return version
 
+    def write(self, frames: dict[str, DataFrame],
+              created_at: dt.datetime | None = None) -> str:
+        """Store all frames as one new version and list it."""
+        version = new_version()
+        for name, frame in frames.items():
+            self.put(version, name, frame)
+        return self.publish(version, created_at)
+
     def latest(self, max_age: dt.timedelta | None = None,
                as_of: dt.datetime | None = None) -> str | None:
         """Newest listed version, if younger than ``max_age``."""
@@ -70,11 +84,22 @@ class VersionStore:
 def take_snapshot(store: VersionStore, desk: ServiceDesk,
                   max_age: dt.timedelta | None = None,
                   as_of: dt.datetime | None = None) -> str:
-    """Version that holds both extracts; a young enough one is reused."""
-    version = store.latest(max_age, as_of) if max_age is not None else None
-    return version or store.write(
-        {"tickets": extract_tickets(desk), "actions": extract_actions(desk)}, as_of
-    )
+    """Version that holds both extracts; a young enough one is reused.
+
+    The ids of the open requests are stored first.  Both extracts read them,
+    so they are computed once, and their size is known: Spark broadcasts them
+    to the big tables, or shuffles if they are too many for that.
+    """
+    if max_age is not None:
+        young = store.latest(max_age, as_of)
+        if young:
+            return young
+    version = new_version()
+    hotline = store.put(version, "hotline_ids", extracts.open_hotline_ids(desk.am_action))
+    wanted = store.put(version, "wanted", extracts.wanted_requests(desk, hotline))
+    store.put(version, "tickets", extracts.extract_tickets(desk, hotline_ids=hotline))
+    store.put(version, "actions", extracts.extract_actions(desk, wanted=wanted))
+    return store.publish(version, as_of)
 
 
 def append_missing_classification(store: VersionStore, version: str,

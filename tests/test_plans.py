@@ -119,7 +119,7 @@ def test_selectors_reach_the_scan(inputs, conf):
 
 @pytest.mark.parametrize("flow", [
     flows.new_arrivals_rows, flows.software_install_rows, flows.suspended_mail_count,
-    flows.contacted_count, flows.suspended_too_long_rows,
+    flows.contacted_count, flows.suspended_too_long_rows, flows.vip_rows,
 ], ids=lambda f: f.__name__)
 def test_selected_tickets_filter_the_action_scan(inputs, big, flow):
     """A bloom filter of the selected ids runs below the action aggregate."""
@@ -144,6 +144,32 @@ def test_contacts_are_combined_before_both_shuffles(inputs):
     assert "partial_max(" in plan and "partial_count(_day" in plan and "SortAggregate" not in plan
 
 
+def test_stored_ids_spare_the_extracts_their_shuffles(spark, conf, tmp_path):
+    conf("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    source = adapter.service_desk(spark, SMALL)
+    stored = {"sd_request": source.sd_request, "am_action": source.am_action,
+              "ids": extracts.open_hotline_ids(source.am_action),
+              "wanted": extracts.wanted_requests(source)}
+    for name, frame in stored.items():
+        frame.write.parquet(str(tmp_path / name))
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    source = dataclasses.replace(
+        source, sd_request=stored["sd_request"], am_action=stored["am_action"])
+    requests = physical(extracts.open_requests(source, stored["ids"]))
+    assert "LeftSemi, BuildRight" in requests and "Exchange hashpartitioning" not in requests
+    actions = physical(extracts.extract_actions(source, wanted=stored["wanted"]))
+    assert "Exchange hashpartitioning(REQUEST_ID" not in actions
+    assert "Inner, BuildRight" in actions
+    for df in (extracts.open_requests(source), extracts.extract_actions(source)):
+        plan = optimized(df)
+        assert "ExistenceJoin" not in plan
+    whole = values(extracts.extract_tickets(source), "REQUEST_ID")
+    assert values(extracts.extract_tickets(source, hotline_ids=stored["ids"]), "REQUEST_ID") == whole
+    whole = values(extracts.extract_actions(source), "ACTION_ID", "RFC_NUMBER")
+    assert values(extracts.extract_actions(source, wanted=stored["wanted"]),
+                  "ACTION_ID", "RFC_NUMBER") == whole
+
+
 def _hot_actions(spark, hot_rows=60000, tickets=300):
     """One request owns most actions."""
     ids = F.when(F.col("id") < hot_rows, 0).otherwise(F.col("id") % tickets)
