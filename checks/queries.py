@@ -1215,6 +1215,9 @@ chart("q30_ci_bars", _CI_COUNTS, "configuration_item", "age", "bars")
 chart("q30_type_bars", _TYPE_COUNTS, "inter_type", "points", "bars")
 chart("q30_age_bins", _bins_sql(_AGE_DAYS, "t"), "configuration_item", "age", "bins")
 chart("q30_points_bins", _bins_sql("points", "scored"), "inter_type", "points", "bins")
+flow("q30_chart_tickets",
+     """SELECT rfc AS ticket_number, ci AS configuration_item, type_name AS inter_type,
+               age / 1440.0 AS age, points FROM complete""", flows.chart_tickets)
 chart("q30_first_rows",
       """SELECT rfc AS ticket_number, type_name AS inter_type,
                 row_number() OVER (ORDER BY rfc) AS row_number

@@ -319,19 +319,33 @@ def change_classification(desk: Desk, updates: DataFrame) -> C.TypeChange:
 
 # ------------------------------------------------------------- chart data
 
-def chart_tickets(desk: Desk) -> DataFrame:
-    """Ticket, configuration item, type, age in days and points."""
-    tickets = features.with_action_features(
-        _typed_tickets(desk), desk.clean_actions(), *_SCORE_FEATURES
-    )
-    tickets = desk.classify(_score(desk, tickets, desk.now))
-    return tickets.select(
-        F.col("AP_SD_RFC_NUMBER").alias("ticket_number"),
-        F.col("AP_SD_CI_NAME").alias("configuration_item"),
-        F.col("AP_TYPE_FR").alias("inter_type"),
-        XT.fractional_days(F.col("C_TICKET_AGE")).alias("age"),
-        F.col("C_POINTS").alias("points"),
-    )
+# Chart column -> the ticket column it shows.
+_CHART_COLUMNS = {
+    "ticket_number": lambda: F.col("AP_SD_RFC_NUMBER"),
+    "configuration_item": lambda: F.col("AP_SD_CI_NAME"),
+    "inter_type": lambda: F.col("AP_TYPE_FR"),
+    "age": lambda: XT.fractional_days(F.col("C_TICKET_AGE")),
+    "points": lambda: F.col("C_POINTS"),
+}
+
+
+def chart_tickets(desk: Desk, *columns: str) -> DataFrame:
+    """Tickets with the chart columns asked for (default all).
+
+    Only "points" reads the actions, only "inter_type" the classification;
+    "age" is in days.
+    """
+    columns = columns or tuple(_CHART_COLUMNS)
+    tickets, now = _typed_tickets(desk), desk.now
+    if "points" in columns:
+        tickets = _score(desk, features.with_action_features(
+            tickets, desk.clean_actions(), *_SCORE_FEATURES
+        ), now)
+    elif "age" in columns:
+        tickets = features.with_age(tickets, now)
+    if "inter_type" in columns:
+        tickets = desk.classify(tickets)
+    return tickets.select(*[_CHART_COLUMNS[name]().alias(name) for name in columns])
 
 
 def chart_data(desk: Desk, category: str = "configuration_item",
@@ -341,11 +355,10 @@ def chart_data(desk: Desk, category: str = "configuration_item",
     ``category`` is "configuration_item" or "inter_type", ``value`` is "age"
     or "points".
     """
-    tickets = chart_tickets(desk)
     return {
-        "bars": reports.counts_by(tickets, category),
-        "bins": reports.histogram(tickets, F.col(value)),
+        "bars": reports.counts_by(chart_tickets(desk, category), category),
+        "bins": reports.histogram(chart_tickets(desk, value), F.col(value)),
         "rows": reports.first_rows(
-            tickets.select("ticket_number", category), "ticket_number"
+            chart_tickets(desk, "ticket_number", category), "ticket_number"
         ),
     }

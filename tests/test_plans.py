@@ -104,6 +104,15 @@ def test_plain_counts_leave_the_actions_alone(inputs, flow):
     assert "Join" not in plan
 
 
+def test_charts_read_what_they_show(inputs):
+    data = flows.chart_data(inputs, "configuration_item", "age")
+    for piece in data.values():
+        plan = physical(piece)
+        assert not scans(plan, "actions") and not scans(plan, "classification")
+    points = physical(flows.chart_data(inputs, "inter_type", "points")["bins"])
+    assert scans(points, "actions") and not scans(points, "classification")
+
+
 def test_selectors_reach_the_scan(inputs, conf):
     conf("spark.sql.maxMetadataStringLength", "2000")
     plan = inputs.clean_tickets().filter("AP_SD_STATUS_ID IS NOT NULL")
