@@ -176,11 +176,12 @@ def _answer_rows(tickets: DataFrame) -> DataFrame:
         answer(46, F.lit("jean-pierre")),
         answer(48, F.col("place")),
         answer(49, F.lit("CDI")),
-        answer(50, F.date_format("submitted", "dd/MM/yyyy")),
+        answer(50, F.expr("concat_ws('/', substr(shown, 9, 2), substr(shown, 6, 2), substr(shown, 1, 4))")),
         answer(55, F.when(k % 40 == 0, "Non").otherwise("Oui")),
         answer(58, F.when(k % 3 == 0, "Oui"), no_phone),
     )
-    return tickets.select("*", F.inline(questions))
+    shown = F.col("submitted").cast("string")
+    return tickets.withColumn("shown", shown).select("*", F.inline(questions))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

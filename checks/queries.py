@@ -134,7 +134,7 @@ def _(spark, sf):
        "SELECT id, rfc, submitted, status, comment, location FROM t")
 def _(spark, sf):
     raw = adapter.tickets(spark, sf)
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    stamp = lambda c: F.concat(c.cast("string"), F.lit(".000000"))
     dates = [f.name for f in raw.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     path = scratch(spark)
     raw.withColumns({c: stamp(F.col(c)) for c in dates}).write.csv(
@@ -937,7 +937,7 @@ def _(spark, sf):
        """SELECT id, CASE WHEN id % 3 = 0 THEN submitted + to_milliseconds(CAST(id % 1000 AS DOUBLE)) END AS value
           FROM rt""")
 def _(spark, sf):
-    shown = F.date_format("SUBMIT_DATE_UT", "yyyy-MM-dd HH:mm:ss")
+    shown = F.col("SUBMIT_DATE_UT").cast("string")
     fraction = F.lpad((F.col("REQUEST_ID") % 1000).cast("string"), 3, "0")
     dated = F.when(F.col("REQUEST_ID") % 3 == 0, F.concat(shown, F.lit("."), fraction)).when(
         F.col("REQUEST_ID") % 3 == 1, shown).otherwise("2021-02-30 00:00:00.0")
@@ -1197,6 +1197,8 @@ flow("q26_ticket_flow_score",
 flow("q26_ticket_flow_score_all", "SELECT CAST(sum(points) AS BIGINT) AS value FROM scored",
      flows.ticket_flow_score)
 flow("q27_tickets_by_expiration", _EXPIRATION_SQL, flows.tickets_by_expiration)
+flow("q27_tickets_by_expiration_by_technician", _EXPIRATION_SQL.replace(
+     "ORDER BY", f"AND {_TECH_WHERE} ORDER BY"), lambda d: flows.tickets_by_expiration(d, TECH))
 flow("q28_technician_table", _TECHNICIAN_SQL, flows.technician_table)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
@@ -23,6 +23,8 @@ _CASE_IGNORABLE = r"\p{Mn}\p{Me}\p{Cf}\p{Lm}\p{Sk}'.:\x{B7}\x{2018}\x{2019}\x{20
 
 # Precomposed Hangul syllables decompose by arithmetic, not by table.
 _HANGUL_FIRST, _HANGUL_COUNT = 0xAC00, 11172
+# Code points beyond these neither decompose nor are marks.
+_LETTER_PLANES = (range(0x80, 0x30000), range(0xE0000, 0xE1000))
 _HANGUL_LEADS = "".join(chr(0x1100 + i) for i in range(19))
 _HANGUL_VOWELS = "".join(chr(0x1161 + i) for i in range(21))
 _HANGUL_TAILS = "".join(chr(0x11A8 + i) for i in range(27))
@@ -41,7 +43,7 @@ def _accent_tables() -> tuple[str, str, dict[str, str]]:
     end of the first string are the combining marks, which are deleted.
     """
     single, several, marks = {}, {}, []
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in chain(*_LETTER_PLANES):
         if 0xD800 <= code < 0xE000 or 0 <= code - _HANGUL_FIRST < _HANGUL_COUNT:
             continue
         letter = chr(code)

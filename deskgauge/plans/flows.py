@@ -295,10 +295,10 @@ def ticket_flow_score(desk: Desk, inter_type: str | None = None,
     return reports.total_score(_score(desk, tickets, desk.now))
 
 
-def tickets_by_expiration(desk: Desk, inter_type: str | None = None,
-                          tech_filter: str | None = None) -> DataFrame:
-    """``inter_type`` narrows the table to a segment; default all."""
-    tickets = _flow_tickets(desk, inter_type).filter(S.is_unexpired(desk.now))
+def tickets_by_expiration(desk: Desk, tech_filter: str | None = None,
+                          segment: str | None = None) -> DataFrame:
+    """All types together; ``segment`` narrows the table to one segment."""
+    tickets = _flow_tickets(desk, segment).filter(S.is_unexpired(desk.now))
     return reports.expiration_table(_soonest(desk, tickets, tech_filter))
 
 

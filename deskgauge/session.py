@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-# Spark's defaults are kept except for two sizes.  The tickets a selector keeps
+# Spark's defaults are kept but for one size.  The tickets a selector keeps
 # build a bloom filter for the scan of the actions: the ticket side may be
 # larger than the default 10 MB for that, but not as large as the actions.
-# Stored ids of open requests are broadcast up to a size every executor holds.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10GB",
-    "spark.sql.autoBroadcastJoinThreshold": "64MB",
 }
 
 

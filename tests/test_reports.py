@@ -58,7 +58,7 @@ def test_expiration_table(spark):
         ("I000001", "Type 2", "DRS Jean Bart", None, "02/07/24 00:30")]
     assert reports.header(table)[-1] == {
         "col_order": 4, "name": "SLA", "id": "AP_SD_MAX_RESOLUTION_DATE"}
-    assert flows.tickets_by_expiration(inputs, "hotline").count() == 1
+    assert flows.tickets_by_expiration(inputs, segment="hotline").count() == 1
 
 
 def test_technician_table(spark):

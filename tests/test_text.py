@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import unicodedata
 
 import pytest
@@ -28,6 +29,16 @@ def test_strip_accents_of_every_letter(spark):
     assert apply(spark, texts, X.strip_accents) == [base_letters(t) for t in texts]
 
 
+def test_accent_tables_leave_no_letter_out():
+    letters, _, several = X._accent_tables()
+    known = set(letters) | set(several)
+    for code in range(0x80, sys.maxunicode + 1):
+        letter = chr(code)
+        if 0xD800 <= code < 0xE000 or "가" <= letter <= "힣":
+            continue
+        assert (base_letters(letter) != letter) == (letter in known), hex(code)
+
+
 def test_strip_accents_keeps_null_and_ascii(spark):
     assert apply(spark, [None, "", "Müller-Lüdenscheidt", "O'Neil"], X.strip_accents) == [
         None, "", "Muller-Ludenscheidt", "O'Neil"]
