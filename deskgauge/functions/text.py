@@ -16,7 +16,9 @@ from deskgauge.constants import (
     PATTERN_RDV_DATE,
 )
 
-_IGNORE_CASE = "(?iu)"
+# Only a line feed ends a line for "." and "$"; case is ignored in all scripts.
+_UNIX_LINES = "(?d)"
+_IGNORE_CASE = "(?iud)"
 _BLANK = r"^[\s\x1C-\x1F\p{IsWhite_Space}]*$"
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 _CASE_IGNORABLE = r"\p{Mn}\p{Me}\p{Cf}\p{Lm}\p{Sk}'.:\x{B7}\x{2018}\x{2019}\x{2024}\x{2027}"
@@ -172,4 +174,6 @@ def display_location(column: Column) -> Column:
 
 def rdv_date_text(column: Column) -> Column:
     """First ``dd?MM?yyyy`` that follows a colon; null when there is none."""
-    return F.nullif(F.regexp_extract(column, PATTERN_RDV_DATE, 1), F.lit(""))
+    return F.nullif(
+        F.regexp_extract(column, _UNIX_LINES + PATTERN_RDV_DATE, 1), F.lit("")
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from deskgauge import constants as K
+from deskgauge import schemas
 from deskgauge.functions import text as X
 from deskgauge.functions import time as XT
 
@@ -144,7 +145,7 @@ def clean_actions(df: DataFrame, date_format: str | None = None) -> DataFrame:
     """
     df = operator_or_group(drop_empty_actions(blanks_to_null(df)))
     df = df.withColumns(_dates(df, _ACTION_DATES, date_format))
-    return df.withColumnsRenamed({c: action_column(c) for c in df.columns})
+    return df.withColumnsRenamed({c: action_column(c) for c in schemas.ACTIONS.names})
 
 
 def drop_known_bad_tickets(df: DataFrame, ids=K.REQUEST_IDS_KNOWN_BAD) -> DataFrame:

@@ -31,8 +31,8 @@ _ROW_FEATURES = (features.FIRST_ACTION, features.TECHNICIAN, features.RDV)
 class Desk:
     """Inputs of the workflows: the raw extracts, the side tables, settings.
 
-    ``as_of`` is the one "now" of a run; every rule that looks at the clock
-    uses it.
+    ``as_of`` is the one "now" of a run, the moment the desk is made unless
+    given; every rule that looks at the clock uses it.
     """
 
     tickets: DataFrame
@@ -44,9 +44,13 @@ class Desk:
     vip_names: Sequence[str] = ()
     date_format: str | None = None
 
+    def __post_init__(self):
+        if self.as_of is None:
+            object.__setattr__(self, "as_of", XT.moment())
+
     @property
     def now(self) -> Column:
-        return XT.moment() if self.as_of is None else self.as_of
+        return self.as_of
 
     def clean_tickets(self) -> DataFrame:
         return cleaning.drop_known_bad_tickets(cleaning.clean_tickets(self.tickets))

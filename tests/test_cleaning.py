@@ -71,3 +71,8 @@ def test_narrow_input_is_enough(spark):
     df = raw_tickets(spark, ticket(1)).select("REQUEST_ID", "RFC_NUMBER")
     assert cleaning.clean_tickets(df.withColumnRenamed("RFC_NUMBER", "COMMENT")).columns == [
         "AP_SD_REQUEST_ID", "AP_SD_COMMENT"]
+
+
+def test_columns_of_others_keep_their_name(spark):
+    df = raw_actions(spark, action(1, 1)).withColumnRenamed("EXIT_VALUE", "OTHER")
+    assert "OTHER" in cleaning.clean_actions(df).columns

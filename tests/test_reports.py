@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import json
 
 import pytest
@@ -140,3 +141,10 @@ def test_rdv_events(spark, tmp_path):
 def test_every_suspended_set_is_its_own(spark):
     inputs = desk(spark, [ticket(i, STATUS_ID=s) for i, s in enumerate((5, 20, 39, 42, 12))], [])
     assert AS_OF and values(flows.not_suspended_count(inputs)) == [(1,)]
+
+
+def test_a_desk_has_one_clock(spark):
+    inputs = desk(spark, [], [])
+    assert str(inputs.now) == str(inputs.as_of)
+    timeless = dataclasses.replace(inputs, as_of=None)
+    assert timeless.now is timeless.as_of is not None

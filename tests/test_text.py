@@ -73,6 +73,13 @@ def test_security_pattern(spark, text, expected):
     assert apply(spark, [text], lambda c: X.matches(c, PATTERN_SECURITY)) == [expected]
 
 
+def test_carriage_returns_are_ordinary_characters(spark):
+    assert apply(spark, ["Bonjour\r\nvol"], X.strip_greeting) == ["\nvol"]
+    assert apply(spark, ["vol\r", "vol\n", "vol\nx"],
+                 lambda c: X.matches(c, PATTERN_SECURITY)) == [True, True, False]
+    assert apply(spark, ["rdv:01\r02\r2024"], X.rdv_date_text) == ["01\r02\r2024"]
+
+
 def test_digipass_pattern(spark):
     assert apply(spark, ["BIG-IP", "bigip", "VPN", "ip"],
                  lambda c: X.matches(c, PATTERN_DIGIPASS)) == [True, True, True, False]
