@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deskgauge.llm import (
-    byte_bpe, compression_quality, decontamination, near_duplicates, quality_rules, toxicity,
+    byte_bpe, chat_rotation, compression_quality, decontamination, near_duplicates, pitman_yor,
+    quality_rules, toxicity, url_lists, wrapper_extraction,
 )
 from deskgauge.llm.common import table
 
@@ -136,13 +137,120 @@ def _(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_pitman_yor")
+def _(spark, sf_dir):
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
+_CHAT_ROTATION_SQL = """
+    WITH m AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text, count(*) AS copies
+        FROM conversations GROUP BY ALL),
+    side AS (SELECT DISTINCT conv_id, role AS side FROM m WHERE role <> 'system'),
+    v AS (
+        SELECT m.conv_id, side, turn, m.role AS speaker, text, copies,
+               coalesce(m.role = side, false) AS learned,
+               CASE WHEN m.role = side THEN 'assistant' WHEN m.role = 'system' THEN 'system'
+                    ELSE 'user' END AS role
+        FROM m JOIN side ON m.conv_id IS NOT DISTINCT FROM side.conv_id),
+    r AS (
+        SELECT *, CASE WHEN role = 'user' THEN coalesce(speaker, 'unknown') END AS name,
+               '<|im_start|>' || role || CASE WHEN role = 'user'
+                   THEN ' name=' || coalesce(speaker, 'unknown') ELSE '' END || chr(10) AS head
+        FROM v),
+    s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM r),
+    p AS (
+        SELECT *, row_number() OVER w - 1 AS position,
+               coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING
+                                                   AND 1 PRECEDING), 0)::BIGINT AS start
+        FROM s WINDOW w AS (PARTITION BY conv_id, side
+                            ORDER BY turn NULLS LAST, speaker NULLS LAST, text))
+    SELECT conv_id, side, position, turn, role, name, segment, copies, start, learned,
+           (start + CASE WHEN learned THEN length(head) ELSE 0 END)::BIGINT AS mask_start,
+           (start + CASE WHEN learned THEN length(segment) - 1 ELSE 0 END)::BIGINT AS mask_end
+    FROM p"""
+
+
+@query("op6_chat_rotation", _CHAT_ROTATION_SQL)
+def _(spark, sf_dir):
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
 @query("op7_byte_bpe")
 def _(spark, sf_dir):
     return byte_bpe.digest_documents(
         table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+@query("op8_wrapper_extraction")
+def _(spark, sf_dir):
+    return wrapper_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op9_toxicity")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+_HOST = ("lower(regexp_replace(regexp_replace(regexp_extract(url, "
+         "'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))")
+_DIGIT = "(instr('0123456789abcdef', substr(md5(host), {}, 1)) - 1)"
+
+
+def _day(days: str) -> str:
+    return f"TIMESTAMP '2024-01-01' + to_days(({days})::INTEGER)"
+
+
+def _entries_sql() -> str:
+    d = [None, *(_DIGIT.format(k) for k in range(1, 9))]
+    bare = "regexp_replace(host, '^(www|blog|m)[.]', '')"
+    rows = [
+        ("spam", False, "host", "host", "true", f"{d[1]} * 10"),
+        ("spam", False, "host", "host", "false", f"{d[1]} * 10 + {d[2]} * 5"),
+        ("spam", False, "host", "host", "true", f"{d[3]} + 200"),
+        ("spam", False, "host", "host", "false", f"{d[3]} + 200 + {d[4]} * 12"),
+        ("reported", False, "domain", bare, "true", f"{d[5]} * 20"),
+        ("reported", False, "domain", bare, "false", f"{d[6]} * 24"),
+        ("trusted", True, "prefix", "host || '/en'", f"{d[7]} < 8", f"{d[8]} * 20"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS list, {allows} AS allows, '{kind}' AS kind, {pattern} AS pattern, "
+        f"{adds} AS adds, {_day(at)} AS since FROM hosts" for name, allows, kind, pattern, adds, at in rows)
+
+
+_URL_LISTS_SQL = f"""
+    WITH page AS (
+        SELECT row_number() OVER () AS r, page_id, url, {_HOST} AS host,
+               regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1),
+                              '/$', '') AS path,
+               TIMESTAMP '2024-01-01' + to_minutes((page_id * 7919 % 525600)::INTEGER) AS fetched_at
+        FROM pages),
+    hosts AS (SELECT DISTINCT host FROM page WHERE host <> ''),
+    entry AS (
+        SELECT list, allows, kind, pattern, since, bool_or(adds) AS adds
+        FROM ({_entries_sql()}) GROUP BY ALL),
+    met AS (
+        SELECT r, list, allows, kind, pattern, arg_max(adds, since) AS active
+        FROM page JOIN entry ON since <= fetched_at AND (
+            kind = 'host' AND host = pattern
+            OR kind = 'domain' AND (host = pattern OR ends_with(host, '.' || pattern))
+            OR kind = 'prefix' AND starts_with(lower(host || path) || '/', pattern || '/'))
+        GROUP BY ALL),
+    found AS (
+        SELECT r, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n_entries,
+               coalesce(max(length(pattern)) FILTER (NOT allows), 0)
+               > coalesce(max(length(pattern)) FILTER (allows), 0) AS blocked
+        FROM met WHERE active GROUP BY r)
+    SELECT page_id, url, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at,
+           coalesce(lists, '') AS lists, coalesce(n_entries, 0) AS n_entries,
+           coalesce(blocked, false) AS blocked
+    FROM page LEFT JOIN found USING (r)"""
+
+
+@query("op10_url_lists", _URL_LISTS_SQL)
+def _(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    valid = url_lists.intervals(url_lists.lists_of(pages))
+    judged = url_lists.filter_captures(url_lists.captures_of(pages), valid)
+    return judged.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
