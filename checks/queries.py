@@ -5,7 +5,6 @@ A query takes (spark, sf_dir) and returns a DataFrame over the whole tables.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -89,8 +88,8 @@ def text_of_date(column):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder the session names."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="deskgauge-")
+    """A new folder below the shared folder the session names, else the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/deskgauge-{uuid.uuid4()}"
 
 
@@ -140,7 +139,7 @@ def _(spark, sf):
     raw.withColumns({c: stamp(F.col(c)) for c in dates}).write.csv(
         path, sep=readers.DELIMITER, header=True, quote='"', escape='"'
     )
-    read = readers.read_delimited(spark, path, schemas.TICKETS)
+    read = readers.read_delimited(spark, path, schemas.TICKETS, multi_line=True)
     return cleaning.clean_tickets(read).select(
         ticket_id(), F.col("AP_SD_RFC_NUMBER").alias("rfc"),
         F.col("AP_SD_SUBMIT_DATE_UT").alias("submitted"),
@@ -156,6 +155,9 @@ def _(spark, sf):
 def _(spark, sf):
     store = snapshots.VersionStore(spark, scratch(spark))
     version = snapshots.take_snapshot(store, adapter.service_desk(spark, sf))
+    # A newer version of another kind does not hide the extracts.
+    store.write({"classification": adapter.classification(spark, sf)}, snapshots.CLASSIFICATION)
+    version = store.latest(snapshots.EXTRACT)
     return store.read(version, "actions").groupBy(
         F.col("ACTION_TYPE_ID").alias("type_id")
     ).agg(F.count("*").alias("actions"))
@@ -165,15 +167,22 @@ def _(spark, sf):
        "SELECT t.id, CAST(coalesce(cl.itype, 1) AS BIGINT) AS itype FROM t LEFT JOIN cl USING (id)")
 def _(spark, sf):
     store = snapshots.VersionStore(spark, scratch(spark))
-    version = store.write({"classification": adapter.classification(spark, sf)})
-    snapshots.append_missing_classification(store, version, clean(spark, sf))
+    stored = adapter.classification(spark, sf)
+    doubled = stored.unionByName(stored.filter("AP_REQUEST_ID % 3 = 0"))
+    first = store.write({"classification": doubled}, snapshots.CLASSIFICATION)
+    tickets = clean(spark, sf)
+    version = snapshots.complete_classification(
+        store, first, tickets.unionByName(tickets.filter("AP_SD_REQUEST_ID % 5 = 0")))
     return store.read(version, "classification").select(
         F.col("AP_REQUEST_ID").alias("id"), F.col("AP_INTERVENTION_TYPE").alias("itype")
     )
 
 
 def type_updates(spark, sf) -> DataFrame:
-    """Two rounds of changes; some labels are unknown, some requests too."""
+    """Three rounds of changes; some labels are unknown, some requests too.
+
+    Every 35th order is a ticket without a stored row; negative ids exist nowhere.
+    """
     k = F.col("o_orderkey")
     orders = adapter.table(spark, sf, "orders").filter(k % 5 == 0)
 
@@ -184,17 +193,22 @@ def type_updates(spark, sf) -> DataFrame:
             F.timestamp_add("MINUTE", F.lit(minute), "o_orderdate").alias("requested_at"),
         )
 
-    return changes(1, 0).unionByName(changes(4, 5).filter(F.col("AP_REQUEST_ID") % 2 == 0))
+    nowhere = changes(2, 9).filter(F.col("AP_REQUEST_ID") % 25 == 0).withColumn(
+        "AP_REQUEST_ID", -F.col("AP_REQUEST_ID"))
+    return changes(1, 0).unionByName(
+        changes(4, 5).filter(F.col("AP_REQUEST_ID") % 2 == 0)).unionByName(nowhere)
 
 
 _UPDATES_SQL = """
     (SELECT o_orderkey AS id, (o_orderkey + 1) % 18 AS wanted, 0 AS turn
      FROM orders WHERE o_orderkey % 5 = 0
      UNION ALL
-     SELECT o_orderkey, (o_orderkey + 4) % 18, 1 FROM orders WHERE o_orderkey % 10 = 0)"""
+     SELECT o_orderkey, (o_orderkey + 4) % 18, 1 FROM orders WHERE o_orderkey % 10 = 0
+     UNION ALL
+     SELECT -o_orderkey, (o_orderkey + 2) % 18, 2 FROM orders WHERE o_orderkey % 25 = 0)"""
 _CHANGED_SQL = f"""
-    SELECT cl.id, CAST(coalesce(u.wanted, cl.itype) AS BIGINT) AS itype
-    FROM cl LEFT JOIN (
+    SELECT c.id, CAST(coalesce(u.wanted, c.itype) AS BIGINT) AS itype
+    FROM (SELECT id, coalesce(cl.itype, 1) AS itype FROM t FULL JOIN cl USING (id)) c LEFT JOIN (
         SELECT id, arg_max(wanted, turn) AS wanted FROM {_UPDATES_SQL} u
         WHERE wanted BETWEEN 1 AND 16 GROUP BY id) u USING (id)"""
 
@@ -202,22 +216,27 @@ _CHANGED_SQL = f"""
 @query("s9_classification_update", _CHANGED_SQL)
 def _(spark, sf):
     store = snapshots.VersionStore(spark, scratch(spark))
-    version = store.write({"classification": adapter.classification(spark, sf)})
+    version = store.write(
+        {"classification": adapter.classification(spark, sf)}, snapshots.CLASSIFICATION)
     changed, _rejects = snapshots.change_stored_types(
-        store, version, adapter.intervention_types(spark), type_updates(spark, sf)
-    )
+        store, version, adapter.intervention_types(spark), type_updates(spark, sf),
+        clean(spark, sf))
     return store.read(changed, "classification").select(
         F.col("AP_REQUEST_ID").alias("id"), F.col("AP_INTERVENTION_TYPE").alias("itype")
     )
 
 
 @query("s9_rejected_updates",
-       f"""SELECT id, 'Type ' || CAST(wanted AS VARCHAR) AS label FROM {_UPDATES_SQL} u
-           WHERE wanted NOT BETWEEN 1 AND 16""")
+       f"""SELECT id, 'Type ' || CAST(wanted AS VARCHAR) AS label,
+                  CASE WHEN wanted BETWEEN 1 AND 16 THEN 'unknown request' ELSE 'unknown type' END
+                      AS reason
+           FROM {_UPDATES_SQL} u
+           WHERE wanted NOT BETWEEN 1 AND 16
+              OR id NOT IN (SELECT id FROM t UNION SELECT id FROM cl)""")
 def _(spark, sf):
     change = flows.change_classification(adapter.desk(spark, sf), type_updates(spark, sf))
     return change.rejects.select(
-        F.col("AP_REQUEST_ID").alias("id"), F.col("AP_TYPE_FR").alias("label")
+        F.col("AP_REQUEST_ID").alias("id"), F.col("AP_TYPE_FR").alias("label"), "reason"
     )
 
 
@@ -770,18 +789,20 @@ def _(spark, sf):
 # ------------------------------------------- windows, sorts, limits, set operations
 
 @query("w1_numbered_rows",
-       "SELECT rfc, ci, row_number() OVER (ORDER BY rfc) AS row_number FROM t ORDER BY rfc LIMIT 24")
+       """SELECT ci, id, row_number() OVER (ORDER BY ci NULLS FIRST, id) AS row_number FROM t
+          ORDER BY ci NULLS FIRST, id LIMIT 24""")
 def _(spark, sf):
-    return reports.first_rows(clean(spark, sf).select(
-        F.col("AP_SD_RFC_NUMBER").alias("rfc"), F.col("AP_SD_CI_NAME").alias("ci")), "rfc")
+    return reports.first_rows(
+        clean(spark, sf).select(F.col("AP_SD_CI_NAME").alias("ci"), ticket_id()), "ci", "id")
 
 
 @query("w2_first_ranked",
-       """SELECT rfc FROM (SELECT rfc, rank() OVER (ORDER BY rfc) AS r FROM t) WHERE r < 25""")
+       """SELECT ci, id FROM (
+              SELECT ci, id, row_number() OVER (ORDER BY ci NULLS FIRST, id) AS r FROM t)
+          WHERE r < 25""")
 def _(spark, sf):
-    return reports.first_rows(
-        clean(spark, sf).select(F.col("AP_SD_RFC_NUMBER").alias("rfc")), "rfc"
-    ).select("rfc")
+    tickets = clean(spark, sf).select(F.col("AP_SD_CI_NAME").alias("ci"), ticket_id())
+    return reports.first_rows(tickets, "ci", "id").select("ci", "id")
 
 
 @query("w3_first_per_group",
@@ -1222,6 +1243,6 @@ flow("q30_chart_tickets",
                age / 1440.0 AS age, points FROM complete""", flows.chart_tickets)
 chart("q30_first_rows",
       """SELECT rfc AS ticket_number, type_name AS inter_type,
-                row_number() OVER (ORDER BY rfc) AS row_number
-         FROM t JOIN classed USING (id) ORDER BY rfc LIMIT 24""",
+                row_number() OVER (ORDER BY rfc, id) AS row_number
+         FROM t JOIN classed USING (id) ORDER BY rfc, id LIMIT 24""",
       "inter_type", "age", "rows")

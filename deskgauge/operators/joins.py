@@ -5,7 +5,7 @@ side by itself when its measured size is below
 ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise, and
 adaptive execution splits the partitions of a hot key, so a lookup table that
 outgrows memory changes the plan, not the job.  The one hint, in
-:func:`reduce_to`, is for the ids of a top-k result, which k bounds.
+:func:`top_ids`, is for the ids of a top-k result, which k bounds.
 """
 
 from __future__ import annotations
@@ -37,12 +37,16 @@ def actions_of(actions: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def reduce_to(df: DataFrame, key: str, top: DataFrame, top_key: str) -> DataFrame:
-    """Rows of ``df`` that belong to a top-k result, found without a shuffle.
+def top_ids(top: DataFrame, key: str) -> DataFrame:
+    """The ids of a top-k result, to be broadcast.
 
-    ``top`` must come from ``limit``: its ids are broadcast.
+    ``top`` must come from ``limit``: k bounds what is broadcast.
     """
-    ids = F.broadcast(top.select(F.col(top_key).alias("_kept")))
+    return F.broadcast(top.select(F.col(key).alias("_kept")))
+
+
+def reduce_to(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` that belong to ``top_ids``, found without a shuffle."""
     return df.join(ids, df[key] == ids["_kept"], "left_semi")
 
 

@@ -161,11 +161,11 @@ def histogram(df: DataFrame, value: Column, max_bins: int = MAX_BINS) -> DataFra
     )
 
 
-def first_rows(df: DataFrame, order_by: str, rows: int = CHART_ROWS) -> DataFrame:
-    """The first rows with their number.
+def first_rows(df: DataFrame, order_by: str, key: str, rows: int = CHART_ROWS) -> DataFrame:
+    """The first rows with their number; ``key``, a unique column, settles ties.
 
     The limit comes first, so the unpartitioned window sees ``rows`` rows.
     """
-    few = df.orderBy(order_by).limit(rows)
-    number = F.row_number().over(Window.orderBy(order_by)).cast("bigint")
+    few = df.orderBy(order_by, key).limit(rows)
+    number = F.row_number().over(Window.orderBy(order_by, key)).cast("bigint")
     return few.withColumn("row_number", number)

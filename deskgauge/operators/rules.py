@@ -97,19 +97,22 @@ def contacted_x_times(tickets: DataFrame, actions: DataFrame,
     return _keep(tickets.filter(waiting), contacts, enough)
 
 
+def is_of_suspended_kind(inter_type: str | None) -> Column:
+    """The class part of :func:`is_suspended_too_long`, known without actions."""
+    return selectors.is_hotline() if inter_type == HOTLINE else selectors.is_proxy()
+
+
 def is_suspended_too_long(as_of: Column, inter_type: str | None) -> Column:
     """Predicate on tickets with type and the SUSPENSION feature.
 
     Any type but "hotline", none included, means the proxy types.
     """
-    hotline = inter_type == HOTLINE
-    kind = selectors.is_hotline() if hotline else selectors.is_proxy()
-    grace = GRACE_DAYS_HOTLINE if hotline else GRACE_DAYS_PROXY
+    grace = GRACE_DAYS_HOTLINE if inter_type == HOTLINE else GRACE_DAYS_PROXY
     suspended_at = F.col("C_SUSPENDED_AT")
     deadline = XT.add_business_days(XT.local(suspended_at), grace)
     return (
         selectors.is_suspended_by_technician()
-        & kind
+        & is_of_suspended_kind(inter_type)
         & X.never_null(deadline < XT.local(as_of), suspended_at)
     )
 

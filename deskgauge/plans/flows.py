@@ -92,8 +92,8 @@ def _full(desk: Desk, tickets: DataFrame, tech_filter: str | None, now: Column,
         tickets, desk.clean_actions(), *_ROW_FEATURES, *more
     )
     tickets = features.filter_technician(tickets, tech_filter)
-    tickets = features.add_rdv_state(tickets, now)
-    return desk.classify(_score(desk, tickets, now))
+    tickets = _score(desk, features.add_rdv_state(tickets, now), now)
+    return tickets if "AP_TYPE_FR" in tickets.columns else desk.classify(tickets)
 
 
 def _soonest(desk: Desk, tickets: DataFrame, tech_filter: str | None) -> DataFrame:
@@ -101,18 +101,18 @@ def _soonest(desk: Desk, tickets: DataFrame, tech_filter: str | None) -> DataFra
 
     Without a technician filter the order depends on ticket columns only, so
     the tickets are cut first, and only the actions and classification rows
-    of the few that remain are aggregated and joined.
+    of the few that remain are aggregated and joined.  Their ids are one plan,
+    the same for all three tables, so that Spark finds and broadcasts them once.
     """
     actions, known = desk.clean_actions(), desk.classification
     if tech_filter:
         tickets = features.with_technician(tickets, actions, tech_filter)
         tickets = reports.soonest(tickets)
     else:
-        tickets = reports.soonest(tickets)
-        actions = joins.reduce_to(
-            actions, features.ACTION_TICKET_ID, tickets, features.TICKET_ID
-        )
-        known = joins.reduce_to(known, "AP_REQUEST_ID", tickets, features.TICKET_ID)
+        top = joins.top_ids(reports.soonest(tickets), features.TICKET_ID)
+        tickets = joins.reduce_to(tickets, features.TICKET_ID, top)
+        actions = joins.reduce_to(actions, features.ACTION_TICKET_ID, top)
+        known = joins.reduce_to(known, "AP_REQUEST_ID", top)
         tickets = features.with_technician(tickets, actions)
     if "AP_TYPE_FR" in tickets.columns:
         return tickets
@@ -232,7 +232,8 @@ def suspended_mail_count(desk: Desk, tech_filter: str | None = None) -> DataFram
 def suspended_too_long_rows(desk: Desk, inter_type: str | None = None,
                             tech_filter: str | None = None) -> DataFrame:
     now = desk.now
-    tickets = _typed_tickets(desk).filter(S.is_suspended_by_technician())
+    tickets = desk.classify(_typed_tickets(desk).filter(S.is_suspended_by_technician()))
+    tickets = tickets.filter(rules.is_of_suspended_kind(inter_type))
     tickets = _full(desk, tickets, tech_filter, now, features.SUSPENSION)
     return reports.format_rows(
         tickets.filter(rules.is_suspended_too_long(now, inter_type))
@@ -278,8 +279,8 @@ def _flow_tickets(desk: Desk, inter_type: str | None) -> DataFrame:
 
 def ticket_flow_rows(desk: Desk, inter_type: str | None = None,
                      tech_filter: str | None = None) -> DataFrame:
-    tickets = _full(desk, _typed_tickets(desk), tech_filter, desk.now)
-    return reports.format_rows(S.ticket_flow(tickets, inter_type))
+    """The class of a segment is known before the actions are read."""
+    return _rows(desk, _flow_tickets(desk, inter_type), tech_filter)
 
 
 def ticket_flow_count(desk: Desk, inter_type: str | None = None,
@@ -318,7 +319,9 @@ def technician_table(desk: Desk) -> DataFrame:
 
 def change_classification(desk: Desk, updates: DataFrame) -> C.TypeChange:
     """Batch of type changes; see ``snapshots.change_stored_types`` to store it."""
-    return C.change_types(desk.classification, desk.intervention_types, updates)
+    return C.change_types(
+        desk.classification, desk.intervention_types, updates, desk.clean_tickets()
+    )
 
 
 # ------------------------------------------------------------- chart data
@@ -331,13 +334,14 @@ _CHART_COLUMNS = {
     "age": lambda: XT.fractional_days(F.col("C_TICKET_AGE")),
     "points": lambda: F.col("C_POINTS"),
 }
+_CHART_KEY = {"request_id": lambda: F.col("AP_SD_REQUEST_ID")}
 
 
 def chart_tickets(desk: Desk, *columns: str) -> DataFrame:
     """Tickets with the chart columns asked for (default all).
 
     Only "points" reads the actions, only "inter_type" the classification;
-    "age" is in days.
+    "age" is in days.  "request_id" can be asked for as well.
     """
     columns = columns or tuple(_CHART_COLUMNS)
     tickets, now = _typed_tickets(desk), desk.now
@@ -349,7 +353,8 @@ def chart_tickets(desk: Desk, *columns: str) -> DataFrame:
         tickets = features.with_age(tickets, now)
     if "inter_type" in columns:
         tickets = desk.classify(tickets)
-    return tickets.select(*[_CHART_COLUMNS[name]().alias(name) for name in columns])
+    shown = _CHART_COLUMNS | _CHART_KEY
+    return tickets.select(*[shown[name]().alias(name) for name in columns])
 
 
 def chart_data(desk: Desk, category: str = "configuration_item",
@@ -363,6 +368,7 @@ def chart_data(desk: Desk, category: str = "configuration_item",
         "bars": reports.counts_by(chart_tickets(desk, category), category),
         "bins": reports.histogram(chart_tickets(desk, value), F.col(value)),
         "rows": reports.first_rows(
-            chart_tickets(desk, "ticket_number", category), "ticket_number"
-        ),
+            chart_tickets(desk, "ticket_number", category, *_CHART_KEY),
+            "ticket_number", *_CHART_KEY,
+        ).drop(*_CHART_KEY),
     }

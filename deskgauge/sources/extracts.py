@@ -53,6 +53,11 @@ def is_open_new_arrival() -> Column:
     )
 
 
+# Side tables that the extracts look names up in.
+LOOKUPS = ("am_employee", "sd_catalog", "sd_status", "sd_urgency", "am_asset", "am_group",
+           "am_action_type")
+
+
 def open_hotline_ids(actions: DataFrame) -> DataFrame:
     """Distinct requests with an unfinished action of the hotline group."""
     return actions.filter(
@@ -167,4 +172,4 @@ def extract_answers(desk: ServiceDesk, limit: int | None = None) -> DataFrame:
     answers = lookup(answers, arrivals, "REQUEST_ID", "REQUEST_ID", {
         "RFC_NUMBER": "RFC_NUMBER", "SD_CATALOG_ID": "SD_CATALOG_ID",
     }, "inner").select(*schemas.ANSWERS.names)
-    return _first(answers, limit, "REQUEST_ID", "QUESTION_ID")
+    return _first(answers, limit, "REQUEST_ID", "QUESTION_ID", "RESULT_STRING_FR", "RESULT")

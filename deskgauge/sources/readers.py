@@ -13,12 +13,12 @@ DELIMITER = ";"
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType,
-                   multi_line: bool = True) -> DataFrame:
+                   *, multi_line: bool) -> DataFrame:
     """Delimited export with a header; dates stay text until cleaning.
 
-    Comments may span lines, so by default a file is read whole by one task:
-    export large tables as many files.  Without line breaks in the text,
-    ``multi_line=False`` lets Spark split the files.
+    ``multi_line`` is the caller's choice: comments that span lines need it, but
+    then one task reads a whole file, so a large table must come as many files.
+    Without it Spark splits the files.
     """
     return spark.read.csv(
         path, schema=with_text_dates(schema), sep=DELIMITER, header=True,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,7 +21,14 @@ from deskgauge.operators import classification as C
 from deskgauge.sources import extracts
 from deskgauge.sources.extracts import ServiceDesk
 
-_MANIFEST = "version string, created_at timestamp_ntz"
+_MANIFEST = "kind string, version string, created_at timestamp_ntz"
+
+EXTRACT = "extract"
+CLASSIFICATION = "classification"
+
+
+class StaleVersion(RuntimeError):
+    """A change was based on a version that is not the newest of its kind."""
 
 
 def new_version() -> str:
@@ -30,7 +37,11 @@ def new_version() -> str:
 
 @dataclass(frozen=True)
 class VersionStore:
-    """Versions under ``root``, a folder every executor can reach."""
+    """Versions under ``root``, a folder every executor can reach.
+
+    Each version is of a kind - the extracts, the classification - and the
+    newest one is looked up per kind, so the kinds share a store.
+    """
 
     spark: SparkSession
     root: str
@@ -43,31 +54,52 @@ class VersionStore:
         frame.write.parquet(self._path(version, name))
         return self.read(version, name)
 
-    def publish(self, version: str, created_at: dt.datetime | None = None) -> str:
+    def publish(self, version: str, kind: str, created_at: dt.datetime | None = None) -> str:
         """List a version whose frames are all stored."""
         line = self.spark.range(1, numPartitions=1).select(
-            F.lit(version).alias("version"), XT.moment(created_at).alias("created_at")
+            F.lit(kind).alias("kind"), F.lit(version).alias("version"),
+            XT.moment(created_at).alias("created_at"),
         )
         line.write.mode("append").parquet(f"{self.root}/manifest")
         return version
 
-    def write(self, frames: dict[str, DataFrame],
+    def write(self, frames: dict[str, DataFrame], kind: str,
               created_at: dt.datetime | None = None) -> str:
         """Store all frames as one new version and list it."""
         version = new_version()
         for name, frame in frames.items():
             self.put(version, name, frame)
-        return self.publish(version, created_at)
+        return self.publish(version, kind, created_at)
+
+    def succeed(self, base: str, frames: dict[str, DataFrame], kind: str,
+                created_at: dt.datetime | None = None) -> str:
+        """Like :meth:`write`, for frames derived from ``base``.
+
+        Only one version may succeed another: the first to claim it is listed,
+        any other is refused, so that no change is lost.
+        """
+        version = new_version()
+        for name, frame in frames.items():
+            self.put(version, name, frame)
+        claim = self.spark.range(1, numPartitions=1).select(F.lit(version).alias("version"))
+        try:
+            claim.write.mode("errorifexists").parquet(f"{self.root}/successors/{base}")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_ALREADY_EXISTS":
+                raise StaleVersion(f"version {base} already has a successor") from error
+            raise
+        return self.publish(version, kind, created_at)
 
-    def latest(self, max_age: dt.timedelta | None = None,
+    def latest(self, kind: str, max_age: dt.timedelta | None = None,
                as_of: dt.datetime | None = None) -> str | None:
-        """Newest listed version, if younger than ``max_age``."""
+        """Newest listed version of a kind, if younger than ``max_age``."""
         try:
             lines = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
+        lines = lines.filter(F.col("kind") == kind)
         if max_age is not None:
             age = XT.seconds_between(F.col("created_at"), XT.moment(as_of))
             lines = lines.filter(age < max_age.total_seconds())
@@ -77,41 +109,44 @@ class VersionStore:
     def read(self, version: str, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(version, name))
 
-    def append(self, version: str, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._path(version, name))
-
 
 def take_snapshot(store: VersionStore, desk: ServiceDesk,
                   max_age: dt.timedelta | None = None,
                   as_of: dt.datetime | None = None) -> str:
     """Version that holds both extracts; a young enough one is reused.
 
-    The ids of the open requests are stored first.  Both extracts read them,
-    so they are computed once, and their size is known: Spark broadcasts them
-    to the big tables, or shuffles if they are too many for that.
+    The ids of the open requests and the lookup tables are stored first.  The
+    ids are computed once, and whatever meets the big tables has a known size:
+    Spark broadcasts it if it is small, and shuffles if it is too large for that.
     """
     if max_age is not None:
-        young = store.latest(max_age, as_of)
+        young = store.latest(EXTRACT, max_age, as_of)
         if young:
             return young
     version = new_version()
+    desk = replace(desk, **{
+        name: store.put(version, name, getattr(desk, name)) for name in extracts.LOOKUPS
+    })
     hotline = store.put(version, "hotline_ids", extracts.open_hotline_ids(desk.am_action))
     wanted = store.put(version, "wanted", extracts.wanted_requests(desk, hotline))
     store.put(version, "tickets", extracts.extract_tickets(desk, hotline_ids=hotline))
     store.put(version, "actions", extracts.extract_actions(desk, wanted=wanted))
-    return store.publish(version, as_of)
+    return store.publish(version, EXTRACT, as_of)
 
 
-def append_missing_classification(store: VersionStore, version: str,
-                                  tickets: DataFrame) -> None:
-    """Add the default row of every ticket the stored classification lacks."""
-    stored = store.read(version, "classification")
-    store.append(version, "classification", C.missing_rows(tickets, stored))
+def complete_classification(store: VersionStore, version: str, tickets: DataFrame) -> str:
+    """New version with one row per stored request and per ticket."""
+    whole = C.complete(tickets, store.read(version, "classification"))
+    return store.succeed(version, {"classification": whole}, CLASSIFICATION)
 
 
 def change_stored_types(store: VersionStore, version: str, types: DataFrame,
-                        updates: DataFrame) -> tuple[str, DataFrame]:
-    """Write the changed classification as a new version; also the rejects."""
-    change = C.change_types(store.read(version, "classification"), types, updates)
+                        updates: DataFrame, tickets: DataFrame) -> tuple[str, DataFrame]:
+    """Write the changed classification as a new version; also the rejects.
+
+    Tickets without a stored row get theirs first, so that their changes hold.
+    A version that has been changed meanwhile is refused with ``StaleVersion``.
+    """
+    change = C.change_types(store.read(version, "classification"), types, updates, tickets)
     rows = change.classification.select(*schemas.CLASSIFICATION.names)
-    return store.write({"classification": rows}), change.rejects
+    return store.succeed(version, {"classification": rows}, CLASSIFICATION), change.rejects

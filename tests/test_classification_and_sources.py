@@ -31,27 +31,61 @@ def test_type_changes(spark):
     updates = spark.createDataFrame([
         (1, "Type 5", day), (1, "Type 6", day + dt.timedelta(hours=1)),
         (2, "Type 7", day), (2, "unknown", day + dt.timedelta(hours=1)), (9, "Type 2", day),
+        (4, "Type 8", day),
     ], schemas.TYPE_UPDATES)
-    change = C.change_types(classification(spark, [(1, 2), (2, 2), (3, 2)]), types(spark), updates)
+    stored = classification(spark, [(1, 2), (2, 2), (3, 2)])
+    # Ticket 4 is shown as type 1 without a stored row, twice in the extract.
+    open_tickets = tickets(spark, ticket(1), ticket(4), ticket(4), ticket(5))
+    change = C.change_types(stored, types(spark), updates, open_tickets)
     assert values(change.classification, "AP_REQUEST_ID", "AP_INTERVENTION_TYPE") == [
-        (1, 6), (2, 7), (3, 2)]
-    assert values(change.rejects, "AP_REQUEST_ID", "AP_TYPE_FR") == [(2, "unknown")]
+        (1, 6), (2, 7), (3, 2), (4, 8), (5, 1)]
+    assert values(change.rejects, "AP_REQUEST_ID", "AP_TYPE_FR", "reason") == [
+        (2, "unknown", "unknown type"), (9, "Type 2", "unknown request")]
+
+
+def test_one_row_per_request(spark):
+    rows = [(None, 1, "I1", 9), (4, 1, "I1", 2), (3, 1, "I1", 5), (None, 2, None, 3), (None, 2, None, 4)]
+    stored = spark.createDataFrame(rows, schemas.CLASSIFICATION)
+    assert values(C.one_per_request(stored), "AP_REQUEST_ID", "id", "AP_INTERVENTION_TYPE") == [
+        (1, 4, 2), (2, None, 4)]
 
 
 def test_stored_classification(spark, tmp_path):
     store = snapshots.VersionStore(spark, str(tmp_path))
-    assert store.latest() is None
-    first = store.write({"classification": classification(spark, [(1, 2)])}, dt.datetime(2024, 1, 1))
-    snapshots.append_missing_classification(store, first, tickets(spark, ticket(1), ticket(2)))
-    snapshots.append_missing_classification(store, first, tickets(spark, ticket(1), ticket(2)))
+    kind = snapshots.CLASSIFICATION
+    assert store.latest(kind) is None
+    base = store.write(
+        {"classification": classification(spark, [(1, 2)])}, kind, dt.datetime(2024, 1, 1))
+    now = tickets(spark, ticket(1), ticket(2), ticket(2))
+    first = snapshots.complete_classification(store, base, now)
     stored = store.read(first, "classification")
     assert values(stored, "AP_REQUEST_ID", "AP_INTERVENTION_TYPE") == [(1, 2), (2, 1)]
-    updates = spark.createDataFrame([(2, "Type 3", None)], schemas.TYPE_UPDATES)
-    second, rejects = snapshots.change_stored_types(store, first, types(spark), updates)
-    assert store.latest() == second and rejects.count() == 0
+    assert values(store.read(base, "classification"), "AP_REQUEST_ID") == [(1,)]
+    updates = spark.createDataFrame([(2, "Type 3", None), (3, "Type 4", None)], schemas.TYPE_UPDATES)
+    more = tickets(spark, ticket(3))
+    second, rejects = snapshots.change_stored_types(store, first, types(spark), updates, more)
+    assert store.latest(kind) == second and rejects.count() == 0
     assert values(store.read(second, "classification"), "AP_REQUEST_ID", "AP_INTERVENTION_TYPE") == [
-        (1, 2), (2, 3)]
+        (1, 2), (2, 3), (3, 4)]
     assert values(store.read(first, "classification"), "AP_INTERVENTION_TYPE") == [(1,), (2,)]
+    with pytest.raises(snapshots.StaleVersion):
+        snapshots.change_stored_types(store, first, types(spark), updates, more)
+    assert store.latest(kind) == second
+
+
+def test_kinds_share_a_store(spark, tmp_path):
+    """A type change after a snapshot does not hide the extracts."""
+    store = snapshots.VersionStore(spark, str(tmp_path))
+    source = adapter.service_desk(spark, SMALL)
+    start, minute = dt.datetime(2024, 1, 1, 10), dt.timedelta(minutes=1)
+    taken = snapshots.take_snapshot(store, source, 60 * minute, start)
+    changed = store.write({"classification": classification(spark, [(1, 2)])},
+                          snapshots.CLASSIFICATION, start + minute)
+    again = snapshots.take_snapshot(store, source, 60 * minute, start + 5 * minute)
+    assert again == taken and store.read(again, "tickets").count() > 0
+    assert store.latest(snapshots.CLASSIFICATION) == changed
+    for name in extracts.LOOKUPS:
+        assert store.read(taken, name).count() == getattr(source, name).count()
 
 
 def test_snapshot_is_reused_until_it_expires(spark, tmp_path):
@@ -61,7 +95,7 @@ def test_snapshot_is_reused_until_it_expires(spark, tmp_path):
     first = snapshots.take_snapshot(store, source, hour, start)
     assert snapshots.take_snapshot(store, source, hour, start + hour / 2) == first
     second = snapshots.take_snapshot(store, source, hour, start + 2 * hour)
-    assert second != first and store.latest() == second
+    assert second != first and store.latest(snapshots.EXTRACT) == second
     taken = store.read(second, "tickets")
     assert [(f.name, f.dataType) for f in taken.schema] == [
         (f.name, f.dataType) for f in schemas.TICKETS]
@@ -77,7 +111,7 @@ def test_delimited_source(spark, tmp_path):
     row |= {"REQUEST_ID": "7", "RFC_NUMBER": "I7", "SUBMIT_DATE_UT": "2021-07-01 00:00:00.000000",
             "COMMENT": '"<p>ligne 1\nligne ""2""; fin</p>"'}
     path.write_text(header + "\n" + ";".join(row.values()) + "\n", encoding="utf-8")
-    df = cleaning.clean_tickets(readers.read_delimited(spark, str(path), schemas.TICKETS))
+    df = cleaning.clean_tickets(readers.read_delimited(spark, str(path), schemas.TICKETS, multi_line=True))
     assert values(df, "AP_SD_REQUEST_ID", "AP_SD_COMMENT", "AP_SD_SUBMIT_DATE_UT") == [
         (7, 'ligne 1\nligne "2"; fin', dt.datetime(2021, 7, 1))]
 

@@ -99,9 +99,10 @@ def test_histogram(spark, numbers, step):
 
 
 def test_first_rows(spark):
-    df = spark.range(100).select(F.col("id"))
-    assert [tuple(r) for r in reports.first_rows(df, "id", 3).collect()] == [(0, 1), (1, 2), (2, 3)]
-    assert reports.first_rows(df, "id").count() == 24
+    df = spark.range(100).select((F.col("id") % 7).alias("n"), F.col("id")).repartition(5)
+    assert [tuple(r) for r in reports.first_rows(df, "n", "id", 3).collect()] == [
+        (0, 0, 1), (0, 7, 2), (0, 14, 3)]
+    assert reports.first_rows(df, "n", "id").count() == 24
 
 
 def test_employee_events(spark):
