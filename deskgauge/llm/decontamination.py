@@ -141,11 +141,11 @@ def _through_blocks(docs: DataFrame, benchmark: DataFrame, limit: int, schema: s
         "doc_id", "text", F.lit(None).cast("binary").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"))
     folder = None
-    for last, grams in _blocks(benchmark, limit):
+    for number, (last, grams) in enumerate(_blocks(benchmark, limit)):
         if last:
             return _scan(state, grams, schema, finish)
         folder = folder or common.scratch(docs.sparkSession)
-        state = common.stored(_scan(state, grams, _STATE, _carried), folder, f"block{grams.id}")
+        state = common.stored(_scan(state, grams, _STATE, _carried), folder, f"block{number}")
 
 
 RESULT = ("doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, "
