@@ -21,7 +21,7 @@ every score is the share of label 1; repeated rows repeat their score.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
@@ -38,6 +38,7 @@ ORDER = 5          # bytes of an n-gram; packed in one 64-bit number
 SHARED = 3         # orders below this one are pooled over both classes
 DISCOUNT = 0.9
 THRESHOLD = 0.3
+BLOCK = 6_000_000    # bytes of text in memory at a time
 
 _PAD = b"\0" * (ORDER - 1)
 _SPACE = 32
@@ -146,12 +147,23 @@ def _probability(orders: list[Order], grams: np.ndarray, n: int) -> np.ndarray:
 
 
 class Scorer:
-    """Features of texts; distinct words of a block are looked up once."""
+    """Features of texts; distinct words of a block of texts are looked up once."""
 
     def __init__(self, model: Model):
         self.model = model
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def features(self, texts: Iterable[bytes]) -> np.ndarray:
+        """One row per text, ``BLOCK`` bytes or one text at a time."""
+        out, block, size = [np.zeros((0, 2))], [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                out.append(self._block(block))
+                block, size = [], 0
+        return np.concatenate([*out, self._block(block)])
+
+    def _block(self, texts: list[bytes]) -> np.ndarray:
         ids: dict[bytes, int] = defaultdict(count().__next__)
         rows = [np.fromiter(map(ids.__getitem__, t.lower().split()), np.int64) for t in texts]
         raw, at, owner = _positions(list(ids))
@@ -169,9 +181,9 @@ class Scorer:
                             / np.add.reduceat(length[flat], start))
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: Iterable[bytes]) -> np.ndarray:
         if not self.model.orders:
-            return common.logistic(np.zeros((len(texts), 2)), self.model.weights)
+            return common.logistic(np.zeros((sum(1 for _ in texts), 2)), self.model.weights)
         return common.logistic(self.features(texts), self.model.weights)
 
 
@@ -233,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            rows = scorer.features(list(common.utf8(batch.column(0))))
+            rows = scorer.features(common.utf8(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
                 [*map(pa.array, rows.T.copy()), batch.column(1)], ["a", "b", "label"])
 
@@ -256,7 +268,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             held = [common.crc_of_id(i) % FOLDS == HELD_OUT for i in ids.to_pylist()]
-            values = scorer.scores(list(common.utf8(batch.column(1))))
+            values = scorer.scores(common.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(held, pa.bool_()), pa.array(values, pa.float64()),
                  pa.array((values >= THRESHOLD).astype(np.int32))],
@@ -271,6 +283,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(ids, texts):
-        return Scorer(shared.value).scores(list(common.utf8(texts))) < THRESHOLD
+        return Scorer(shared.value).scores(common.utf8(texts)) < THRESHOLD
 
     return common.filtered(docs, keep)
