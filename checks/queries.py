@@ -710,11 +710,8 @@ def _(spark, sf):
 @query("a12_latest_contact_per_day",
        "SELECT id, strftime(day, '%Y-%m-%d') AS day, latest FROM contactdays")
 def _(spark, sf):
-    start = F.col("AP_AM_START_DATE")
-    contacts = acts(spark, sf).filter(S.is_contact_action() & start.isNotNull())
-    return contacts.groupBy(
-        F.col("AP_AM_REQUEST_ID").alias("id"), text_of_date(XT.local_date(start)).alias("day")
-    ).agg(F.max(start).alias("latest"))
+    return rules.latest_contact_per_day(acts(spark, sf)).select(
+        F.col("AP_AM_REQUEST_ID").alias("id"), text_of_date(F.col("day")).alias("day"), "latest")
 
 
 _AGE_DAYS = f"{O.minutes('submitted')} / 1440.0"
@@ -853,12 +850,7 @@ def _(spark, sf):
                        row_number() OVER (PARTITION BY id ORDER BY start DESC NULLS LAST, action_id DESC) AS r3
                 FROM a) GROUP BY id""")
 def _(spark, sf):
-    # The ordered firsts as aggregates: no task ever holds a whole group.
-    start, number = F.col("AP_AM_START_DATE"), F.col("AP_AM_ACTION_ID")
-    return acts(spark, sf).groupBy(F.col("AP_AM_REQUEST_ID").alias("id")).agg(
-        F.max_by(number, F.struct(start.isNull(), start, number)).alias("open_or_newest"),
-        F.min_by(number, F.struct(start.isNull(), start, number)).alias("earliest"),
-        F.max_by(number, F.struct(start, number)).alias("latest"))
+    return features.first_actions(acts(spark, sf)).withColumnRenamed("AP_AM_REQUEST_ID", "id")
 
 
 @query("t5_types_by_count", _TYPE_COUNTS)
@@ -901,7 +893,7 @@ over_documents("x4_matches", lambda c: X.matches(c, K.PATTERN_SECURITY),
 over_documents("x5_contains", lambda c: X.contains(c, "tablette"), "contains(text, 'tablette')")
 over_documents("x6_startswith", lambda c: X.startswith(c, "D"), "starts_with(text, 'D')")
 # Full case mapping of the sharp s, which DuckDB maps to its capital form.
-over_documents("x7_upper", F.upper, "upper(replace(text, 'ß', 'ss'))")
+over_documents("x7_upper", X.upper, "upper(replace(text, 'ß', 'ss'))")
 
 
 @query("x2_strip_tags",
@@ -921,7 +913,8 @@ def _(spark, sf):
 @query("x8_concat", "SELECT id, rfc || ' - ' || ci AS value FROM t")
 def _(spark, sf):
     return clean(spark, sf).select(
-        ticket_id(), F.concat("AP_SD_RFC_NUMBER", F.lit(" - "), "AP_SD_CI_NAME").alias("value"))
+        ticket_id(),
+        X.joined(F.col("AP_SD_RFC_NUMBER"), " - ", F.col("AP_SD_CI_NAME")).alias("value"))
 
 
 @query("x9_joined_texts", "SELECT id, why AS value FROM scored")
@@ -949,9 +942,9 @@ def _(spark, sf):
                  CAST(try_cast(c_name AS BIGINT) AS DOUBLE) AS none, CAST(c_custkey AS VARCHAR) AS shown FROM customer""")
 def _(spark, sf):
     return adapter.table(spark, sf, "customer").select(
-        "c_custkey", F.col("c_name").substr(10, 20).try_cast("bigint").alias("number"),
-        F.col("c_name").try_cast("bigint").cast("double").alias("none"),
-        F.col("c_custkey").cast("string").alias("shown"))
+        "c_custkey", X.whole_number(F.col("c_name").substr(10, 20)).alias("number"),
+        X.whole_number(F.col("c_name")).cast("double").alias("none"),
+        X.shown(F.col("c_custkey")).alias("shown"))
 
 
 @query("x13_parse_timestamp",
@@ -1069,7 +1062,7 @@ def _(spark, sf):
 @query("x25_fill_null", "SELECT action_id, coalesce(note, '') AS value FROM a")
 def _(spark, sf):
     return acts(spark, sf).select(
-        action_id(), F.coalesce("AP_AM_DESCRIPTION", F.lit("")).alias("value"))
+        action_id(), X.or_empty(F.col("AP_AM_DESCRIPTION")).alias("value"))
 
 
 # ----------------------------------------------------------- calendar operators
@@ -1151,6 +1144,23 @@ def _(spark, sf):
     return quality.has_old_action(acts(spark, sf), now())
 
 
+@query("e_report",
+       f"""SELECT 'ticket without assignment' AS expectation, count(*) AS violations
+           FROM t WHERE id NOT IN (SELECT id FROM tech)
+           UNION ALL SELECT 'repeated ticket', count(*) FROM (
+               SELECT id FROM t GROUP BY id HAVING count(*) > 1)
+           UNION ALL SELECT 'repeated action', count(*) FROM (
+               SELECT action_id FROM a GROUP BY action_id HAVING count(*) > 1)
+           UNION ALL SELECT 'repeated answer', count(*) FROM (
+               SELECT id, question FROM an GROUP BY id, question HAVING count(*) > 1)
+           UNION ALL SELECT 'unparsed appointment', count(*) FROM a WHERE note LIKE '%rdv:%'
+               AND try_strptime(regexp_extract(note, 'rdv:(.*)', 1), '%d/%m/%Y') IS NULL
+           UNION ALL SELECT 'no old action', CAST(NOT bool_or({O.minutes('start')} > 0) AS BIGINT)
+           FROM a""")
+def _(spark, sf):
+    return flows.quality_report(adapter.desk(spark, sf, with_answers=True))
+
+
 # ------------------------------------------------------------------ workflows
 
 def flow(name: str, sql: str, run, flat=None):

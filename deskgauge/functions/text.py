@@ -158,6 +158,29 @@ def title_case(column: Column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
+def upper(column: Column) -> Column:
+    """Full case mapping: a sharp s becomes two letters."""
+    return F.upper(column)
+
+
+def joined(*parts: Column | str) -> Column:
+    """Columns and plain texts as one text; null if a column is null."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def whole_number(column: Column) -> Column:
+    """The number a text shows; null if it shows none."""
+    return column.try_cast("bigint")
+
+
+def shown(column: Column) -> Column:
+    return column.cast("string")
+
+
+def or_empty(column: Column) -> Column:
+    return F.coalesce(column, F.lit(""))
+
+
 def sentinel_to_null(column: Column) -> Column:
     return F.when((column == "N/A") | column.contains("<NA>"), None).otherwise(column)
 

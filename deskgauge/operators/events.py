@@ -25,7 +25,7 @@ def employee_events(people: DataFrame) -> DataFrame:
     """
     flag = lambda condition: F.when(condition, 1).otherwise(0)
     people = people.withColumns({
-        "NOM": F.upper("NOM"),
+        "NOM": X.upper(F.col("NOM")),
         "PRENOM": X.title_case(F.col("PRENOM")),
         "LOCATION": X.display_location(F.col("LOCATION")),
         "ARRIVAL_DATE": XT.day_text(XT.parse_day(F.col("ARRIVAL_DATE"))),
@@ -34,10 +34,9 @@ def employee_events(people: DataFrame) -> DataFrame:
     })
     needs_visit = (F.col("PC") == 1) | (F.col("TELEPHONE") == 1)
     is_arrival = X.member(F.col("SD_CATALOG_ID"), (K.CATALOG_NEW_ARRIVAL,))
-    title = F.concat(
-        F.col("RFC_NUMBER"), F.lit(" - "), F.col("NOM"), F.lit(", "), F.col("PRENOM"),
-        F.lit(" - "), F.col("LOCATION"), F.lit(" - PC:"), F.col("PC"),
-        F.lit(" Tel:"), F.col("TELEPHONE"),
+    title = X.joined(
+        F.col("RFC_NUMBER"), " - ", F.col("NOM"), ", ", F.col("PRENOM"),
+        " - ", F.col("LOCATION"), " - PC:", F.col("PC"), " Tel:", F.col("TELEPHONE"),
     )
     return people.select(*_event(
         title,
@@ -66,10 +65,9 @@ def _location_color(location: Column) -> Column:
 def rdv_events(tickets: DataFrame) -> DataFrame:
     """One event per dated appointment; the title keeps the raw location."""
     raw_location = F.col("AP_SD_RECIPIENT_LOCATION_RH")
-    dash = F.lit(" - ")
-    title = F.concat(
-        F.col("AP_SD_RFC_NUMBER"), dash, F.col("AP_SD_RECIPIENT_LAST_NAME"),
-        F.lit(", "), raw_location, dash, F.col("AP_TYPE_FR"),
+    title = X.joined(
+        F.col("AP_SD_RFC_NUMBER"), " - ", F.col("AP_SD_RECIPIENT_LAST_NAME"),
+        ", ", raw_location, " - ", F.col("AP_TYPE_FR"),
     )
     location = X.display_location(raw_location)
     return tickets.filter(selectors.has_dated_rdv()).select(*_event(

@@ -19,6 +19,7 @@ from deskgauge.functions import text as X
 from deskgauge.functions import time as XT
 from deskgauge.operators import joins
 from deskgauge.operators.cleaning import any_of
+from deskgauge.operators.columns import require_columns
 
 TICKET_ID = "AP_SD_REQUEST_ID"
 ACTION_TICKET_ID = "AP_AM_REQUEST_ID"
@@ -80,6 +81,20 @@ def _rdv(rows: Column) -> dict[str, Column]:
     }
 
 
+def first_actions(actions: DataFrame) -> DataFrame:
+    """Per request: the action that is open or newest, the earliest, and the latest.
+
+    The ordered firsts are aggregates: no task ever holds a whole group.
+    """
+    number = F.col("AP_AM_ACTION_ID")
+    open_last = F.struct(_start().isNull(), _start(), number)
+    return actions.groupBy(ACTION_TICKET_ID).agg(
+        F.max_by(number, open_last).alias("open_or_newest"),
+        F.min_by(number, open_last).alias("earliest"),
+        F.max_by(number, F.struct(_start(), number)).alias("latest"),
+    )
+
+
 TECHNICIAN = ActionFeature(_is_assignment, _technician)
 FIRST_ACTION = ActionFeature(
     _is_work, lambda rows: {"C_ACTION_START": F.min(F.when(rows, _start()))}
@@ -158,6 +173,7 @@ def with_start_date(tickets: DataFrame) -> DataFrame:
 
 def with_age(tickets: DataFrame, as_of: Column) -> DataFrame:
     """Age in minutes."""
+    require_columns(tickets, ["C_START_DATE"])
     return tickets.withColumn(
         "C_TICKET_AGE", XT.minutes_between(F.col("C_START_DATE"), as_of)
     )

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deskgauge.functions import time as XT
+from deskgauge.functions import text as X
 from deskgauge.operators import features
-
-
-class MissingColumns(ValueError):
-    """A frame lacks columns an operator needs."""
-
-
-def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """The frame itself; raises while the plan is built when columns lack."""
-    missing = sorted(set(names) - set(df.columns))
-    if missing:
-        raise MissingColumns(f"missing columns: {missing}")
-    return df
+from deskgauge.operators.columns import MissingColumns, require_columns  # noqa: F401
 
 
 def tickets_without_action(tickets: DataFrame, actions: DataFrame,
@@ -52,3 +40,27 @@ def has_old_action(actions: DataFrame, as_of: Column) -> DataFrame:
     """Whether some action lies a minute or more back, durations being rounded."""
     age = XT.minutes_between(F.col("AP_AM_START_DATE"), as_of)
     return actions.agg(F.coalesce(F.bool_or(age > 0), F.lit(False)).alias("has_old_action"))
+
+
+def report(tickets: DataFrame, actions: DataFrame, as_of: Column,
+           answers: DataFrame | None = None) -> DataFrame:
+    """One row per expectation: its name and the number of violations."""
+    note = X.rdv_date_text(F.col("AP_AM_DESCRIPTION"))
+    dates = unparsed(actions, note, XT.parse_day(note))
+    old = has_old_action(actions, as_of)
+    counts = {
+        "ticket without assignment": tickets_without_action(
+            tickets, actions, features.TECHNICIAN.rows()).agg(F.count("*")),
+        "repeated ticket": duplicates(tickets, features.TICKET_ID).agg(F.count("*")),
+        "repeated action": duplicates(actions, "AP_AM_ACTION_ID").agg(F.count("*")),
+        "unparsed appointment": dates,
+        "no old action": old.select((~F.col("has_old_action")).cast("bigint")),
+    }
+    if answers is not None:
+        counts["repeated answer"] = repeated_answers(answers).agg(F.count("*"))
+    rows = [found.toDF("violations").select(F.lit(name).alias("expectation"), "violations")
+            for name, found in counts.items()]
+    whole = rows[0]
+    for row in rows[1:]:
+        whole = whole.unionByName(row)
+    return whole

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deskgauge.functions import text as X
 from deskgauge.functions import time as XT
+from deskgauge.operators.columns import require_columns
 
 TOP_ROWS = 25
 CHART_ROWS = 24
@@ -50,7 +51,7 @@ def format_rows(tickets: DataFrame) -> DataFrame:
         values["AP_SD_RECIPIENT_LOCATION_RH"]
     )
     values["C_RDV_DATE"] = XT.calendar_millis_text(values["C_RDV_DATE"])
-    values["AP_SD_REQUEST_ID"] = values["AP_SD_REQUEST_ID"].cast("string")
+    values["AP_SD_REQUEST_ID"] = X.shown(values["AP_SD_REQUEST_ID"])
     return tickets.select(*[
         values[name].alias(output) for name, output in ROW_COLUMNS.items()
     ])
@@ -115,6 +116,7 @@ def technician_totals(tickets: DataFrame) -> DataFrame:
 
 
 def total_score(tickets: DataFrame) -> DataFrame:
+    require_columns(tickets, ["C_POINTS"])
     return tickets.agg(F.coalesce(F.sum("C_POINTS"), F.lit(0)).alias("value"))
 
 

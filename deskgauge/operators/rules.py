@@ -13,6 +13,7 @@ from deskgauge import constants as K
 from deskgauge.functions import text as X
 from deskgauge.functions import time as XT
 from deskgauge.operators import features, joins, selectors
+from deskgauge.operators.columns import require_columns
 
 MIN_CONTACT_SPAN = 7
 HOTLINE = "hotline"
@@ -20,14 +21,11 @@ GRACE_DAYS_HOTLINE = 1
 GRACE_DAYS_PROXY = 5
 
 
-def contact_days(actions: DataFrame) -> DataFrame:
-    """Per ticket: contact days, latest contact of the first and last day.
-
-    Tickets whose actions hold no contact are kept, with zero days.
-    """
+def _per_day(actions: DataFrame) -> DataFrame:
+    """One row per ticket and local day of a contact, one for all its other actions."""
     start = F.col("AP_AM_START_DATE")
     contact = selectors.is_contact_action()
-    per_day = (
+    return (
         actions.filter(F.col(features.ACTION_TICKET_ID).isNotNull())
         .groupBy(
             features.ACTION_TICKET_ID,
@@ -38,7 +36,22 @@ def contact_days(actions: DataFrame) -> DataFrame:
             F.bool_or(contact).alias("_contact"),
         )
     )
-    return per_day.groupBy(features.ACTION_TICKET_ID).agg(
+
+
+def latest_contact_per_day(actions: DataFrame) -> DataFrame:
+    """``day`` and ``latest`` contact of every ticket and local day with one."""
+    return _per_day(actions.filter(selectors.is_contact_action())).filter(
+        F.col("_day").isNotNull()
+    ).select(features.ACTION_TICKET_ID, F.col("_day").alias("day"),
+             F.col("_latest").alias("latest"))
+
+
+def contact_days(actions: DataFrame) -> DataFrame:
+    """Per ticket: contact days, latest contact of the first and last day.
+
+    Tickets whose actions hold no contact are kept, with zero days.
+    """
+    return _per_day(actions).groupBy(features.ACTION_TICKET_ID).agg(
         F.count("_day").alias("contact_days"),
         F.min("_latest").alias("first_contact"),
         F.max("_latest").alias("last_contact"),
@@ -120,5 +133,6 @@ def is_suspended_too_long(as_of: Column, inter_type: str | None) -> Column:
 def suspended_gt_x(tickets: DataFrame, actions: DataFrame, as_of: Column,
                    inter_type: str | None = None) -> DataFrame:
     """Classified tickets suspended for longer than their type allows."""
+    require_columns(tickets, ["AP_INTERVENTION_TYPE"])
     tickets = features.with_action_features(tickets, actions, features.SUSPENSION)
     return tickets.filter(is_suspended_too_long(as_of, inter_type)).drop("C_SUSPENDED_AT")

@@ -12,7 +12,7 @@ from deskgauge import constants as K
 from deskgauge.functions import text as X
 from deskgauge.functions import time as XT
 from deskgauge.operators import selectors
-from deskgauge.operators.quality import require_columns
+from deskgauge.operators.columns import require_columns
 
 NEEDED_COLUMNS = ("C_TICKET_TYPE", "C_TICKET_AGE", "C_LAST_ACTION_DATE",
                   "AP_SD_URGENCY_ID", "AP_SD_STATUS_ID")

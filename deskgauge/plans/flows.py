@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from deskgauge.functions import time as XT
 from deskgauge.operators import classification as C
 from deskgauge.operators import (
-    cleaning, events, features, joins, reports, rules, scoring,
+    cleaning, events, features, joins, quality, reports, rules, scoring,
 )
 from deskgauge.operators import selectors as S
 
@@ -315,6 +315,13 @@ def technician_table(desk: Desk) -> DataFrame:
     return reports.technician_totals(_score(desk, tickets, desk.now))
 
 
+def quality_report(desk: Desk) -> DataFrame:
+    """Violations of the expectations on the extracts of a desk."""
+    return quality.report(
+        desk.clean_tickets(), desk.clean_actions(), desk.now, desk.answers
+    )
+
+
 # ------------------------------------------------------------- side table
 
 def change_classification(desk: Desk, updates: DataFrame) -> C.TypeChange:

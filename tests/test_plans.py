@@ -129,6 +129,7 @@ def test_selectors_reach_the_scan(inputs, conf):
 @pytest.mark.parametrize("flow", [
     flows.new_arrivals_rows, flows.software_install_rows, flows.suspended_mail_count,
     flows.contacted_count, flows.suspended_too_long_rows, flows.vip_rows,
+    flows.suspended_mail_rows, flows.contacted_rows,
 ], ids=lambda f: f.__name__)
 def test_selected_tickets_filter_the_action_scan(inputs, big, flow):
     """A bloom filter of the selected ids runs below the action aggregate."""
@@ -137,6 +138,34 @@ def test_selected_tickets_filter_the_action_scan(inputs, big, flow):
     assert re.search(r"might_contain\(.*xxhash64\(REQUEST_ID", plan) or "might_contain" in plan
 
 
+@pytest.mark.parametrize("flow", [
+    lambda desk: flows.ticket_flow_rows(desk, "incident+hotline"),
+    lambda desk: flows.suspended_too_long_rows(desk, "hotline"),
+], ids=["ticket_flow_rows", "suspended_too_long_rows"])
+def test_the_class_is_known_before_the_actions(inputs, big, flow):
+    """The ids that prune the action scan are those of the class."""
+    plan = optimized(flow(inputs))
+    pruning = plan[plan.index("bloom_filter_agg(xxhash64(AP_SD_REQUEST_ID"):]
+    assert "AP_INTERVENTION_TYPE" in pruning.split("FileScan parquet")[0] or re.search(
+        r"AP_INTERVENTION_TYPE#\d+L? = 2|IN \(2\)", pruning)
+    assert len(scans(physical(flow(inputs)), "classification")) >= 1
+
+
+@pytest.mark.parametrize("broadcasts", [True, False])
+@pytest.mark.parametrize("flow", [flows.suspended_mail_table, flows.tickets_by_expiration],
+                         ids=lambda f: f.__name__)
+def test_the_top_25_are_found_once(inputs, conf, flow, broadcasts):
+    if not broadcasts:
+        for prefix in ("spark.sql", "spark.sql.adaptive"):
+            conf(f"{prefix}.autoBroadcastJoinThreshold", "-1")
+    df = flow(inputs)
+    assert len(df.collect()) <= 25
+    final = physical(df).split("== Initial Plan ==")[0]
+    # One for the ids, read again by the other two tables, and one for the result.
+    assert final.count("TakeOrderedAndProject(limit=25") == 2
+    assert final.count("ReusedExchange") >= 2
+
+
 @pytest.mark.parametrize("flow", [flows.suspended_mail_table, flows.tickets_by_expiration],
                          ids=lambda f: f.__name__)
 def test_top_tables_never_sort_everything(inputs, big, flow):

@@ -28,7 +28,7 @@ def test_row_list(spark):
     assert second["Score"] == 110 and second["AP_SD_REQUEST_ID"] == "2"
 
 
-def test_tables_keep_their_header(spark):
+def test_tables_keep_their_header(spark, tmp_path):
     inputs = desk(spark, [ticket(i, STATUS_ID=39, MAX_RESOLUTION_DATE_UT=f"2024-05-{1 + i % 28:02d} 08:00:00")
                           for i in range(40)],
                   [action(i, i, "2024-01-08 09:00:00", done_by=f"t{i}") for i in range(40)])
@@ -42,6 +42,12 @@ def test_tables_keep_their_header(spark):
     assert len(shown["data"]) == 25 and shown["columns"][0]["name"] == "Ticket"
     assert [r["AP_SD_RFC_NUMBER"] for r in shown["data"][:3]] == ["I000000", "I000028", "I000001"]
     assert shown["data"][1]["AP_AM_DONE_BY_OPERATOR_NAME"] == "t28"
+    with pytest.raises(sinks.TooManyRows):
+        sinks.table_json(table, rows=24)
+    sinks.write_table(table, str(tmp_path / "table"))
+    (line,) = spark.read.text(str(tmp_path / "table/header")).collect()
+    assert json.loads(line["value"]) == reports.header(table)
+    assert spark.read.json(str(tmp_path / "table/rows")).count() == 25
     filtered = flows.suspended_mail_table(inputs, "^t2.$")
     assert {r[0] for r in filtered.select("AP_AM_DONE_BY_OPERATOR_NAME").collect()} == {
         f"t{i}" for i in range(20, 30)}

@@ -1,11 +1,11 @@
 from __future__ import annotations
 
 import pytest
-from helpers import AS_OF, ticket, tickets, values
+from helpers import AS_OF, actions, ticket, tickets, values
 from pyspark.sql import functions as F
 
 from deskgauge.functions import time as XT
-from deskgauge.operators import features, quality, scoring
+from deskgauge.operators import features, quality, reports, rules, scoring
 
 DAY = 1440
 VIP = ("Vip",)
@@ -83,8 +83,41 @@ def test_total_is_the_sum_of_the_parts(spark):
 
 
 def test_columns_are_required(spark):
-    with pytest.raises(quality.MissingColumns, match="C_LAST_ACTION_DATE"):
-        scoring.with_score(features.with_ticket_type(tickets(spark, ticket(1))))
+    plain = tickets(spark, ticket(1))
+    for column, operator in (
+            ("C_LAST_ACTION_DATE", lambda: scoring.with_score(features.with_ticket_type(plain))),
+            ("C_START_DATE", lambda: features.with_age(plain, XT.moment(AS_OF))),
+            ("C_POINTS", lambda: reports.total_score(plain)),
+            ("AP_INTERVENTION_TYPE", lambda: rules.suspended_gt_x(
+                plain, actions(spark), XT.moment(AS_OF)))):
+        with pytest.raises(quality.MissingColumns, match=column):
+            operator()
+
+
+# Fixed values, apart from the package's constants: urgency, whether a request, name,
+# base and points a day since creation, points a day since the last action and running.
+RATES = [
+    (5, True, "Demande-Normal", 0, 1, 1, 10),
+    (5, False, "Incident-Normal", 1, 3, 3, 25),
+    (3, True, "Demande-Sensible", 3, 3, 3, 25),
+    (3, False, "Incident-Sensible", 10, 10, 10, 50),
+    (2, True, "Demande-Important", 30, 30, 30, 50),
+    (2, False, "Incident-Important", 100, 100, 100, 100),
+    (1, True, "Demande-Majeur", 300, 300, 300, 300),
+    (1, False, "Incident-Majeur", 1000, 1000, 1000, 1000),
+]
+
+
+@pytest.mark.parametrize("urgency, request_, name, base, created, last, running", RATES)
+def test_rates_and_texts(spark, urgency, request_, name, base, created, last, running):
+    row = scored(spark, 2 * DAY, 3 * DAY, URGENCY_ID=urgency, **kind(request_), **SECURITY).first()
+    assert row["C_POINTS"] == base + 2 * created + 3 * last + 3 * running + 1000
+    lead = "+" if urgency == 5 else f"{base} base + "
+    assert row["C_POINTS_JUSTIFICATION"] == (
+        f" // {lead}{created} pt/jour pour {name} depuis creation"
+        f" // +{last} pt/jour pour {name} depuis dernière action"
+        f" // +{running} pt/jour pour {name} non suspendu"
+        " // +1000 pts ticket sécurité  //  // ")
 
 
 def test_age_reads_one_clock(spark):
