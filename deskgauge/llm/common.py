@@ -78,8 +78,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     Of each label the ``rows`` ids with the smallest hash are taken, outside the
     held-out fold; only these ids (``2 * rows`` at most) are broadcast to the
     documents.  ``curve`` marks a quarter of them, for the calibration.  A
-    document with several labels counts with its greatest; ids repeated in the
-    documents cannot make the sample larger than ``2 * rows``.
+    document with several labels counts with its greatest; of an id repeated in
+    the documents the least text is taken, so the sample stays within the bound.
     """
     crc = crc_column()
     known = (
@@ -94,8 +94,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     sample = (
         documents(docs)
         .join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
         .select("text", "label", (F.floor(crc / folds) % 4 == 0).alias("curve"))
-        .limit(2 * rows)
     )
     return stored(sample, scratch(docs.sparkSession), f"sample_{label}"), counts
 

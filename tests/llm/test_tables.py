@@ -29,7 +29,7 @@ def plain_rotation(rows):
             at = 0
             for position, (turn, role, text) in enumerate(order):
                 shown = ("assistant" if role == side else "system" if role == "system" else "user")
-                name = (role or "unknown" if role is not None else "unknown") if shown == "user" else None
+                name = ("unknown" if role is None else role) if shown == "user" else None
                 head = f"<|im_start|>{shown}" + (f" name={name}" if name is not None else "") + "\n"
                 segment = f"{head}{text}<|im_end|>\n"
                 mask = ((at + len(head), at + len(segment) - 1) if role == side else (at, at))
