@@ -81,13 +81,31 @@ def _text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def _projected(df: DataFrame, changed: dict[str, Column], then=None,
+               names: dict[str, str] | None = None) -> list[Column]:
+    """All columns of ``df`` for one ``select``: changed, changed again, renamed."""
+    columns = {c: F.col(c) for c in df.columns} | changed
+    if then is not None:
+        columns |= then(columns)
+    names = names or {}
+    return [column.alias(names.get(c, c)) for c, column in columns.items()]
+
+
+def _sentinels(df: DataFrame) -> dict[str, Column]:
+    return {c: X.sentinel_to_null(F.col(c)) for c in _text_columns(df)}
+
+
+def _blanks(df: DataFrame) -> dict[str, Column]:
+    return {c: X.blank_to_null(F.col(c)) for c in _text_columns(df)}
+
+
 def sentinels_to_null(df: DataFrame) -> DataFrame:
     """``N/A`` and anything that contains ``<NA>`` become null, in text columns."""
-    return df.withColumns({c: X.sentinel_to_null(F.col(c)) for c in _text_columns(df)})
+    return df.withColumns(_sentinels(df))
 
 
 def blanks_to_null(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: X.blank_to_null(F.col(c)) for c in _text_columns(df)})
+    return df.withColumns(_blanks(df))
 
 
 def drop_empty_actions(df: DataFrame) -> DataFrame:
@@ -99,16 +117,16 @@ def _present(df: DataFrame, columns: dict[str, Column]) -> dict[str, Column]:
     return {name: value for name, value in columns.items() if name in df.columns}
 
 
-def _dates(df: DataFrame, names, pattern: str | None) -> dict[str, Column]:
+def _dates(df: DataFrame, names, pattern: str | None,
+           columns: dict[str, Column]) -> dict[str, Column]:
     return {
-        name: XT.as_utc(F.col(name), df.schema[name].dataType, pattern)
-        for name in names if name in df.columns
+        name: XT.as_utc(columns[name], df.schema[name].dataType, pattern)
+        for name in names if name in columns
     }
 
 
-def fill_ticket_defaults(df: DataFrame) -> DataFrame:
-    """Constant fill-ins of a raw ticket frame; names also lose their accents."""
-    return df.withColumns(_present(df, {
+def _ticket_defaults(df: DataFrame) -> dict[str, Column]:
+    return _present(df, {
         "RECIPIENT_LAST_NAME": X.strip_accents(
             F.coalesce("RECIPIENT_LAST_NAME", F.lit(K.FILL_NAME))
         ),
@@ -116,25 +134,41 @@ def fill_ticket_defaults(df: DataFrame) -> DataFrame:
         "RECIPIENT_LOCATION_RH": F.coalesce(
             "RECIPIENT_LOCATION_RH", F.lit(K.FILL_LOCATION)
         ),
-    }))
+    })
 
 
-def clean_comment(df: DataFrame) -> DataFrame:
+def fill_ticket_defaults(df: DataFrame) -> DataFrame:
+    """Constant fill-ins of a raw ticket frame; names also lose their accents."""
+    return df.withColumns(_ticket_defaults(df))
+
+
+def _comment(df: DataFrame) -> dict[str, Column]:
     cleaned = X.strip_greeting(X.strip_tags(F.col("COMMENT")))
-    return df.withColumns(_present(df, {"COMMENT": cleaned}))
+    return _present(df, {"COMMENT": cleaned})
+
+
+def clean_comment(df: DataFrame) -> DataFrame:
+    return df.withColumns(_comment(df))
 
 
 def clean_tickets(df: DataFrame) -> DataFrame:
-    """Ticket extract -> cleaned, renamed tickets with UTC timestamps."""
-    df = sentinels_to_null(df)
-    df = df.withColumns(_dates(df, _TICKET_DATES, None))
-    df = clean_comment(fill_ticket_defaults(df))
-    return df.withColumnsRenamed(TICKET_COLUMNS)
+    """Ticket extract -> cleaned, renamed tickets with UTC timestamps.
+
+    Two projections: what looks at raw values, then what builds on the result.
+    """
+    known = df.select(*_projected(df, _sentinels(df), lambda columns: _dates(
+        df, _TICKET_DATES, None, columns)))
+    return known.select(*_projected(
+        known, _comment(known) | _ticket_defaults(known), names=TICKET_COLUMNS))
+
+
+def _operator_or_group() -> Column:
+    return F.coalesce("DONE_BY_NAME", "GROUP_FR")
 
 
 def operator_or_group(df: DataFrame) -> DataFrame:
     """The group stands in for a missing operator name."""
-    return df.withColumn("DONE_BY_NAME", F.coalesce("DONE_BY_NAME", "GROUP_FR"))
+    return df.withColumn("DONE_BY_NAME", _operator_or_group())
 
 
 def clean_actions(df: DataFrame, date_format: str | None = None) -> DataFrame:
@@ -143,9 +177,12 @@ def clean_actions(df: DataFrame, date_format: str | None = None) -> DataFrame:
     ``date_format`` is a Spark datetime pattern for text dates that differ
     from the default.
     """
-    df = operator_or_group(drop_empty_actions(blanks_to_null(df)))
-    df = df.withColumns(_dates(df, _ACTION_DATES, date_format))
-    return df.withColumnsRenamed({c: action_column(c) for c in schemas.ACTIONS.names})
+    known = drop_empty_actions(df.select(*_projected(df, _blanks(df))))
+    columns = {c: F.col(c) for c in known.columns}
+    changed = _dates(known, _ACTION_DATES, date_format, columns)
+    changed["DONE_BY_NAME"] = _operator_or_group()
+    return known.select(*_projected(
+        known, changed, names={c: action_column(c) for c in schemas.ACTIONS.names}))
 
 
 def drop_known_bad_tickets(df: DataFrame, ids=K.REQUEST_IDS_KNOWN_BAD) -> DataFrame:
