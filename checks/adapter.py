@@ -39,15 +39,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(selector: str, values, other=None) -> Column:
-    """``values[selector]``, or ``other`` beyond the list."""
+    """``values[selector]``, or ``other`` beyond the list.
+
+    One lookup in a literal, so that the generated methods stay small enough to
+    be compiled.
+    """
     def shown(value):
         if value is None:
             return "NULL"
         return sql_text(value) if isinstance(value, str) else str(value)
 
-    pairs = values.items() if isinstance(values, dict) else enumerate(values)
-    branches = " ".join(f"WHEN {key} THEN {shown(value)}" for key, value in pairs)
-    return F.expr(f"CASE {selector} {branches} ELSE {shown(other)} END")
+    if isinstance(values, dict):
+        entries = ", ".join(f"{key}, {shown(value)}" for key, value in values.items())
+        return F.expr(f"coalesce(try_element_at(map({entries}), CAST({selector} AS INT)), {shown(other)})")
+    listed = f"try_element_at(array({', '.join(map(shown, values))}), CAST({selector} + 1 AS INT))"
+    if other is None:
+        return F.expr(listed)
+    return F.expr(f"CASE WHEN {selector} < {len(values)} THEN {listed} ELSE {shown(other)} END")
 
 
 def _padded(prefix: str, number: Column) -> Column:
@@ -136,8 +144,9 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _label(kind).alias("ACTION_LABEL_FR"),
         kind.alias("ACTION_TYPE_ID"),
         _action_start().alias("START_DATE_UT"),
-        F.when(k % 13 != 0, _padded("Supplier#", F.col("supplier"))).alias("DONE_BY_NAME"),
-        F.lit("Hotline").alias("GROUP_FR"),
+        # Some actions of a ticket have an operator, some a group, some neither.
+        F.when((k + 2 * n) % 5 != 0, _padded("Supplier#", F.col("supplier"))).alias("DONE_BY_NAME"),
+        F.when((k + n) % 2 != 0, "Hotline").alias("GROUP_FR"),
         _note().alias("DESCRIPTION"),
     ), schemas.ACTIONS)
 

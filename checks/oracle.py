@@ -140,8 +140,9 @@ VIEWS: dict[str, str] = {
                CASE WHEN (l_orderkey + l_linenumber) % 11 <> 0 THEN max(l_shipdate)
                  + to_minutes((7 * l_orderkey + 131 * l_linenumber) % 1440) END AS start,
                min(l_suppkey) AS supplier,
-               CASE WHEN l_orderkey % 13 <> 0
+               CASE WHEN (l_orderkey + 2 * l_linenumber) % 5 <> 0
                     THEN 'Supplier#' || lpad(CAST(min(l_suppkey) AS VARCHAR), 9, '0') END AS raw_done_by,
+               CASE WHEN (l_orderkey + l_linenumber) % 2 <> 0 THEN 'Hotline' END AS raw_group,
                CASE WHEN l_linenumber = 6 THEN {pick('l_orderkey % 5', adapter.NOTES)} END AS note
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "cl": """
@@ -178,12 +179,12 @@ VIEWS: dict[str, str] = {
                CASE WHEN rfc LIKE 'D%' THEN 'Demande' ELSE 'Incident' END AS kind_name
         FROM rt WHERE id NOT IN ({values(K.REQUEST_IDS_KNOWN_BAD)})""",
     "a": f"""
-        SELECT action_id, id, rfc, type_id, label, start, coalesce(raw_done_by, 'Hotline') AS done_by, note
+        SELECT action_id, id, rfc, type_id, label, start, coalesce(raw_done_by, raw_group) AS done_by, note
         FROM ra WHERE id NOT IN ({values(K.REQUEST_IDS_KNOWN_BAD)})""",
     # features
     "tech": f"""
         SELECT id, max(start) AS start,
-               max(CASE WHEN rn = 1 THEN done_by END) AS done_by,
+               arg_max(done_by, -rn) FILTER (WHERE done_by IS NOT NULL) AS done_by,
                max(CASE WHEN rn = 1 THEN action_id END) AS action_id,
                max(CASE WHEN rn = 1 THEN type_id END) AS type_id
         FROM (SELECT *, row_number() OVER (PARTITION BY id

@@ -373,7 +373,7 @@ def _(spark, sf):
 
 
 @query("p8_operator_or_group",
-       "SELECT action_id, coalesce(raw_done_by, 'Hotline') AS done_by FROM ra")
+       "SELECT action_id, coalesce(raw_done_by, raw_group) AS done_by FROM ra")
 def _(spark, sf):
     return cleaning.operator_or_group(adapter.actions(spark, sf)).select(
         F.col("ACTION_ID").alias("action_id"), F.col("DONE_BY_NAME").alias("done_by"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import adapter
+from checks.queries import QUERIES
 from conftest import SMALL
 from deskgauge import schemas
 from deskgauge.operators import features, rules
@@ -66,14 +67,34 @@ def test_no_python_and_no_cross_join(inputs, big, flow):
         assert node not in plan
 
 
+def largest_method(spark, df):
+    package = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    text = getattr(package, "MODULE$").codegenString(df._jdf.queryExecution().executedPlan())
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
 @pytest.mark.parametrize("flow", ROW_FLOWS, ids=lambda f: f.__name__)
 def test_generated_code_is_small_enough_to_compile(spark, inputs, conf, flow):
     conf("spark.sql.adaptive.enabled", "false")
-    package = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
-    text = getattr(package, "MODULE$").codegenString(
-        flow(inputs)._jdf.queryExecution().executedPlan())
-    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
-    assert sizes and max(sizes) < JIT_LIMIT
+    assert largest_method(spark, flow(inputs)) < JIT_LIMIT
+
+
+@pytest.mark.parametrize("flow", [
+    lambda desk: flows.ticket_flow_rows(desk, "incident+hotline"),
+    lambda desk: flows.ticket_flow_rows(desk, "request+proxy", "martin"),
+    lambda desk: flows.suspended_too_long_rows(desk, "hotline", "martin"),
+    lambda desk: flows.vip_rows(desk, "martin"),
+], ids=["segment", "segment and technician", "suspended", "vip"])
+def test_arguments_keep_the_code_small(spark, inputs, conf, flow):
+    conf("spark.sql.adaptive.enabled", "false")
+    assert largest_method(spark, flow(inputs)) < JIT_LIMIT
+
+
+@pytest.mark.parametrize("key", [k for k in QUERIES if re.match(r"q\d+_.*_rows", k)])
+def test_registered_queries_keep_the_code_small(spark, conf, key):
+    """Here the adapter's projections are fused with the flows."""
+    conf("spark.sql.adaptive.enabled", "false")
+    assert largest_method(spark, QUERIES[key](spark, SMALL)) < JIT_LIMIT
 
 
 def test_all_row_features_come_from_one_pass_over_the_actions(inputs, big):
