@@ -256,9 +256,21 @@ _MAIL_TABLE_SQL = f"""
     ORDER BY due NULLS LAST, id LIMIT 25"""
 
 
-@query("s11_table_with_header", _MAIL_TABLE_SQL)
+_MAIL_HEADER = (
+    '[{"col_order": 0, "name": "Ticket", "id": "AP_SD_RFC_NUMBER"}, '
+    '{"col_order": 1, "name": "Type", "id": "AP_TYPE_FR"}, '
+    '{"col_order": 2, "name": "Location", "id": "AP_SD_RECIPIENT_LOCATION_RH"}, '
+    '{"col_order": 3, "name": "Technician", "id": "AP_AM_DONE_BY_OPERATOR_NAME"}]')
+
+
+@query("s11_table_with_header", f"SELECT *, '{_MAIL_HEADER}' AS header FROM ({_MAIL_TABLE_SQL})")
 def _(spark, sf):
-    return flows.suspended_mail_table(adapter.desk(spark, sf))
+    table = flows.suspended_mail_table(adapter.desk(spark, sf))
+    path = scratch(spark)
+    sinks.write_table(table, path)
+    header = spark.read.text(f"{path}/header").first()["value"]
+    rows = spark.read.schema(table.schema).json(f"{path}/rows")
+    return rows.withColumn("header", F.lit(header))
 
 
 _RDV_EVENT_SQL = f"""

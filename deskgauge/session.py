@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-# Spark's defaults are kept but for one size.  The tickets a selector keeps
-# build a bloom filter for the scan of the actions: the ticket side may be
-# larger than the default 10 MB for that, but not as large as the actions.
+# Spark's defaults are kept but for the bloom filter that the tickets a selector
+# keeps build for the scan of the actions.  Spark sizes it for four million ids at
+# most; eight bits for each are 4 MiB, and with 64 bytes a row these ids are the
+# 256 MB up to which a ticket side is scanned once more to build it.  A larger side
+# would only fill the filter until it lets everything pass.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10GB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "33554432",
 }
 
 
