@@ -94,16 +94,18 @@ def hits(words: list[bytes], grams: dict[int, dict[bytes, list[str]]]):
     return covered, items
 
 
-def _blocks(benchmark: DataFrame, limit: int):
-    """Broadcasts of the window table, one per block of about ``limit`` windows."""
-    spark = benchmark.sparkSession
-    folder = common.scratch(spark)
-    rows = common.stored(windows(benchmark), folder, "windows")
-    count = max(1, -(-rows.count() // limit))
-    block = F.pmod(F.xxhash64("gram", "item"), F.lit(count))
-    for k in range(count):
-        part = rows if count == 1 else rows.filter(block == k)
-        yield k == count - 1, spark.sparkContext.broadcast(_table(part.toArrow()))
+class _Blocks:
+    """The window table in blocks of about ``limit`` windows, broadcast one by one."""
+
+    def __init__(self, benchmark: DataFrame, limit: int):
+        self.spark = benchmark.sparkSession
+        self.rows = common.stored(windows(benchmark), common.scratch(self.spark), "windows")
+        self.count = max(1, -(-self.rows.count() // limit))
+
+    def broadcast(self, number: int):
+        block = F.pmod(F.xxhash64("gram", "item"), F.lit(self.count))
+        part = self.rows if self.count == 1 else self.rows.filter(block == number)
+        return self.spark.sparkContext.broadcast(_table(part.toArrow()))
 
 
 def _scan(state: DataFrame, grams, schema: str, finish) -> DataFrame:
@@ -135,17 +137,16 @@ def _carried(out):
             pa.array([sorted(o[3]) for o in out], pa.list_(pa.string()))]
 
 
-def _through_blocks(docs: DataFrame, benchmark: DataFrame, limit: int, schema: str,
-                    finish) -> DataFrame:
+def _through_blocks(docs: DataFrame, blocks: _Blocks, schema: str, finish) -> DataFrame:
     state = common.documents(docs).select(
         "doc_id", "text", F.lit(None).cast("binary").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"))
-    folder = None
-    for number, (last, grams) in enumerate(_blocks(benchmark, limit)):
-        if last:
-            return _scan(state, grams, schema, finish)
-        folder = folder or common.scratch(docs.sparkSession)
+    folder = common.scratch(docs.sparkSession)
+    for number in range(blocks.count - 1):
+        grams = blocks.broadcast(number)
         state = common.stored(_scan(state, grams, _STATE, _carried), folder, f"block{number}")
+        grams.unpersist()  # its pass is written
+    return _scan(state, blocks.broadcast(blocks.count - 1), schema, finish)
 
 
 RESULT = ("doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, "
@@ -158,6 +159,10 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
 
 def report(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """Words, hit words and matched items of every document."""
+    return _report(docs, _Blocks(benchmark, limit))
+
+
+def _report(docs: DataFrame, blocks: _Blocks) -> DataFrame:
     def finish(out):
         words = [len(o[1]) for o in out]
         hit = [0 if o[2] is None else sum(o[2]) for o in out]
@@ -166,7 +171,7 @@ def report(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WINDOWS) ->
                 pa.array([len(o[3]) for o in out], pa.int64()), pa.array(digest, pa.string()),
                 pa.array([is_contaminated(h, n) for h, n in zip(hit, words)], pa.bool_())]
 
-    return _through_blocks(docs, benchmark, limit, RESULT, finish)
+    return _through_blocks(docs, blocks, RESULT, finish)
 
 
 def cut(text: bytes, covered: bytearray | None) -> bytes:
@@ -198,7 +203,8 @@ def without_spans(docs: DataFrame, benchmark: DataFrame,
     def finish(out):
         return [pa.array([cut(o[0], o[2]) for o in out], pa.binary()).cast(pa.string())]
 
-    return _through_blocks(docs, benchmark, limit, "doc_id bigint, text string", finish)
+    return _through_blocks(
+        docs, _Blocks(benchmark, limit), "doc_id bigint, text string", finish)
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame,
@@ -208,9 +214,9 @@ def without_documents(docs: DataFrame, benchmark: DataFrame,
     A benchmark of one block is one narrow pass.  Beyond that the rows are
     numbered in a written table and the contaminated numbers are joined away.
     """
-    blocks = list(_blocks(benchmark, limit))
-    if len(blocks) == 1:
-        grams = blocks[0][1]
+    blocks = _Blocks(benchmark, limit)
+    if blocks.count == 1:
+        grams = blocks.broadcast(0)
 
         def keep(ids, texts):
             table = grams.value
@@ -224,6 +230,6 @@ def without_documents(docs: DataFrame, benchmark: DataFrame,
     row = "row_" + folder[-12:].replace("-", "")
     numbered = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), folder, "docs")
     keyed = numbered.select(F.col(row).alias("doc_id"), "text")
-    bad = report(keyed, benchmark, limit).filter("contaminated").select(
+    bad = _report(keyed, blocks).filter("contaminated").select(
         F.col("doc_id").alias(row))
     return numbered.join(bad, row, "left_anti").drop(row)
