@@ -68,26 +68,36 @@ def sides(conversations: DataFrame, system: str = SYSTEM) -> DataFrame:
     ).filter(F.col("side") != system).distinct()
 
 
+def _learned() -> Column:
+    return F.coalesce(F.col("role") == F.col("side"), F.lit(False))
+
+
+def _as_role(system: str) -> Column:
+    """What the speaker is, seen from the side."""
+    return F.when(_learned(), "assistant").when(F.col("role") == system, "system").otherwise("user")
+
+
+def _name(system: str) -> Column:
+    return F.when(_as_role(system) == "user", F.coalesce("role", F.lit("unknown")))
+
+
+def _head(system: str) -> Column:
+    name = F.coalesce(F.concat(F.lit(" name="), _name(system)), F.lit(""))
+    return F.concat(F.lit(START), _as_role(system), name, F.lit("\n"))
+
+
 def _views(conversations: DataFrame, system: str) -> DataFrame:
-    """Every message from every side, rendered."""
+    """Every message from every side with the length it will have.
+
+    Rows travel with the text alone; segments are rendered when they are in place.
+    """
     seen = _joined(messages(conversations), sides(conversations, system), ["conv_id"])
-    own = F.coalesce(F.col("role") == F.col("side"), F.lit(False))
-    as_role = F.when(own, "assistant").when(F.col("role") == system, "system").otherwise("user")
-    name = F.when(as_role == "user", F.coalesce("role", F.lit("unknown")))
-    head = F.concat(F.lit(START), as_role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")),
-                    F.lit("\n"))
+    length = F.char_length(_head(system)) + F.char_length("text") + len(END) + 1
     return seen.select(
-        "conv_id", "side", "turn", "role", "copies",
-        F.floor(F.col("turn") / SPAN).alias("span"),
-        F.xxhash64("text").alias("hash"), "text",
-        as_role.alias("as_role"), name.alias("name"), own.alias("learned"),
-        F.concat(head, F.col("text"), F.lit(END + "\n")).alias("segment"),
-        F.char_length(head).cast("bigint").alias("head"),
-    ).withColumns({
-        "bucket": F.shiftright("hash", 56),
-        "size": F.char_length("segment").cast("bigint"),
-        "one": F.lit(1).cast("bigint"),
-    })
+        "conv_id", "side", "turn", "role", "copies", "text",
+        F.floor(F.col("turn") / SPAN).alias("span"), F.xxhash64("text").alias("hash"),
+        length.cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("one"),
+    ).withColumn("bucket", F.shiftright("hash", 56))
 
 
 def rotate(conversations: DataFrame, system: str = SYSTEM) -> DataFrame:
@@ -111,13 +121,14 @@ def rotate(conversations: DataFrame, system: str = SYSTEM) -> DataFrame:
         starts, _GROUP)
 
     start = F.col("span_start") + F.col("group_start") + F.col("own_start")
-    content = start + F.col("head")
+    content = start + F.char_length(_head(system))
     end = start + F.col("size") - 1
     return placed.select(
         "conv_id", "side",
         (F.col("span_position") + F.col("group_position") + F.col("own_position")).alias("position"),
-        "turn", F.col("as_role").alias("role"), "name", "segment", "copies",
-        start.alias("start"), "learned",
-        F.when(F.col("learned"), content).otherwise(start).alias("mask_start"),
-        F.when(F.col("learned"), end).otherwise(start).alias("mask_end"),
+        "turn", _as_role(system).alias("role"), _name(system).alias("name"),
+        F.concat(_head(system), F.col("text"), F.lit(END + "\n")).alias("segment"), "copies",
+        start.alias("start"), _learned().alias("learned"),
+        F.when(_learned(), content).otherwise(start).alias("mask_start"),
+        F.when(_learned(), end).otherwise(start).alias("mask_end"),
     )

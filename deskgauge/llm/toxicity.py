@@ -38,7 +38,7 @@ ORDER = 5          # bytes of an n-gram; packed in one 64-bit number
 SHARED = 3         # orders below this one are pooled over both classes
 DISCOUNT = 0.9
 THRESHOLD = 0.3
-BLOCK = 6_000_000    # bytes of text in memory at a time
+BLOCK = 3_000_000    # bytes of text in memory at a time
 
 _PAD = b"\0" * (ORDER - 1)
 _SPACE = 32
