@@ -11,9 +11,10 @@ position, are its dialogue; no dialogue is ever collected, however long.
 Places and starts are prefix sums in three steps - within groups of messages of
 one turn, role and text hash, over those groups within 64 turns, and over the
 spans of 64 turns - so a dialogue of any length is spread over many tasks, and
-each step hands on one row per group.
+each step hands on one row per group.  Places are found without the texts, which
+are written once with a number and joined to their places last.
 
-Cases: messages go by turn (null last), role (null last), XXH64 of the text, and
+Cases: messages go by turn (null last), role (null last), XXH64 and MD5 of the
 text; equal rows are one message, ``copies`` says how many; a null text is
 empty; a null role is a user named "unknown" and no side of its own; rows
 without a conv_id form one dialogue; a dialogue without speakers has no rows; an
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from deskgauge.llm import common
+
 SYSTEM = "system"
 START, END = "<|im_start|>", "<|im_end|>"
 SPAN = 64
@@ -86,39 +89,49 @@ def _head(system: str) -> Column:
     return F.concat(F.lit(START), _as_role(system), name, F.lit("\n"))
 
 
-def _views(conversations: DataFrame, system: str) -> DataFrame:
-    """Every message from every side with the length it will have.
+def _stored_messages(conversations: DataFrame) -> DataFrame:
+    """The messages as a written table, numbered; their texts are not needed for places."""
+    told = messages(conversations).withColumns({
+        "message": F.monotonically_increasing_id(),
+        "length": F.char_length("text"),
+        "hash": F.xxhash64("text"),
+        "digest": F.md5(F.col("text").cast("binary")),
+    })
+    return common.stored(told, common.scratch(conversations.sparkSession), "messages")
+
 
-    Rows travel with the text alone; segments are rendered when they are in place.
-    """
-    seen = _joined(messages(conversations), sides(conversations, system), ["conv_id"])
-    length = F.char_length(_head(system)) + F.char_length("text") + len(END) + 1
+def _views(told: DataFrame, system: str) -> DataFrame:
+    """Every message from every side with the length it will have, without its text."""
+    seen = _joined(told.drop("text", "copies"), sides(told, system), ["conv_id"])
+    length = F.char_length(_head(system)) + F.col("length") + len(END) + 1
     return seen.select(
-        "conv_id", "side", "turn", "role", "copies", "text",
-        F.floor(F.col("turn") / SPAN).alias("span"), F.xxhash64("text").alias("hash"),
+        "conv_id", "side", "turn", "role", "message", "hash", "digest",
+        F.floor(F.col("turn") / SPAN).alias("span"), F.shiftright("hash", 56).alias("bucket"),
         length.cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("one"),
-    ).withColumn("bucket", F.shiftright("hash", 56))
+    )
 
 
 def rotate(conversations: DataFrame, system: str = SYSTEM) -> DataFrame:
     """One row per dialogue, side and message."""
-    views = _views(conversations, system)
+    told = _stored_messages(conversations)
+    views = _views(told, system)
     sums = [F.sum("size").alias("size"), F.sum("one").alias("one")]
     groups = views.groupBy(*_GROUP).agg(*sums)
     spans = groups.groupBy(*_SPAN).agg(*sums)
 
     in_span = Window.partitionBy(*_SPAN).orderBy(*_nulls_last("turn", "role"), "bucket")
     in_side = Window.partitionBy("conv_id", "side").orderBy(*_nulls_last("span"))
-    in_group = Window.partitionBy(*_GROUP).orderBy("hash", "text")
+    in_group = Window.partitionBy(*_GROUP).orderBy("hash", "digest")
     span_starts = spans.select(*_SPAN, _before("size", in_side).alias("span_start"),
                                _before("one", in_side).alias("span_position"))
     group_starts = groups.select(*_GROUP, _before("size", in_span).alias("group_start"),
                                  _before("one", in_span).alias("group_position"))
     starts = _joined(group_starts, span_starts, _SPAN)
-    placed = _joined(
+    places = _joined(
         views.withColumns({"own_start": _before("size", in_group),
                            "own_position": _before("one", in_group)}),
-        starts, _GROUP)
+        starts, _GROUP).drop("hash", "digest")
+    placed = places.join(told.select("message", "text", "copies"), "message")
 
     start = F.col("span_start") + F.col("group_start") + F.col("own_start")
     content = start + F.char_length(_head(system))
