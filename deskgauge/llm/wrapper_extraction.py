@@ -22,8 +22,10 @@ wrapper has a bound that does not grow with the pages.
 Cases: null and empty html give empty text; a page without a host shares the
 wrapper of the empty host; a page that lacks the node its wrapper names, and a
 host with one page, go by their own structure; unclosed and stray tags are
-tolerated; nesting beyond ``DEPTH`` is laid flat, its text is kept; repeated
-rows each get their result.
+tolerated; nesting beyond ``DEPTH`` is laid flat, its text is kept and its end
+tags match; a quote opens a value only after "="; svg, math and object are
+elements, and an HTML block ends an open drawing; repeated rows each get their
+result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,11 +46,13 @@ MOST_SIBLINGS = 64
 BROADCAST_HOSTS = 100_000
 
 # Elements and words that mark a part of a page.
-RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+FOREIGN = frozenset("svg math object".split())
+DRAWN = frozenset("text desc metadata".split())  # parts of a drawing, inside svg alone
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby "
-    "rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+    "rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()) | FOREIGN
 KNOWN = INLINE | VOID | frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog div dl "
     "dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend "
@@ -79,7 +84,8 @@ SCOPES = frozenset("article section main div body html ul ol dl table tr td th f
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]{0,4000}\"|'[^']{0,4000}'|[^>\"'])*+)>"
+    r"|<(?P<open>[a-zA-Z][^\s/>]*)"
+    r"(?P<attrs>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|<(?P<loose>/?[a-zA-Z][^\s/>]*)[^>]*>", re.S)
 _ATTR = re.compile(
     r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?",
@@ -123,6 +129,7 @@ def parse(source: str) -> Node:
     """The element tree of a page; text pieces are strings among the children."""
     root = Node("")
     stack, tags = [root], [""]
+    opened: Counter = Counter()
     at, end = 0, len(source)
 
     def text(piece: str) -> None:
@@ -130,6 +137,9 @@ def parse(source: str) -> Node:
             stack[-1].kids.append(entities.unescape(piece) if "&" in piece else piece)
 
     def close_to(depth: int) -> None:
+        opened.subtract(tags[depth:])
+        if len(stack) > DEPTH:
+            stack[depth - 1].kids.append(Node("br"))
         del stack[depth:], tags[depth:]
 
     while at < end:
@@ -147,18 +157,24 @@ def parse(source: str) -> Node:
                             else (None, token["loose"]))
         if closing:
             closing = closing.lower()
-            for depth in range(len(tags) - 1, 0, -1):
-                if tags[depth] == closing:
-                    close_to(depth)
-                    break
-                if tags[depth] in SCOPES and closing in INLINE:
-                    break
-            else:
-                if closing in ("p", "br"):
-                    stack[-1].kids.append(Node("br"))
+            if opened[closing] > 0:
+                for depth in range(len(tags) - 1, 0, -1):
+                    if tags[depth] == closing:
+                        close_to(depth)
+                        break
+                    if tags[depth] in SCOPES and closing in INLINE:
+                        break
+            elif closing in ("p", "br"):
+                stack[-1].kids.append(Node("br"))
         elif tag:
             tag = tag.lower()
+            if opened["svg"] > 0 or opened["math"] > 0:
+                if tag in KNOWN - FOREIGN - {"a"}:  # HTML ends a drawing or formula
+                    close_to(next(d for d, t in enumerate(tags) if t in ("svg", "math")))
+            drawing = opened["svg"] > 0
             if tag in RAW:
+                if drawing and attrs.endswith("/"):
+                    continue
                 found = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(source, at)
                 at = found.end() if found else end
                 continue
@@ -167,7 +183,7 @@ def parse(source: str) -> Node:
                     stack[-1].kids.append(Node("br"))
                 continue
             ends = CLOSES.get(tag) or (CLOSES["p"] if tag in BLOCKS_CLOSE_P else None)
-            if ends:
+            if ends and any(opened[e] > 0 for e in ends):
                 for depth in range(len(tags) - 1, 0, -1):
                     if tags[depth] in ends:
                         close_to(depth)
@@ -175,13 +191,21 @@ def parse(source: str) -> Node:
                             break
                     elif tags[depth] in SCOPES and tags[depth] not in ends:
                         break
-            if attrs.endswith("/") and tag not in KNOWN:
+            if attrs.endswith("/") and (tag not in KNOWN or tag in FOREIGN):
                 continue
-            node = Node((tag if tag in KNOWN else "x") + _role(tag, attrs))
-            stack[-1].kids.append(node)
-            if len(stack) < DEPTH:
-                stack.append(node)
-                tags.append(tag)
+            role = "-" if drawing and tag in DRAWN else _role(tag, attrs)
+            node = Node((tag if tag in KNOWN else "x") + role)
+            if len(stack) >= DEPTH:  # laid flat; only what is no article is kept apart
+                if tag in INLINE and role != "-":
+                    continue
+                if role != "-" or stack[-1].label.endswith("-"):
+                    stack[-1].kids.append(Node("br"))
+                    node = stack[-1]
+            if node is not stack[-1]:
+                stack[-1].kids.append(node)
+            stack.append(node)
+            tags.append(tag)
+            opened[tag] += 1
     return root
 
 

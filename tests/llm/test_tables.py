@@ -202,3 +202,16 @@ def test_wrappers_do_not_grow_with_the_pages():
         own = W.page_wrapper(W.parse(page))
         wrapper = own if wrapper is None else W._aligned(wrapper, own)
     assert len(W.expression(wrapper)) < 20_000
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ("<article>" + "<div>" * 60 + "deep" + "</div>" * 60 + "<p>rest of it</p></article>", "deep rest of it"),
+    ("<div><article>" + "<div>" * 60 + "a" + "</div>" * 60 + "<div>b</div></article></div>", "a b"),
+    ("<article>" + "<div>" * 60 + "<nav>menu</nav>a" + "</div>" * 60 + "</article>", "a"),
+    ("<div data-x='" + "{\"a\": \"b>c\"}" * 2000 + "' class='ad'>buy</div><p>text</p>", "text"),
+    ("<div title=\"x\"\">kept <p title='y'>too</p></div>", "kept too"),
+    ("<article>a <svg viewBox='0'/> b <p>c</p></article>", "a b c"),
+    ("<article>a <svg><path d='1'> <p>b</p> c</article>", "a b c"),
+    ("<article>a <svg><title/><text>axis</text></svg> b <object>c</object></article>", "a b c")])
+def test_nothing_is_lost_in_the_parser(page, wanted):
+    assert W.extract(page, None) == wanted
