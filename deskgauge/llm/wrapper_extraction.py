@@ -9,10 +9,9 @@ longest common order and aligned inside, the rest becomes optional, and equal
 neighbours fold into one repeated group.  Every node of a wrapper counts the
 pages it was seen on and the words of its slots.
 
-The wrapper says where the article of the host is: the node marked as article or
-main content, else the innermost one that holds most of the words outside menus,
-headers, footers, sidebars, notices, adverts, forms and comments.  The slots
-there, without those parts, are the text of a page.
+The text of a page is that of all its blocks outside menus, headers, footers,
+sidebars, notices, adverts, forms and comments, wherever they lie.  ``main``
+names the smallest node of a host's wrapper that holds all these words.
 
 Every page takes part.  Tasks merge the pages they read into one wrapper per
 host, and only those travel, so a host with a third of all pages is as many
@@ -20,9 +19,7 @@ small rows as tasks.  A label is a tag with one of three roles, so the size of a
 wrapper has a bound that does not grow with the pages.
 
 Cases: null and empty html give empty text; a page without a host shares the
-wrapper of the empty host; a page that lacks the node its wrapper names, and a
-host with one page, go by their own structure; unclosed and stray tags are
-tolerated; nesting beyond ``DEPTH`` is laid flat, its text is kept and its end
+wrapper of the empty host; unclosed and stray tags are tolerated; nesting beyond ``DEPTH`` is laid flat, its text is kept and its end
 tags match; a quote opens a value only after "="; svg, math and object are
 elements, and an HTML block ends an open drawing; repeated rows each get their
 result.
@@ -297,90 +294,58 @@ def expression(wrapper: list) -> str:
     return f"({body}){mark}" if mark else body
 
 
-def _marked(wrapper: list, path: str) -> tuple[list, str] | None:
-    """The node marked as article with most words, not looking inside marked ones."""
-    best, queue = None, [(wrapper, path)]
-    for node, path in queue:
-        for kid in node[KIDS]:
-            way = f"{path}/{kid[LABEL]}"
-            if kid[LABEL].endswith("+"):
-                if best is None or kid[WORDS] > best[0][WORDS]:
-                    best = kid, way
-            elif kid[LABEL] != "#" and not kid[LABEL].endswith("-"):
-                queue.append((kid, way))
-    return best
-
-
 def main_path(wrapper: list) -> str:
-    """Labels from the root to the article, joined by "/"; the whole page if none."""
-    marked = _marked(wrapper, "")
-    if marked is not None and marked[0][WORDS]:
-        while True:  # a marked node inside that has most of the words is closer
-            inner = _marked(*marked)
-            if inner is None or 10 * inner[0][WORDS] < 7 * marked[0][WORDS]:
-                return marked[1]
-            marked = inner
-    node, path, total = wrapper, "", wrapper[WORDS]
-    while total:
-        inner = max((k for k in node[KIDS] if k[LABEL] != "#" and not k[LABEL].endswith("-")
-                     and k[LABEL].rstrip("+") not in INLINE and not k[REPEATED]),
-                    key=lambda k: k[WORDS], default=None)
-        if inner is None or 10 * inner[WORDS] < 8 * total:
-            break
-        node, path = inner, f"{path}/{inner[LABEL]}"
-    return path
+    """Labels from the root to the smallest node with all words, joined by "/"."""
+    node, path = wrapper, ""
+    while True:
+        inner = [k for k in node[KIDS] if k[WORDS]]
+        if len(inner) != 1 or inner[0][LABEL] == "#" or inner[0][REPEATED]:
+            return path
+        node, path = inner[0], f"{path}/{inner[0][LABEL]}"
 
 
 # ---------------------------------------------------------------------- extraction
 
-def _slots(node: Node, out: list[str], in_header: bool = False) -> None:
-    for kid in node.kids:
-        if isinstance(kid, str):
-            if not in_header:
-                out.append(kid)
-            continue
-        label = kid.label
-        if label == "br":
-            out.append(" ")
-            continue
-        if label == "header-" and node.label.startswith(("article", "main")):
-            for heading in kid.kids:  # the title of the article itself
-                if isinstance(heading, Node) and re.fullmatch(r"h[1-6]", heading.label):
-                    out.append(" ")
-                    _slots(heading, out)
-                    out.append(" ")
-            continue
-        if label.endswith("-"):
-            out.append(" ")
-            continue
-        inline = label.rstrip("+") in INLINE
-        if not inline:
-            out.append(" ")
-        _slots(kid, out, in_header)
-        if not inline:
-            out.append(" ")
-
-
-def _at(node: Node, path: list[str]) -> Iterator[Node]:
-    if not path:
-        yield node
-        return
-    for kid in node.kids:
-        if isinstance(kid, Node) and kid.label == path[0]:
-            yield from _at(kid, path[1:])
-
-
-def extract(source: str, path: str | None) -> str:
-    """Main text of a page under the main path of its wrapper."""
-    root = parse(source)
-    nodes = list(_at(root, path.split("/")[1:])) if path is not None else []
-    if not nodes:
-        nodes = list(_at(root, main_path(page_wrapper(root)).split("/")[1:]))
-    out: list[str] = []
-    for node in nodes:
-        _slots(node, out)
-        out.append(" ")
-    return " ".join("".join(out).split())
+def runs(root: Node) -> list[tuple[str, str]]:
+    """Path of labels and text of each block of a page, without the other parts."""
+    out: list[tuple[str, str]] = []
+    held: list[str] = []
+
+    def flush(path: str) -> None:
+        words = " ".join("".join(held).split())
+        held.clear()
+        if words:
+            out.append((path, words))
+
+    def block(node: Node, path: str, above: str) -> None:
+        flush(above)
+        walk(node, path)
+        flush(path)
+
+    def walk(node: Node, path: str) -> None:
+        for kid in node.kids:
+            if isinstance(kid, str):
+                held.append(kid)
+                continue
+            label = kid.label
+            if label == "header-" and node.label.startswith(("article", "main")):
+                for heading in kid.kids:  # the title of the article itself
+                    if isinstance(heading, Node) and re.fullmatch(r"h[1-6]", heading.label):
+                        block(heading, f"{path}/{label}/{heading.label}", path)
+            elif label == "br" or label.endswith("-"):
+                held.append(" ")
+            elif label.rstrip("+") in INLINE:
+                walk(kid, path)
+            else:
+                block(kid, f"{path}/{label}", path)
+
+    block(root, "", "")
+    return out
+
+
+def extract(source: str, host: str | None = None) -> str:
+    """Main text of a page: all its blocks but the parts that are not the article."""
+    return " ".join(words for _, words in runs(parse(source)))
 
 
 def host_of(url: str | None) -> str:

@@ -215,3 +215,21 @@ def test_wrappers_do_not_grow_with_the_pages():
     ("<article>a <svg><title/><text>axis</text></svg> b <object>c</object></article>", "a b c")])
 def test_nothing_is_lost_in_the_parser(page, wanted):
     assert W.extract(page, None) == wanted
+
+
+BIG, FURTHER = "Many words of the long first part. " * 20, "A further part by itself. " * 5
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ("<main><article>{big}</article><section>{further}</section></main>", "{big} {further}"),
+    ("<body><p>{further}</p><div>{big}</div></body>", "{further} {big}"),
+    ("<div class='entry-content'>{big}</div><section class='post-body'>{further}</section>", "{big} {further}")])
+def test_parts_side_by_side(spark, page, wanted):
+    rows = [(i, f"https://h.org/{i}", page.format(big=f"{i} {BIG}", further=f"{i} {FURTHER}"))
+            for i in range(6)]
+    teaser = "<div class='entry-content'>teaser of nine</div><div><p>9 " + BIG + "</p></div>"
+    found = W.main_text(spark.createDataFrame([*rows, (9, "https://h.org/9", teaser)], PAGES))
+    texts = {r["page_id"]: r["text"] for r in found.collect()}
+    assert texts.pop(9) == f"teaser of nine 9 {BIG}".strip()
+    assert texts == {i: " ".join(wanted.format(big=f"{i} {BIG}", further=f"{i} {FURTHER}").split())
+                     for i in range(6)}
