@@ -11,11 +11,14 @@ pages it was seen on and the words of its slots.
 
 The text of a page is that of all its blocks outside menus, headers, footers,
 sidebars, notices, adverts, forms and comments, wherever they lie.  ``main``
-names the smallest node of a host's wrapper that holds all these words.
+names the smallest node of a host's wrapper that holds all these words.  Tags,
+roles and hidden parts count by themselves; class names do not hide an article
+or main element, a page's only text, or a part that has most of the words of a
+host and differs on ``DISTINCT`` of its pages.
 
 Every page takes part.  Tasks merge the pages they read into one wrapper per
 host, and only those travel, so a host with a third of all pages is as many
-small rows as tasks.  A label is a tag with one of three roles, so the size of a
+small rows as tasks.  A label is a tag with one of four roles, so the size of a
 wrapper has a bound that does not grow with the pages.
 
 Cases: null and empty html give empty text; a page without a host shares the
@@ -31,15 +34,18 @@ import html as entities
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from deskgauge.llm import common
 
 DEPTH = 48
 MOST_SIBLINGS = 64
+DISTINCT = 3
 BROADCAST_HOSTS = 100_000
 
 # Elements and words that mark a part of a page.
@@ -67,6 +73,10 @@ CHROME_WORDS = frozenset(
     "subscribe subscription signup login paywall share sharing social related recommended "
     "recommendations trending widget widgets toolbar pagination pager comment comments reply "
     "replies respond disqus discussion copyright legal disclaimer hidden skip".split())
+BESIDE_WORDS = frozenset(
+    "area bar block bottom box button buttons container fixed global header inner item items left "
+    "link links list page primary right row secondary section site thread title top wrap wrapper"
+    .split())
 MAIN_WORDS = frozenset("article main content post entry story maincontent articlebody".split())
 CLOSES = {
     "p": frozenset(("p",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")),
@@ -84,17 +94,33 @@ _TOKEN = re.compile(
     r"|<(?P<open>[a-zA-Z][^\s/>]*)"
     r"(?P<attrs>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|<(?P<loose>/?[a-zA-Z][^\s/>]*)[^>]*>", re.S)
-_ATTR = re.compile(
-    r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?",
-    re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _named(names: set[str]) -> str:
+    """"~" if class names say that a part is no article, "+" that it is, else "".
+
+    A name says so if all its words do, or stand for a place or a box: not
+    "comments-open", "with-sidebar" or "related-work".  Beside another name that
+    is one for an article, as in "content hidden", it does not count.
+    """
+    chrome = main = False
+    for name in names:
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words & CHROME_WORDS:
+            chrome |= words <= CHROME_WORDS | BESIDE_WORDS | MAIN_WORDS
+        else:
+            main |= bool(words & MAIN_WORDS)
+    return "+" if main else "~" if chrome else ""
+
+
 def _role(tag: str, attrs: str) -> str:
-    """"-" for a part that is not the article, "+" for the article, else ""."""
+    """"-" for a part that is not the article, "~" for one that is not by its class
+    names alone, "+" for the article, else ""."""
     if tag in ("html", "body"):
         return ""
-    words, roles, hidden = set(), set(), False
+    names, roles, hidden = set(), set(), False
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -103,13 +129,15 @@ def _role(tag: str, attrs: str) -> str:
             hidden |= "display:none" in value.lower().replace(" ", "")
         elif name == "role":
             roles.update(value.lower().split())
-        else:
-            words.update(w.lower() for w in _WORD.findall(value))
-    if hidden or tag in CHROME or roles & CHROME_ROLES or words & CHROME_WORDS:
+        elif name in ("class", "id", "itemprop"):
+            names.update(value.split())
+    if hidden:
         return "-"
-    if tag in ("article", "main") or "main" in roles or words & MAIN_WORDS:
+    if tag in ("article", "main") or "main" in roles:
         return "+"
-    return ""
+    if tag in CHROME or roles & CHROME_ROLES:
+        return "-"
+    return _named(names)
 
 
 class Node:
@@ -203,9 +231,36 @@ def parse(source: str) -> Node:
             stack.append(node)
             tags.append(tag)
             opened[tag] += 1
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Class names do not hide the main element, a page's only articles, or all its text."""
+    below: list[tuple[Node, ...]] = []
+    found = {"main": False, "article": False, "text": False}
+
+    def look(node: Node, named: tuple[Node, ...]) -> None:
+        for kid in node.kids:
+            if isinstance(kid, str):
+                found["text"] |= not named and not kid.isspace()
+            elif not kid.label.endswith("-"):
+                above = (*named, kid) if kid.label.endswith("~") else named
+                if kid.label.startswith(("article", "main")):
+                    found["article"] |= not above
+                if above:
+                    below.append((kid, *above))
+                look(kid, above)
+
+    look(root, ())
+    for kid, *above in below:
+        lifted = (not found["text"] or kid.label.startswith("main")
+                  or kid.label.startswith("article") and not found["article"])
+        if lifted:
+            for node in above:
+                node.label = node.label.rstrip("~")
+
+
 # ------------------------------------------------------------------------ wrappers
 #
 # A wrapper node is a list: label, optional, repeated, pages, words, children.
@@ -246,7 +301,7 @@ def page_wrapper(node: Node) -> list:
         elif kid.label != "br":
             kids.append(page_wrapper(kid))
     kids = _folded(kids)
-    words = 0 if node.label.endswith("-") else sum(k[WORDS] for k in kids)
+    words = 0 if node.label.endswith(("-", "~")) else sum(k[WORDS] for k in kids)
     return [node.label, False, False, 1, words, kids]
 
 
@@ -307,7 +362,7 @@ def main_path(wrapper: list) -> str:
 # ---------------------------------------------------------------------- extraction
 
 def runs(root: Node) -> list[tuple[str, str]]:
-    """Path of labels and text of each block of a page, without the other parts."""
+    """Path of labels and text of each block of a page, but of "-" parts."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
 
@@ -334,6 +389,8 @@ def runs(root: Node) -> list[tuple[str, str]]:
                         block(heading, f"{path}/{label}/{heading.label}", path)
             elif label == "br" or label.endswith("-"):
                 held.append(" ")
+            elif label.endswith("~"):
+                block(kid, f"{path}/{label}", path)
             elif label.rstrip("+") in INLINE:
                 walk(kid, path)
             else:
@@ -343,9 +400,68 @@ def runs(root: Node) -> list[tuple[str, str]]:
     return out
 
 
+def _named_part(path: str) -> str:
+    """The path as far as the outermost part that is no article by its class names."""
+    at = f"{path}/".find("~/")
+    return path[:at + 1] if at >= 0 else ""
+
+
+# What a task knows of a host: [pages, {path: [pages, words, hashes of pages]}].
+
+def host_state(pages: Iterable[str | Node]) -> list:
+    """The blocks of pages by path; hashes are those of the ``DISTINCT`` least pages."""
+    state: list = [0, {}]
+    for page in pages:
+        found = runs(page if isinstance(page, Node) else parse(page))
+        name = xxhash.xxh64_intdigest("\n".join(words for _, words in found))
+        paths: dict[str, list] = {}
+        for path, words in found:
+            part = paths.setdefault(path, [1, 0, [name]])
+            part[1] += len(words.split())
+        state = host_merged(state, [1, paths])
+    return state
+
+
+def host_merged(a: list, b: list) -> list:
+    if len(a[1]) < len(b[1]):
+        a, b = b, a
+    paths = a[1]
+    for path, there in b[1].items():
+        here = paths.get(path)
+        paths[path] = there if here is None else [
+            here[0] + there[0], here[1] + there[1],
+            sorted({*here[2], *there[2]})[:DISTINCT]]
+    return [a[0] + b[0], paths]
+
+
+def host_final(state: list) -> str:
+    """As JSON, the parts with class names of another kind that hold the host's text:
+    what changes from page to page there has more words than all text elsewhere."""
+    words: Counter = Counter()
+    names: dict[str, set] = {}
+    for path, (_, n, found) in state[1].items():
+        part = _named_part(path)
+        words[part] += n
+        names.setdefault(part, set()).update(found)
+    keep = sorted(p for p, n in words.items()
+                  if p and n > words[""] and len(names[p]) >= DISTINCT)
+    return json.dumps({"keep": keep})
+
+
+@lru_cache(1024)
+def _host(raw: str) -> dict:
+    return json.loads(raw)
+
+
 def extract(source: str, host: str | None = None) -> str:
-    """Main text of a page: all its blocks but the parts that are not the article."""
-    return " ".join(words for _, words in runs(parse(source)))
+    """Main text of a page: its blocks but the parts that are not the article."""
+    keep = _host(host)["keep"] if host else ()
+    out = []
+    for path, words in runs(parse(source)):
+        part = _named_part(path)
+        if not part or part in keep:
+            out.append(words)
+    return " ".join(out)
 
 
 def host_of(url: str | None) -> str:
@@ -354,51 +470,66 @@ def host_of(url: str | None) -> str:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host``, its ``wrapper`` (as JSON), ``expression`` and ``main`` path."""
+    """``host``, its ``wrapper`` (as JSON), ``expression``, ``main`` path and ``parts``."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
+        found: dict[str, tuple[list, list]] = {}
+        held = 0
         for batch in batches:
-            pairs = ((host_of(u), page_wrapper(parse(h or "")))
-                     for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for host, wrapper in pairs:
-                found[host] = wrapper if host not in found else _aligned(found[host], wrapper)
-            if len(found) > 20_000:  # many hosts: hand them on and start again
-                yield _rows(found)
-                found = {}
+            for url, source in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+                host, page = host_of(url), parse(source or "")
+                own = page_wrapper(page), host_state([page])
+                at = found.get(host)
+                held -= _size(at)
+                found[host] = own if at is None else _both(at, own)
+                held += _size(found[host])
+                if len(found) > 20_000 or held > 1_000_000:  # hand on and start again
+                    yield _rows(found)
+                    found, held = {}, 0
         yield _rows(found)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, wrapper = None, None
+        at, held = None, None
         for batch in batches:
-            for host, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for host, *raw in zip(*(c.to_pylist() for c in batch.columns)):
+                own = tuple(map(json.loads, raw))
                 if host != at:
-                    if wrapper is not None:
-                        yield _final(at, wrapper)
-                    at, wrapper = host, json.loads(raw)
+                    if held is not None:
+                        yield _final(at, *held)
+                    at, held = host, own
                 else:
-                    wrapper = _aligned(wrapper, json.loads(raw))
-        if wrapper is not None:
-            yield _final(at, wrapper)
+                    held = _both(held, own)
+        if held is not None:
+            yield _final(at, *held)
 
     return (
         pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
-        .mapInArrow(partial, "host string, wrapper string")
-        .repartition("host").sortWithinPartitions("host", "wrapper")
-        .mapInArrow(whole, "host string, wrapper string, expression string, main string")
+        .mapInArrow(partial, "host string, wrapper string, state string")
+        .repartition("host").sortWithinPartitions("host", "wrapper", "state")
+        .mapInArrow(whole, "host string, wrapper string, expression string, main string, "
+                           "parts string")
     )
 
 
-def _rows(found: dict[str, list]) -> pa.RecordBatch:
+def _both(a: tuple[list, list], b: tuple[list, list]) -> tuple[list, list]:
+    return _aligned(a[0], b[0]), host_merged(a[1], b[1])
+
+
+def _size(held: tuple[list, list] | None) -> int:
+    return len(held[1][1]) if held else 0
+
+
+def _rows(found: dict[str, tuple[list, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(found), pa.string()),
-         pa.array([json.dumps(w) for w in found.values()], pa.string())], ["host", "wrapper"])
+         *(pa.array([json.dumps(v[k]) for v in found.values()], pa.string()) for k in (0, 1))],
+        ["host", "wrapper", "state"])
 
 
-def _final(host: str, wrapper: list) -> pa.RecordBatch:
+def _final(host: str, wrapper: list, state: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([v], pa.string()) for v in
-         (host, json.dumps(wrapper), expression(wrapper), main_path(wrapper))],
-        ["host", "wrapper", "expression", "main"])
+         (host, json.dumps(wrapper), expression(wrapper), main_path(wrapper), host_final(state))],
+        ["host", "wrapper", "expression", "main", "parts"])
 
 
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
@@ -407,19 +538,19 @@ RESULT = "page_id bigint, url string, text string, n_chars bigint"
 def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``page_id``, ``url``, main ``text`` and its length of every page.
 
-    The main paths are broadcast up to ``broadcast_hosts`` hosts; beyond that
+    What is known of the hosts is broadcast up to ``broadcast_hosts`` hosts; beyond that
     the pages are joined with them by host, which adaptive execution splits
     where a host is large.
     """
     folder = common.scratch(pages.sparkSession)
-    mains = common.stored(wrappers(pages).select("host", "main"), folder, "wrappers")
+    hosts = common.stored(wrappers(pages).select("host", "parts"), folder, "wrappers")
     rows = pages.select(
         F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"),
         F.lower(F.regexp_extract(
             F.coalesce(F.col("url").cast("string"), F.lit("")),
             r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"))
-    if mains.count() <= broadcast_hosts:
-        mains = F.broadcast(mains)
+    if hosts.count() <= broadcast_hosts:
+        hosts = F.broadcast(hosts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,5 +561,5 @@ def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataF
                  pa.array(list(map(len, texts)), pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
-    return (rows.join(mains, "host", "left").select("page_id", "url", "html", "main")
+    return (rows.join(hosts, "host", "left").select("page_id", "url", "html", "parts")
             .mapInArrow(run, RESULT))

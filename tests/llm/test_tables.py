@@ -233,3 +233,24 @@ def test_parts_side_by_side(spark, page, wanted):
     assert texts.pop(9) == f"teaser of nine 9 {BIG}".strip()
     assert texts == {i: " ".join(wanted.format(big=f"{i} {BIG}", further=f"{i} {FURTHER}").split())
                      for i in range(6)}
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post comments-open'>{t}</article>", "<main class='with-sidebar'>{t}</main>",
+    "<div class='content overflow-hidden'>{t}</div>", "<section id='related-work'>{t}</section>",
+    "<p><a href='/hidden-gems' title='a hidden gem'>{t}</a></p>", "<p data-id='ad' data-role=menu>{t}</p>",
+    "<p><a href='?id=ad&class=menu'>{t}</a></p>", "<div class='related'><main>{t}</main></div>",
+    "<div class='notice'><div>{t}</div></div>", "<div class='widget'><article>{t}</article></div><p>{t}</p>"])
+def test_class_words_hide_no_article(page):
+    text = "All that the article says."
+    wanted = f"{text} {text}" if page.count("{t}") == 2 else text
+    assert W.extract(page.format(t=text) + "<div class='ad sidebar-left'></div>") == wanted
+
+
+def test_class_words_hide_the_rest(spark):
+    page = ("<article>{i} an article</article><div class='sidebar-left'>side</div><p hidden>h</p>"
+            "<div id=comments><article>a reader</article></div><ul class='related posts'><li>more</ul>")
+    assert W.extract(page) == "{i} an article"
+    rows = [(i, "https://h.org", f"<p>Top</p><div class='notices'>{i} {BIG}</div>") for i in range(4)]
+    found = W.main_text(spark.createDataFrame(rows, PAGES))
+    assert all(BIG.strip() in r["text"] for r in found.collect())
