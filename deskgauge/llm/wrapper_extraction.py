@@ -16,6 +16,14 @@ roles and hidden parts count by themselves; class names do not hide an article
 or main element, a page's only text, or a part that has most of the words of a
 host and differs on ``DISTINCT`` of its pages.
 
+The text of a block is a literal until a page has its path of labels without it,
+then it is a slot.  What is a literal at the end is template and no text: equal
+blocks on all pages that have the path, at least ``DISTINCT`` different pages and
+half of the host's.  Literals are told by path, not by their place among
+siblings, so the order of lists does not matter for them; in the expression,
+lists of more than ``MOST_SIBLINGS`` different neighbours lose theirs.  A page with
+nothing but literals keeps them.
+
 Every page takes part.  Tasks merge the pages they read into one wrapper per
 host, and only those travel, so a host with a third of all pages is as many
 small rows as tasks.  A label is a tag with one of four roles, so the size of a
@@ -406,62 +414,74 @@ def _named_part(path: str) -> str:
     return path[:at + 1] if at >= 0 else ""
 
 
-# What a task knows of a host: [pages, {path: [pages, words, hashes of pages]}].
+def _literal(path: str, words: str) -> str:
+    return f"{xxhash.xxh64_intdigest(f'{path}\0{words}'):x}"
+
+
+# What a task knows of a host: [pages, {path: [pages, words, hashes, literals]}], the
+# hashes those of the least ``DISTINCT`` pages, the literals {hash of a block: words}
+# of the blocks that all these pages have there; a block that some page lacks is a slot.
 
 def host_state(pages: Iterable[str | Node]) -> list:
-    """The blocks of pages by path; hashes are those of the ``DISTINCT`` least pages."""
+    """The blocks of pages by path."""
     state: list = [0, {}]
     for page in pages:
         found = runs(page if isinstance(page, Node) else parse(page))
         name = xxhash.xxh64_intdigest("\n".join(words for _, words in found))
         paths: dict[str, list] = {}
         for path, words in found:
-            part = paths.setdefault(path, [1, 0, [name]])
-            part[1] += len(words.split())
+            part = paths.setdefault(path, [1, 0, [name], {}])
+            n, key = len(words.split()), _literal(path, words)
+            part[1] += n
+            part[3][key] = part[3].get(key, 0) + n
         state = host_merged(state, [1, paths])
     return state
 
 
 def host_merged(a: list, b: list) -> list:
-    if len(a[1]) < len(b[1]):
-        a, b = b, a
-    paths = a[1]
+    paths = a[1]  # changed in place
     for path, there in b[1].items():
         here = paths.get(path)
         paths[path] = there if here is None else [
             here[0] + there[0], here[1] + there[1],
-            sorted({*here[2], *there[2]})[:DISTINCT]]
+            sorted({*here[2], *there[2]})[:DISTINCT],
+            {k: min(n, there[3][k]) for k, n in here[3].items() if k in there[3]}]
     return [a[0] + b[0], paths]
 
 
 def host_final(state: list) -> str:
-    """As JSON, the parts with class names of another kind that hold the host's text:
-    what changes from page to page there has more words than all text elsewhere."""
+    """As JSON, the ``literals`` of the host's template, and the parts to ``keep`` in
+    spite of their class names: what changes there has more words than all elsewhere."""
+    total, paths = state
     words: Counter = Counter()
     names: dict[str, set] = {}
-    for path, (_, n, found) in state[1].items():
+    literals: list[str] = []
+    for path, (pages, n, found, same) in paths.items():
         part = _named_part(path)
         words[part] += n
         names.setdefault(part, set()).update(found)
+        if len(found) >= DISTINCT and 2 * pages >= total:
+            literals += same
+            words[part] -= pages * sum(same.values())
     keep = sorted(p for p, n in words.items()
                   if p and n > words[""] and len(names[p]) >= DISTINCT)
-    return json.dumps({"keep": keep})
+    return json.dumps({"keep": keep, "literals": sorted(literals)})
 
 
-@lru_cache(1024)
-def _host(raw: str) -> dict:
-    return json.loads(raw)
+@lru_cache(256)
+def _host(raw: str) -> tuple[frozenset, frozenset]:
+    host = json.loads(raw)
+    return frozenset(host["keep"]), frozenset(host["literals"])
 
 
 def extract(source: str, host: str | None = None) -> str:
-    """Main text of a page: its blocks but the parts that are not the article."""
-    keep = _host(host)["keep"] if host else ()
-    out = []
-    for path, words in runs(parse(source)):
-        part = _named_part(path)
-        if not part or part in keep:
-            out.append(words)
-    return " ".join(out)
+    """Main text of a page: its blocks but the parts that are not the article and
+    the literals of its host, unless it has nothing else."""
+    keep, literals = _host(host) if host else (frozenset(), frozenset())
+    found = [(path, words) for path, words in runs(parse(source))
+             if not (part := _named_part(path)) or part in keep]
+    own = [words for path, words in found if not literals or _literal(path, words) not in literals]
+    return " ".join(own or [words for _, words in found])
 
 
 def host_of(url: str | None) -> str:
@@ -515,7 +535,7 @@ def _both(a: tuple[list, list], b: tuple[list, list]) -> tuple[list, list]:
 
 
 def _size(held: tuple[list, list] | None) -> int:
-    return len(held[1][1]) if held else 0
+    return sum(1 + len(v[3]) for v in held[1][1].values()) if held else 0
 
 
 def _rows(found: dict[str, tuple[list, list]]) -> pa.RecordBatch:

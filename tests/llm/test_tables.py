@@ -254,3 +254,17 @@ def test_class_words_hide_the_rest(spark):
     rows = [(i, "https://h.org", f"<p>Top</p><div class='notices'>{i} {BIG}</div>") for i in range(4)]
     found = W.main_text(spark.createDataFrame(rows, PAGES))
     assert all(BIG.strip() in r["text"] for r in found.collect())
+
+
+def test_template_blocks_of_a_host_are_no_text(spark):
+    page = ("<article><h1>Title {i}</h1><p>Tell your friends</p><p>Own {i} text</p><p>an <b>equal</b> word {i}</p>"
+            "<div>Buy now</div></article>")
+    rows = [(i, "https://h.org", page.format(i=i)) for i in range(5)]
+    rows += [(5, "https://h.org", "<article><p>Tell your friends</p></article>"),
+             (6, "https://h.org", "<table><tr><td>Tell your friends</td></tr></table>")]
+    rows += [(i, "https://two.org", "<p>the same</p><p>on two</p>") for i in (7, 8)]
+    for parts in (1, 4):
+        found = W.main_text(spark.createDataFrame(rows, PAGES).repartition(parts))
+        texts = {r["page_id"]: r["text"] for r in found.collect()}
+        assert texts == {i: f"Title {i} Own {i} text an equal word {i}" for i in range(5)} | {
+            5: "Tell your friends", 6: "Tell your friends", 7: "the same on two", 8: "the same on two"}
