@@ -77,8 +77,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
     Of each label the ``rows`` ids with the smallest hash are taken, outside the
     held-out fold; only these ids (``2 * rows`` at most) are broadcast to the
-    documents.  ``curve`` marks a quarter of them, for the calibration.  A
-    document with several labels counts with its greatest; of an id repeated in
+    documents.  ``curve`` marks a quarter of each label's, for the calibration: those
+    with the smallest other hash, one at least where a label has two.  A document with several labels counts with its greatest; of an id repeated in
     the documents the least text is taken, so the sample stays within the bound.
     """
     crc = crc_column()
@@ -95,9 +95,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         documents(docs)
         .join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
         .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-        .select("text", "label", (F.floor(crc / folds) % 4 == 0).alias("curve"))
+        .select("text", "label", F.xxhash64("doc_id", F.lit("curve")).alias("at"))
     )
-    return stored(sample, scratch(docs.sparkSession), f"sample_{label}"), counts
+    sample = stored(sample, scratch(docs.sparkSession), f"sample_{label}")
+    hashes = sample.select("label", "at").toArrow()  # 2 * rows at most
+    curve = F.lit(False)
+    for k in (0, 1):
+        there = np.sort(hashes.column("at").to_numpy()[hashes.column("label").to_numpy() == k])
+        if len(there) > 1:
+            last = int(there[max(1, len(there) // 4) - 1])
+            curve |= (F.col("label") == k) & (F.col("at") <= last)
+    return sample.select("text", "label", curve.alias("curve")), counts
 
 
 def logistic_fit(features, labels, counts: dict[int, int], ridge: float = 1e-4,

@@ -14,7 +14,7 @@ scores read every text whole.
 
 Cases: a null or empty text has no difference and gets the curve's value there;
 with one label or too few texts to train on, every score is the share of label 1
-(0.5 without labels); repeated rows repeat their score; a document with several
+(0.5 without labels), every text is predicted good and accepted; repeated rows repeat their score; a document with several
 labels counts with its greatest.
 """
 
@@ -47,6 +47,10 @@ class Model:
     bad: bytes
     weights: np.ndarray
 
+    def keeps(self, scores: np.ndarray) -> np.ndarray:
+        """Without dictionaries all texts are kept."""
+        return (scores >= THRESHOLD) | (not (self.good and self.bad))
+
 
 def pieces(text: bytes) -> list[bytes]:
     return [text[i:i + PIECE] for i in range(0, len(text), PIECE)]
@@ -131,14 +135,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        model = shared.value
+        scorer = Scorer(model)
         for batch in batches:
             ids = batch.column(0)
             held = [common.crc_of_id(i) % FOLDS == HELD_OUT for i in ids.to_pylist()]
             values = scorer.scores(common.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(held, pa.bool_()), pa.array(values, pa.float64()),
-                 pa.array((values >= THRESHOLD).astype(np.int32))],
+                 pa.array(model.keeps(values).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
 
     return common.documents(docs).mapInArrow(
@@ -150,6 +155,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(ids, texts):
-        return Scorer(shared.value).scores(common.utf8(texts)) >= THRESHOLD
+        model = shared.value
+        return model.keeps(Scorer(model).scores(common.utf8(texts)))
 
     return common.filtered(docs, keep)

@@ -15,7 +15,8 @@ most frequent first.  Scores read every text whole.
 
 Words are runs of anything but ASCII white space, ASCII capitals lowered.
 Cases: a null or empty text has both features 0; with one label only, or none,
-every score is the share of label 1; repeated rows repeat their score.
+every score is the share of label 1, nothing is predicted toxic and every document
+accepted; repeated rows repeat their score.
 """
 
 from __future__ import annotations
@@ -78,6 +79,10 @@ class Model:
     orders: tuple[Order, ...]
     weights: np.ndarray
 
+    def toxic(self, scores: np.ndarray) -> np.ndarray:
+        """Without trained models no text is."""
+        return (scores >= THRESHOLD) & bool(self.orders)
+
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
@@ -264,14 +269,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        model = shared.value
+        scorer = Scorer(model)
         for batch in batches:
             ids = batch.column(0)
             held = [common.crc_of_id(i) % FOLDS == HELD_OUT for i in ids.to_pylist()]
             values = scorer.scores(common.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(held, pa.bool_()), pa.array(values, pa.float64()),
-                 pa.array((values >= THRESHOLD).astype(np.int32))],
+                 pa.array(model.toxic(values).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
 
     return common.documents(docs).mapInArrow(
@@ -283,6 +289,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(ids, texts):
-        return Scorer(shared.value).scores(common.utf8(texts)) < THRESHOLD
+        model = shared.value
+        return ~model.toxic(Scorer(model).scores(common.utf8(texts)))
 
     return common.filtered(docs, keep)

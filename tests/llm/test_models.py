@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -109,6 +110,36 @@ def test_toxic_models_are_probabilities(spark, made):
         assert np.allclose(total, 1)
 
 
+def test_rare_labels_still_train(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    scores = {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(scores) > 50
+
+
+@pytest.mark.parametrize("module, label", [(compression_quality, "quality"), (toxicity, "toxic")])
+def test_the_curve_has_both_labels(made, module, label):
+    docs, labels = made
+    held = common.crc_column() % module.FOLDS == module.HELD_OUT
+    for k, least in itertools.product((0, 1), (2, 5)):
+        known = labels.filter((F.col(label) == k) & ~held & (F.col("doc_id") < 500))
+        some = known.select("doc_id").distinct().orderBy("doc_id")
+        rare = labels.join(some.limit(least), "doc_id", "left_semi").filter(F.col(label) == k)
+        sample, _ = common.labelled_sample(
+            docs, rare.unionByName(labels.filter(F.col(label) == 1 - k)), label, module.FOLDS,
+            module.HELD_OUT, 100)
+        found = {(r["label"], r["curve"]): r["count"] for r in sample.groupBy("label", "curve").count().collect()}
+        assert found[k, True] == 1 and found[k, False] == least - 1 and len(found) == 4
+
+
+@pytest.mark.parametrize("module, label", [(compression_quality, "quality"), (toxicity, "toxic")])
+def test_no_model_drops_nothing(made, module, label):
+    docs, labels = made
+    for some in (labels.limit(0), labels.filter(F.col(label) == 0), labels.filter(F.col(label) == 1)):
+        model = module.fit(docs, some)
+        assert module.accepted(docs, model).count() == docs.count()
+        assert len(module.score(docs, model).select("predicted").distinct().collect()) == 1
+
+
 # ------------------------------------------------------------------- Pitman-Yor
 
 def tokens(text):
