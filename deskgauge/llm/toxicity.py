@@ -4,17 +4,22 @@ Two interpolated Kneser-Ney models over the bytes of words, one of toxic and one
 of ordinary labelled texts, share their lower orders: an n-gram that a class has
 not seen backs off to continuation counts pooled over both, so a rare word that
 neither knows says nothing.  Each word gets the difference of the two log
-likelihoods, normalised by its length; the features of a text are the greatest
-difference of a word and the mean over the whole text, and a logistic curve
-fitted on labelled texts that the models have not seen makes them a probability.
+likelihoods, normalised by its length.  Five bytes cannot tell a word made of
+common syllables, whose n-grams ordinary texts are full of, and longer n-grams
+lift the words of single texts as much; so words seen whole in ``LEAST_TEXTS``
+toxic texts or more have the log odds of the texts they are in as well, drawn to
+the share of toxic texts by ``DRAWN`` texts.  The features of a text are the
+greatest difference of a word, the mean over the whole text and the greatest log
+odds of a word, and a logistic curve fitted on labelled texts that the models have
+not seen makes them a probability.
 
 The fit reads a bounded sample of the labelled rows (``SAMPLE_ROWS`` per label,
 smallest hash of the id first), counts their n-grams as a Spark job and brings
 one row per distinct n-gram to the driver, ``GRAMS`` of each order at most, the
-most frequent first.  Scores read every text whole.
+most frequent first; of the words likewise ``WORDS``, in most toxic texts.  Scores read every text whole.
 
 Words are runs of anything but ASCII white space, ASCII capitals lowered.
-Cases: a null or empty text has both features 0; with one label only, or none,
+Cases: a null or empty text has all features 0; with one label only, or none,
 every score is the share of label 1, nothing is predicted toxic and every document
 accepted; repeated rows repeat their score.
 """
@@ -24,7 +29,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,8 @@ GRAMS = 2_000_000
 ORDER = 5          # bytes of an n-gram; packed in one 64-bit number
 SHARED = 3         # orders below this one are pooled over both classes
 DISCOUNT = 0.9
+LEAST_TEXTS, DRAWN = 3, 3.0
+WORDS = 200_000
 THRESHOLD = 0.3
 BLOCK = 3_000_000    # bytes of text in memory at a time
 
@@ -77,6 +84,7 @@ class Order:
 @dataclass(frozen=True)
 class Model:
     orders: tuple[Order, ...]
+    words: dict[bytes, float]   # log odds
     weights: np.ndarray
 
     def toxic(self, scores: np.ndarray) -> np.ndarray:
@@ -159,7 +167,7 @@ class Scorer:
 
     def features(self, texts: Iterable[bytes]) -> np.ndarray:
         """One row per text, ``BLOCK`` bytes or one text at a time."""
-        out, block, size = [np.zeros((0, 2))], [], 0
+        out, block, size = [np.zeros((0, 3))], [], 0
         for text in texts:
             block.append(text)
             size += len(text)
@@ -174,7 +182,8 @@ class Scorer:
         raw, at, owner = _positions(list(ids))
         difference = np.bincount(owner, _difference(self.model.orders, raw, at), len(ids))
         length = np.bincount(owner, minlength=len(ids))
-        out = np.zeros((len(texts), 2))
+        odds = np.fromiter(map(self.model.words.get, ids, repeat(0.0)), float, len(ids))
+        out = np.zeros((len(texts), 3))
         normalised = difference / np.maximum(length, 1)
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         full = np.flatnonzero(sizes)
@@ -184,26 +193,56 @@ class Scorer:
             out[full, 0] = np.maximum.reduceat(normalised[flat], start)
             out[full, 1] = (np.add.reduceat(difference[flat], start)
                             / np.add.reduceat(length[flat], start))
+            out[full, 2] = np.maximum(np.maximum.reduceat(odds[flat], start), 0)
         return out
 
     def scores(self, texts: Iterable[bytes]) -> np.ndarray:
         if not self.model.orders:
-            return common.logistic(np.zeros((sum(1 for _ in texts), 2)), self.model.weights)
+            return common.logistic(np.zeros((sum(1 for _ in texts), 3)), self.model.weights)
         return common.logistic(self.features(texts), self.model.weights)
 
 
-def _gram_counts(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of the n-grams of every length in the sample, by class."""
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """A written table of the words of the sample: occurrences and texts, by class."""
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
+            texts: Counter = Counter()
             for text, label in zip(common.utf8(batch.column(0)), batch.column(1).to_pylist()):
-                found.update((w, label) for w in text.lower().split())
+                once = Counter((w, label) for w in text.lower().split())
+                found.update(once)
+                texts.update(once.keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in found], pa.binary()),
                  pa.array([k for _, k in found], pa.int32()),
-                 pa.array(list(found.values()), pa.int64())], ["word", "label", "n"])
+                 pa.array(list(found.values()), pa.int64()),
+                 pa.array([texts[w] for w in found], pa.int64())],
+                ["word", "label", "n", "texts"])
 
+    count = lambda c, k: F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0))
+    counted = (
+        sample.select("text", "label")
+        .mapInArrow(words, "word binary, label int, n bigint, texts bigint")
+        .groupBy("word").agg(
+            count("n", 1).alias("toxic"), count("n", 0).alias("ordinary"),
+            count("texts", 1).alias("toxic_texts"), count("texts", 0).alias("ordinary_texts"))
+    )
+    return common.stored(counted, common.scratch(sample.sparkSession), "words")
+
+
+def _log_odds(counted: DataFrame, counts: dict[int, int]) -> dict[bytes, float]:
+    """Log odds of words over those of the labels."""
+    rows = (counted.filter(F.col("toxic_texts") >= LEAST_TEXTS)
+            .orderBy(F.desc("toxic_texts"), "ordinary_texts", "word").limit(WORDS)
+            .select("word", "toxic_texts", "ordinary_texts").toArrow())
+    share = float(common.logistic(np.zeros((1, 0)), np.array([common.prior(counts)]))[0])
+    toxic, ordinary = (rows.column(c).to_numpy() for c in ("toxic_texts", "ordinary_texts"))
+    odds = np.log(toxic + DRAWN * share) - np.log(ordinary + DRAWN * (1 - share))
+    return dict(zip(rows.column("word").to_pylist(), (odds - common.prior(counts)).tolist()))
+
+
+def _gram_counts(words: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of the n-grams of every length in the words, by class."""
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at, owner = _positions(batch.column(0).to_pylist())
@@ -216,15 +255,13 @@ def _gram_counts(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
                      pa.array(keys.view(np.int64)), *map(pa.array, sums)],
                     ["order", "gram", "toxic", "ordinary"])
 
-    count = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
     counted = (
-        sample.select("text", "label").mapInArrow(words, "word binary, label int, n bigint")
-        .groupBy("word").agg(count(1).alias("toxic"), count(0).alias("ordinary"))
+        words.select("word", "toxic", "ordinary")
         .mapInArrow(grams, "order int, gram bigint, toxic bigint, ordinary bigint")
         .groupBy("order", "gram").agg(F.sum("toxic").alias("toxic"),
                                       F.sum("ordinary").alias("ordinary"))
     )
-    counted = common.stored(counted, common.scratch(sample.sparkSession), "grams")
+    counted = common.stored(counted, common.scratch(words.sparkSession), "grams")
     tables = []
     for n in range(1, ORDER + 1):
         rows = (counted.filter(F.col("order") == n)
@@ -237,14 +274,21 @@ def _gram_counts(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return tables
 
 
+def _sampled(sample: DataFrame) -> dict[int, int]:
+    """Texts by label that the models are trained on."""
+    rows = sample.filter(~F.col("curve")).groupBy("label").count().collect()
+    return {0: 0, 1: 0} | {r["label"]: r["count"] for r in rows}
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Both models and the curve, from the bounded sample."""
     sample, counts = common.labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_ROWS)
-    constant = Model((), np.array([0.0, 0.0, common.prior(counts)]))
-    tables = _gram_counts(sample.filter(~F.col("curve")))
+    constant = Model((), {}, np.array([0.0, 0.0, 0.0, common.prior(counts)]))
+    words = _word_counts(sample.filter(~F.col("curve")))
+    tables = _gram_counts(words)
     if not all(c.any() for c in tables[-1][1]):
         return constant
-    model = Model(_build(tables), constant.weights)
+    model = Model(_build(tables), _log_odds(words, _sampled(sample)), constant.weights)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +296,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             rows = scorer.features(common.utf8(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, rows.T.copy()), batch.column(1)], ["a", "b", "label"])
+                [*map(pa.array, rows.T.copy()), batch.column(1)], ["a", "b", "c", "label"])
 
     rows = sample.filter("curve").select("text", "label").mapInArrow(
-        run, "a double, b double, label int").toArrow()
+        run, "a double, b double, c double, label int").toArrow()
     label = rows.column("label").to_numpy()
     if len(set(label.tolist())) < 2:
         return constant
-    features = np.column_stack([rows.column(c).to_numpy() for c in "ab"])
+    features = np.column_stack([rows.column(c).to_numpy() for c in "abc"])
     order = np.lexsort((label, *features.T))  # sums in one order
-    return Model(model.orders, common.logistic_fit(features[order], label[order], counts))
+    return Model(model.orders, model.words, common.logistic_fit(features[order], label[order], counts))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

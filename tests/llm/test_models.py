@@ -140,6 +140,15 @@ def test_no_model_drops_nothing(made, module, label):
         assert len(module.score(docs, model).select("predicted").distinct().collect()) == 1
 
 
+def test_toxic_recall_by_language(spark):
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{n}.parquet") for n in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels, "doc_id")
+    found = found.join(docs.select("doc_id", "lang"), "doc_id").filter("lang in ('en', 'de', 'fr', 'es')")
+    assert found.filter("toxic = 0").agg(F.avg("predicted")).first()[0] < 0.03
+    recall = {r["lang"]: r["r"] for r in found.filter("toxic = 1").groupBy("lang").agg(F.avg("predicted").alias("r")).collect()}
+    assert len(recall) == 4 and min(recall["en"], recall["de"], recall["fr"]) > 0.8
+
+
 # ------------------------------------------------------------------- Pitman-Yor
 
 def tokens(text):
