@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deskgauge.llm import (
-    byte_bpe, chat_rotation, compression_quality, decontamination, near_duplicates, pitman_yor,
-    quality_rules, toxicity, url_lists, wrapper_extraction,
+    byte_bpe, chat_rotation, compression_quality, decontamination, fill_in_middle,
+    merkle_manifest, near_duplicates, pitman_yor, quality_rules, toxicity, url_lists, winnowing,
+    wrapper_extraction,
 )
 from deskgauge.llm.common import table
 
@@ -254,3 +255,204 @@ def _(spark, sf_dir):
     valid = url_lists.intervals(url_lists.lists_of(pages))
     judged = url_lists.filter_captures(url_lists.captures_of(pages), valid)
     return judged.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+_ONE = "1::UHUGEINT"
+_MODULUS = "18446744073709551616::UHUGEINT"
+
+
+def _powers(base: int, name: str) -> str:
+    """A macro-like CTE: powers of ``base`` modulo 2**64 for every place of the longest text."""
+    factors = ", ".join(f"{pow(base, 1 << bit, 1 << 64)}::UHUGEINT" for bit in range(26))
+    return f"""{name} AS (
+        SELECT i, list_reduce(
+            list_transform(generate_series(1, 26), lambda b:
+                CASE WHEN (i >> (b - 1)::INT) % 2 = 1 THEN ([{factors}])[b]
+                     ELSE {_ONE} END),
+            lambda x, y: x * y % {_MODULUS}) AS p
+        FROM (SELECT unnest(generate_series(0, (SELECT max(length(t)) FROM e))) AS i))"""
+
+
+_WINNOWING_SQL = rf"""
+    WITH ordered AS (
+        SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id,
+               coalesce(text, '') AS t FROM documents),
+    d AS (
+        SELECT r, doc_id, t, length(t) AS n,
+               coalesce(lead(t) OVER (ORDER BY r), (SELECT t FROM ordered WHERE r = 1)) AS following,
+               coalesce(lead(r) OVER (ORDER BY r), 1) AS next_r
+        FROM ordered),
+    e AS (SELECT *, left(t, n - (n // 4)) || left(following, (n // 4)) AS edited FROM d),
+    {_powers(pow(winnowing.BASE, -1, 1 << 64), "down")},
+    {_powers(winnowing.BASE, "up")},
+    side AS (
+        SELECT r, false AS changed, t AS x FROM e UNION ALL SELECT r, true, edited FROM e),
+    code AS (
+        SELECT r, changed, length(x) AS n, least({winnowing.GRAM}, length(x)) AS g,
+               unnest(string_split(x, '')) AS c, unnest(generate_series(0, length(x) - 1)) AS i
+        FROM side WHERE x <> ''),
+    total AS (
+        SELECT r, changed, n, g, i, sum((unicode(c)::UHUGEINT * p % {_MODULUS})::HUGEINT)
+                   OVER (PARTITION BY r, changed ORDER BY i
+                         ROWS BETWEEN CURRENT ROW AND g - 1 FOLLOWING) AS s
+        FROM code JOIN down USING (i)),
+    gram AS (
+        SELECT r, changed, n, g, total.i AS i,
+               ((s::UHUGEINT % {_MODULUS}) * p % {_MODULUS}) // {1 << winnowing.PLACE_BITS} AS h
+        FROM total JOIN up ON up.i = total.i + g - 1 WHERE total.i + g <= n),
+    least_of AS (
+        SELECT r, changed, i, n, g, min(h::HUGEINT * {1 << 27} + ({(1 << 27) - 1} - i)) OVER (
+                   PARTITION BY r, changed ORDER BY i
+                   ROWS BETWEEN CURRENT ROW AND {winnowing.WINDOW - 1} FOLLOWING) AS k
+        FROM gram),
+    found AS (
+        SELECT DISTINCT r, changed, (k // {1 << 27})::BIGINT AS h,
+               ({(1 << 27) - 1} - k % {1 << 27})::BIGINT AS pos
+        FROM least_of WHERE i <= greatest(0, n - g + 1 - {winnowing.WINDOW})),
+    prints AS (
+        SELECT r, changed, to_base64(unhex(string_agg(
+                   format('{{:014x}}', h * 256 + gap), '' ORDER BY pos))) AS fp
+        FROM (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY r, changed ORDER BY pos) AS gap
+              FROM found)
+        GROUP BY ALL),
+    mark AS (SELECT DISTINCT r, changed, h FROM found),
+    sizes AS (SELECT r, changed, count(*) AS m FROM mark GROUP BY ALL),
+    meeting AS (
+        SELECT a.r, b.changed, count(*) AS shared
+        FROM mark a JOIN e ON e.r = a.r
+             JOIN mark b ON b.h = a.h AND (b.changed AND b.r = a.r OR NOT b.changed AND b.r = e.next_r)
+        WHERE NOT a.changed GROUP BY ALL),
+    likeness AS (
+        SELECT e.r, w.changed,
+               CASE WHEN coalesce(a.m, 0) + coalesce(b.m, 0) = 0 THEN 1.0::DOUBLE
+                    ELSE coalesce(shared, 0)::DOUBLE
+                         / (coalesce(a.m, 0) + coalesce(b.m, 0) - coalesce(shared, 0)) END AS x
+        FROM e CROSS JOIN (SELECT unnest([true, false]) AS changed) w
+             LEFT JOIN sizes a ON a.r = e.r AND NOT a.changed
+             LEFT JOIN sizes b ON b.changed = w.changed
+                       AND b.r = CASE WHEN w.changed THEN e.r ELSE e.next_r END
+             LEFT JOIN meeting ON meeting.r = e.r AND meeting.changed = w.changed)
+    SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
+           coalesce(p.fp, '') AS fingerprint, coalesce(q.fp, '') AS edited_fingerprint,
+           y.x AS near_edited, z.x AS near_next
+    FROM e JOIN likeness y ON y.r = e.r AND y.changed JOIN likeness z ON z.r = e.r AND NOT z.changed
+         LEFT JOIN prints p ON p.r = e.r AND NOT p.changed
+         LEFT JOIN prints q ON q.r = e.r AND q.changed"""
+
+
+@query("op11_winnowing", _WINNOWING_SQL)
+def _(spark, sf_dir):
+    return winnowing.with_next(table(spark, sf_dir, "documents"))
+
+
+def _encoded(value: str) -> str:
+    return (f"CASE WHEN {value} IS NULL THEN '-' "
+            f"ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END")
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ("doc_id", "source", "lang", n_chars, "text")
+    return f"sha256({' || '.join(map(_encoded, values))})"
+
+
+# CRC-32 of ASCII text, a bit at a time.
+_CRC = """(xor(4294967295::BIGINT, list_reduce(
+    list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT),
+    lambda crc, byte: list_reduce(generate_series(1, 8)::BIGINT[], lambda x, step:
+        xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END),
+        xor(crc, byte)),
+    4294967295::BIGINT)))"""
+
+_MERKLE_SQL = f"""
+    WITH RECURSIVE d AS (
+        SELECT coalesce('1' || lang, '0') AS grp, doc_id, {_leaf_sql("n_chars")} AS leaf,
+               CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 7 = 0
+                    THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS claimed
+        FROM documents),
+    leaf AS (
+        SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+        FROM d),
+    node AS (
+        SELECT 0 AS level, grp, pos, leaf AS digest, count(*) OVER (PARTITION BY grp) AS n FROM leaf
+        UNION ALL
+        SELECT DISTINCT level + 1, grp, pos // 2,
+               sha256(string_agg(digest, '') OVER (PARTITION BY grp, pos // 2 ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (n + 1) // 2
+        FROM node WHERE n > 1),
+    sub AS (
+        SELECT grp, digest AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS j
+        FROM node WHERE n = 1),
+    top AS (
+        SELECT 0 AS level, j AS pos, subroot AS digest, count(*) OVER () AS n FROM sub
+        UNION ALL
+        SELECT DISTINCT level + 1, pos // 2,
+               sha256(string_agg(digest, '') OVER (PARTITION BY pos // 2 ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (n + 1) // 2
+        FROM top WHERE n > 1),
+    both_trees AS (
+        SELECT grp, level, pos, digest, n FROM node
+        UNION ALL
+        SELECT '' AS grp, level, pos, digest, n FROM top),
+    climb AS (
+        SELECT grp AS own, pos AS place, grp, 0 AS level, pos,
+               (SELECT max(n) FROM node WHERE node.grp = leaf.grp AND level = 0) AS n,
+               claimed AS digest, '' AS proof
+        FROM leaf
+        UNION ALL
+        SELECT own, place, CASE WHEN c.n = 1 THEN '' ELSE c.grp END,
+               CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+               CASE WHEN c.n = 1 THEN j ELSE c.pos // 2 END,
+               CASE WHEN c.n = 1 THEN (SELECT count(*) FROM sub) ELSE (c.n + 1) // 2 END,
+               CASE WHEN c.n = 1 THEN c.digest
+                    WHEN c.pos % 2 = 1 THEN sha256(s.digest || c.digest)
+                    ELSE sha256(c.digest || coalesce(s.digest, '')) END,
+               c.proof || CASE WHEN c.n = 1 THEN '' ELSE coalesce(s.digest, '') END
+        FROM climb c LEFT JOIN both_trees s
+             ON s.grp = c.grp AND s.level = c.level AND s.pos = xor(c.pos, 1::BIGINT)
+             LEFT JOIN sub ON sub.grp = c.own
+        WHERE c.n > 1 OR c.grp <> '')
+    SELECT doc_id, leaf.leaf, subroot, root, sha256(proof) AS proof_sha256,
+           climb.digest AS folded_root, climb.digest = root AS verified
+    FROM leaf JOIN climb ON own = leaf.grp AND place = leaf.pos AND climb.grp = '' AND climb.n = 1
+         JOIN sub ON sub.grp = leaf.grp, (SELECT digest AS root FROM top WHERE n = 1)"""
+
+
+@query("op12_merkle_manifest", _MERKLE_SQL)
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return merkle_manifest.build(docs, claims=merkle_manifest.tampered()).verified()
+
+
+_FILL_IN_MIDDLE_SQL = r"""
+    WITH h AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS line,
+               sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x
+        FROM documents),
+    d AS (
+        SELECT *, len(line) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2,
+               ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM h),
+    c AS (
+        SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                         OR h3 % 100 >= 100 THEN 'plain'
+                    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+        FROM d),
+    p AS (
+        SELECT *, array_to_string(line[1:a], '') AS prefix, array_to_string(line[a + 1:b], '') AS middle,
+               array_to_string(line[b + 1:n], '') AS suffix
+        FROM c)
+    SELECT doc_id, n::BIGINT AS n, form,
+           CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t
+                  WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END)
+               AS restored_sha256
+    FROM p"""
+
+
+@query("op13_fill_in_middle", _FILL_IN_MIDDLE_SQL)
+def _(spark, sf_dir):
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
