@@ -6,7 +6,10 @@ same derivation is written in SQL in ``oracle``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from deskgauge import constants as K
 from deskgauge import schemas
@@ -34,8 +37,16 @@ NOTES = ("#tagp# sousobservation", "#tagp# rdv:26/02/2002",
 UNKNOWN_SITE = "SITE INCONNU"
 
 
+@lru_cache(maxsize=256)
+def _schema(application: str, path: str) -> StructType:
+    return SparkSession.getActiveSession().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is read from the files once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = _schema(spark.sparkContext.applicationId, path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _pick(selector: str, values, other=None) -> Column:

@@ -1,16 +1,20 @@
 """Per-ticket features.
 
-Everything a ticket takes from its actions is computed in ONE aggregation by
-request id, whatever the number of features: each feature is a row condition
-plus conditional aggregates.  The aggregates are all partial, so a ticket
-that owns a third of all actions is reduced inside each map task and never
-gathered in one place, and only one row per ticket and map task is shuffled.
+Everything a ticket takes from its actions is computed in one pass over them,
+whatever the number of features.  A feature is a row condition, aggregates with
+buffers of a fixed width (numbers, times, flags, a rank packed into one decimal),
+which Spark keeps in a hash table, and what becomes of them per ticket.  A feature
+that needs a text or the days of something groups by it as well: the actions are
+hashed by (request, text), and only the few rows left per request meet again.
+Nothing sorts the actions, and all aggregates are partial, so that a ticket that
+owns a third of all actions is reduced inside each map task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,28 +39,73 @@ def _start() -> Column:
 
 @dataclass(frozen=True)
 class ActionFeature:
-    """Rows a feature reads and the aggregates it takes from them."""
+    """Rows a feature reads, and what it takes from them.
+
+    ``prepared`` columns are worked out once per row.  ``aggregates`` are per request
+    and, if there are any, ``keys``, of which rows that the feature does not read have
+    null.  With keys, ``final`` makes the columns of a request from the aggregates and
+    keys of its few rows.
+    """
 
     rows: Callable[[], Column]
     aggregates: Callable[[Column], dict[str, Column]]
+    final: Callable[[], dict[str, Column]]
+    keys: Callable[[Column], dict[str, Column]] = lambda rows: {}
+    prepared: Callable[[Column], dict[str, Column]] = lambda rows: {}
+
+
+# A rank is a decimal of 38 digits: 18 for the microseconds, 20 for the number.
+_NUMBER_DIGITS = Decimal(10) ** 20
+_LATEST = Decimal(10) ** 18 - 1
+_ERA = Decimal(10) ** 17  # beyond the microseconds from year 1 to 1970
+
+
+def packed_rank(when: Column, number: Column, null_is_last: bool) -> Column:
+    """Order by ``when``, then ``number``, as one decimal.
+
+    A null time comes last or first, a null number first.  Times are told apart
+    from year 1 to 9999.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = (XT.seconds_between(epoch, when) * 1_000_000).cast("decimal(20,0)") + F.lit(_ERA)
+    inside = F.greatest(F.least(micros, F.lit(_LATEST - 1)), F.lit(Decimal(1)))
+    at = F.coalesce(inside, F.lit(_LATEST if null_is_last else Decimal(0)))
+    from_one = F.coalesce(number.cast("decimal(20,0)") + F.lit(Decimal(2**63 + 1)),
+                          F.lit(Decimal(0)))
+    return at.cast("decimal(18,0)") * F.lit(_NUMBER_DIGITS) + from_one
 
 
 def _is_assignment() -> Column:
     return X.member(_action_type(), K.ACTION_ASSIGNMENT)
 
 
+def _technician_rank(rows: Column) -> dict[str, Column]:
+    """Open actions first, then the newest; the greatest is first."""
+    rank = packed_rank(_start(), F.col("AP_AM_ACTION_ID"), null_is_last=True)
+    return {"_assigned_rank": F.when(rows, rank)}
+
+
 def _technician(rows: Column) -> dict[str, Column]:
-    # First non-null value per column over "open actions first, then newest".
-    rank = F.struct(_start().isNull(), _start(), F.col("AP_AM_ACTION_ID"))
+    def known(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.col("_assigned_rank"))
+
+    found = {"AP_AM_START_DATE": F.max(F.when(rows, _start())),
+             "_name_rank": F.max(known("AP_AM_DONE_BY_OPERATOR_NAME"))}
+    for name, rank in _RANKS.items():
+        found[name] = F.max_by(name, known(name))
+        found[rank] = F.max(known(name))
+    return found
+
 
-    def first_known(name: str) -> Column:
-        return F.max_by(name, F.when(rows & F.col(name).isNotNull(), rank))
+# Numbers that a ticket takes from the first action that has them, and their ranks.
+_RANKS = {"AP_AM_ACTION_ID": "_action_rank", "AP_AM_ACTION_TYPE_ID": "_type_rank"}
 
+
+def _technician_of_request() -> dict[str, Column]:
     return {
-        "AP_AM_ACTION_ID": first_known("AP_AM_ACTION_ID"),
-        "AP_AM_ACTION_TYPE_ID": first_known("AP_AM_ACTION_TYPE_ID"),
-        "AP_AM_START_DATE": F.max(F.when(rows, _start())),
-        "AP_AM_DONE_BY_OPERATOR_NAME": first_known("AP_AM_DONE_BY_OPERATOR_NAME"),
+        **{name: F.max_by(name, rank) for name, rank in _RANKS.items()},
+        "AP_AM_START_DATE": F.max("AP_AM_START_DATE"),
+        "AP_AM_DONE_BY_OPERATOR_NAME": F.max_by("_name", "_name_rank"),
     }
 
 
@@ -70,17 +119,38 @@ def is_pilot_note(tag: str) -> Column:
     )
 
 
+def _rdv_ranks(rows: Column) -> dict[str, Column]:
+    date = XT.parse_day(X.rdv_date_text(F.col("AP_AM_DESCRIPTION")))
+    rank = packed_rank(date, F.col("AP_AM_ACTION_ID"), null_is_last=False)
+    return {"_rdv_date": F.when(rows, date), "_rdv_rank": F.when(rows, rank)}
+
+
 def _rdv(rows: Column) -> dict[str, Column]:
-    note = F.col("AP_AM_DESCRIPTION")
-    date = XT.parse_day(X.rdv_date_text(note))
-    rank = F.struct(date, F.col("AP_AM_ACTION_ID"))
     return {
         "C_HAS_RDV": F.bool_or(rows),
-        "C_RDV_DATE": F.max(F.when(rows, date)),
-        "AP_AM_DESCRIPTION": F.max_by(note, F.when(rows, rank)),
+        "C_RDV_DATE": F.max("_rdv_date"),
+        "_note_rank": F.max("_rdv_rank"),
+    }
+
+
+def _rdv_of_request() -> dict[str, Column]:
+    return {
+        "C_HAS_RDV": F.bool_or("C_HAS_RDV"),
+        "C_RDV_DATE": F.max("C_RDV_DATE"),
+        "AP_AM_DESCRIPTION": F.max_by("_note", "_note_rank"),
     }
 
 
+def _simple(rows: Callable[[], Column], name: str, aggregate: Callable[[Column], Column],
+            value: Callable[[], Column] | None = None) -> ActionFeature:
+    """One aggregate that merges by itself; without ``value``, of the condition."""
+    def of(rows: Column) -> Column:
+        return F.when(rows, value()) if value else rows
+
+    return ActionFeature(rows, lambda rows: {name: aggregate(of(rows))},
+                         lambda: {name: aggregate(F.col(name))})
+
+
 def first_actions(actions: DataFrame) -> DataFrame:
     """Per request: the action that is open or newest, the earliest, and the latest.
 
@@ -95,44 +165,47 @@ def first_actions(actions: DataFrame) -> DataFrame:
     )
 
 
-TECHNICIAN = ActionFeature(_is_assignment, _technician)
-FIRST_ACTION = ActionFeature(
-    _is_work, lambda rows: {"C_ACTION_START": F.min(F.when(rows, _start()))}
-)
-LATEST_ACTION = ActionFeature(
-    _is_work, lambda rows: {"C_ACTION_START": F.max(F.when(rows, _start()))}
-)
-RDV = ActionFeature(lambda: is_pilot_note(K.TAG_RDV), _rdv)
-OBSERVATION = ActionFeature(
-    lambda: is_pilot_note(K.TAG_OBSERVATION),
-    lambda rows: {"C_UNDER_OBSERVATION": F.bool_or(rows)},
+TECHNICIAN = ActionFeature(
+    _is_assignment, _technician, _technician_of_request,
+    lambda rows: {"_name": F.when(rows, F.col("AP_AM_DONE_BY_OPERATOR_NAME"))},
+    _technician_rank,
 )
-SUSPENSION = ActionFeature(
-    lambda: _action_type() == K.ACTION_SUSPENSION,
-    lambda rows: {"C_SUSPENDED_AT": F.max(F.when(rows, _start()))},
-)
-OBSERVED_SINCE = ActionFeature(
-    lambda: _action_type() == K.ACTION_OBSERVATION,
-    lambda rows: {"C_OBSERVED_AT": F.max(F.when(rows, _start()))},
+FIRST_ACTION = _simple(_is_work, "C_ACTION_START", F.min, _start)
+LATEST_ACTION = _simple(_is_work, "C_ACTION_START", F.max, _start)
+RDV = ActionFeature(
+    lambda: is_pilot_note(K.TAG_RDV), _rdv, _rdv_of_request,
+    lambda rows: {"_note": F.when(rows, F.col("AP_AM_DESCRIPTION"))},
+    _rdv_ranks,
 )
+OBSERVATION = _simple(
+    lambda: is_pilot_note(K.TAG_OBSERVATION), "C_UNDER_OBSERVATION", F.bool_or)
+SUSPENSION = _simple(
+    lambda: _action_type() == K.ACTION_SUSPENSION, "C_SUSPENDED_AT", F.max, _start)
+OBSERVED_SINCE = _simple(
+    lambda: _action_type() == K.ACTION_OBSERVATION, "C_OBSERVED_AT", F.max, _start)
 
 
 def action_features(actions: DataFrame, *features: ActionFeature) -> DataFrame:
-    """One row per request id with the aggregates of ``features``.
+    """One row per request id with the columns of ``features``.
 
-    Rows that no feature reads are filtered first, so that they are neither
-    sorted nor shuffled.
+    Rows that no feature reads are filtered first, so that they are not shuffled.
     """
     conditions = [f.rows() for f in features]
-    aggregates = {}
+    prepared, keys, aggregates, final = {}, {}, {}, {}
     for feature, rows in zip(features, conditions):
+        prepared.update(feature.prepared(rows))
+        keys.update(feature.keys(rows))
         aggregates.update(feature.aggregates(rows))
-    return (
-        actions
-        .filter(F.col(ACTION_TICKET_ID).isNotNull() & any_of(conditions))
-        .groupBy(ACTION_TICKET_ID)
-        .agg(*[value.alias(name) for name, value in aggregates.items()])
-    )
+        final.update(feature.final())
+    read = actions.filter(F.col(ACTION_TICKET_ID).isNotNull() & any_of(conditions))
+    if prepared or keys:
+        read = read.withColumns(prepared | keys)
+    found = read.groupBy(ACTION_TICKET_ID, *keys).agg(
+        *[value.alias(name) for name, value in aggregates.items()])
+    if not keys:
+        return found
+    return found.groupBy(ACTION_TICKET_ID).agg(
+        *[value.alias(name) for name, value in final.items()])
 
 
 def with_action_features(tickets: DataFrame, actions: DataFrame,
@@ -142,9 +215,25 @@ def with_action_features(tickets: DataFrame, actions: DataFrame,
     return joins.merge(tickets, found, TICKET_ID, ACTION_TICKET_ID).drop(ACTION_TICKET_ID)
 
 
+def assigned_to(tickets: DataFrame, actions: DataFrame, tech_filter: str | None) -> DataFrame:
+    """Tickets with any assignment whose operator matches, where there is a pattern.
+
+    The operator that :func:`filter_technician` looks at is one of them.  Most tickets
+    have none, so their actions are never grouped.
+    """
+    if not tech_filter:
+        return tickets
+    matching = actions.filter(
+        _is_assignment() & X.matches(F.col("AP_AM_DONE_BY_OPERATOR_NAME"), tech_filter)
+    ).select(ACTION_TICKET_ID).distinct()
+    return tickets.join(
+        matching, tickets[TICKET_ID] == matching[ACTION_TICKET_ID], "left_semi")
+
+
 def with_technician(tickets: DataFrame, actions: DataFrame,
                     tech_filter: str | None = None) -> DataFrame:
     """Assigned operator, optionally only operators that match a pattern."""
+    tickets = assigned_to(tickets, actions, tech_filter)
     tickets = with_action_features(tickets, actions, TECHNICIAN)
     return filter_technician(tickets, tech_filter)
 

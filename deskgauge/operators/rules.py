@@ -1,12 +1,14 @@
 """Follow-up rules on suspended tickets.
 
-Contacts are first reduced to one row per ticket and local day, then to one
-row per ticket.  Both steps combine on the map side; a ticket has at most as
-many rows after the first step as there are days, however many actions it has.
+Contacts are a feature like the others, grouped by ticket and local day: a ticket has
+at most as many rows as there are days, however many actions it has.  Where a flow
+needs other features too, all come from one pass over the actions.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deskgauge import constants as K
@@ -21,20 +23,47 @@ GRACE_DAYS_HOTLINE = 1
 GRACE_DAYS_PROXY = 5
 
 
+def _day(rows: Column) -> dict[str, Column]:
+    contact = selectors.is_contact_action()
+    return {"_day": F.when(contact, XT.local_date(F.col("AP_AM_START_DATE")))}
+
+
+def _contacts_of_day(rows: Column) -> dict[str, Column]:
+    contact = selectors.is_contact_action()
+    return {
+        "_latest": F.max(F.when(contact, F.col("AP_AM_START_DATE"))),
+        "_contact": F.bool_or(contact),
+    }
+
+
+def _contacts_of_request() -> dict[str, Column]:
+    """Contact days, latest contact of the first and last day.
+
+    A ticket has one row per day, and more only for what other features group by.
+    """
+    micros = XT.seconds_between(XT.moment("1970-01-01 00:00:00"), F.col("_latest"))
+    return {
+        "contact_days": F.size(F.collect_set("_day")).cast("bigint"),
+        "first_contact": F.min_by("_latest", F.when(
+            F.col("_day").isNotNull(), F.struct("_day", -micros))),
+        "last_contact": F.max("_latest"),
+        "was_contacted": F.bool_or("_contact"),
+    }
+
+
+# All actions are read where a ticket whose actions hold no contact counts too.
+CONTACTS = features.ActionFeature(
+    selectors.is_contact_action, _contacts_of_day, _contacts_of_request, _day)
+CONTACTS_OR_NONE = replace(CONTACTS, rows=lambda: F.lit(True))
+
+
 def _per_day(actions: DataFrame) -> DataFrame:
     """One row per ticket and local day of a contact, one for all its other actions."""
-    start = F.col("AP_AM_START_DATE")
     contact = selectors.is_contact_action()
     return (
         actions.filter(F.col(features.ACTION_TICKET_ID).isNotNull())
-        .groupBy(
-            features.ACTION_TICKET_ID,
-            F.when(contact, XT.local_date(start)).alias("_day"),
-        )
-        .agg(
-            F.max(F.when(contact, start)).alias("_latest"),
-            F.bool_or(contact).alias("_contact"),
-        )
+        .withColumns(_day(contact)).groupBy(features.ACTION_TICKET_ID, "_day")
+        .agg(*[value.alias(name) for name, value in _contacts_of_day(contact).items()])
     )
 
 
@@ -86,6 +115,11 @@ def not_recontacted() -> Column:
     )
 
 
+def keep_not_recontacted(tickets: DataFrame, as_of: Column) -> DataFrame:
+    """Tickets with the CONTACTS_OR_NONE feature that are due for another contact."""
+    return tickets.withColumn("now", XT.local(as_of)).filter(not_recontacted()).drop("now")
+
+
 def suspended_mail_not_recontacted(tickets: DataFrame, actions: DataFrame,
                                    as_of: Column) -> DataFrame:
     """Mail-suspended tickets whose user is due for another contact.
@@ -102,12 +136,19 @@ def contacted_x_times(tickets: DataFrame, actions: DataFrame,
                       min_contacts: int = 3) -> DataFrame:
     """Mail-suspended normal tickets, contacted often enough over long enough."""
     contacts = contact_days(actions.filter(selectors.is_contact_action()))
+    return _keep(tickets.filter(is_waiting()), contacts, contacted_enough(min_contacts))
+
+
+def is_waiting() -> Column:
+    return selectors.is_suspended_by_mail() & selectors.is_normal_urgency()
+
+
+def contacted_enough(min_contacts: int = 3) -> Column:
+    """Predicate on the columns of contacts."""
     span = XT.business_days_between(
         XT.local(F.col("first_contact")), XT.local(F.col("last_contact"))
     )
-    enough = (F.col("contact_days") >= min_contacts) & (span >= MIN_CONTACT_SPAN)
-    waiting = selectors.is_suspended_by_mail() & selectors.is_normal_urgency()
-    return _keep(tickets.filter(waiting), contacts, enough)
+    return (F.col("contact_days") >= min_contacts) & (span >= MIN_CONTACT_SPAN)
 
 
 def is_of_suspended_kind(inter_type: str | None) -> Column:

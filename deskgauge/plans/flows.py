@@ -86,12 +86,19 @@ def _score(desk: Desk, tickets: DataFrame, now: Column) -> DataFrame:
 
 
 def _full(desk: Desk, tickets: DataFrame, tech_filter: str | None, now: Column,
-          *more: features.ActionFeature) -> DataFrame:
-    """All row features: one aggregation of the actions, one join."""
+          *more: features.ActionFeature,
+          keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All row features: one pass over the actions, one join.
+
+    ``keep`` filters by the features of ``more``.
+    """
+    actions = desk.clean_actions()
     tickets = features.with_action_features(
-        tickets, desk.clean_actions(), *_ROW_FEATURES, *more
+        features.assigned_to(tickets, actions, tech_filter), actions, *_ROW_FEATURES, *more
     )
     tickets = features.filter_technician(tickets, tech_filter)
+    if keep:
+        tickets = keep(tickets)
     tickets = _score(desk, features.add_rdv_state(tickets, now), now)
     return tickets if "AP_TYPE_FR" in tickets.columns else desk.classify(tickets)
 
@@ -156,7 +163,8 @@ def under_observation_count(desk: Desk, tech_filter: str | None = None) -> DataF
     if not tech_filter:
         return reports.row_count(S.under_observation(tickets, actions))
     tickets = features.with_action_features(
-        tickets, actions, features.OBSERVATION, features.TECHNICIAN
+        features.assigned_to(tickets, actions, tech_filter), actions,
+        features.OBSERVATION, features.TECHNICIAN
     ).filter("C_UNDER_OBSERVATION")
     return reports.row_count(features.filter_technician(tickets, tech_filter))
 
@@ -222,7 +230,11 @@ def suspended_mail_table(desk: Desk, tech_filter: str | None = None) -> DataFram
 
 
 def suspended_mail_rows(desk: Desk, tech_filter: str | None = None) -> DataFrame:
-    return _rows(desk, _not_recontacted(desk), tech_filter)
+    now = desk.now
+    tickets = _typed_tickets(desk).filter(S.is_suspended_by_mail())
+    return reports.format_rows(_full(
+        desk, tickets, tech_filter, now, rules.CONTACTS_OR_NONE,
+        keep=lambda found: rules.keep_not_recontacted(found, now)))
 
 
 def suspended_mail_count(desk: Desk, tech_filter: str | None = None) -> DataFrame:
@@ -257,7 +269,10 @@ def _contacted(desk: Desk, min_contacts: int) -> DataFrame:
 
 def contacted_rows(desk: Desk, tech_filter: str | None = None,
                    min_contacts: int = 3) -> DataFrame:
-    return _rows(desk, _contacted(desk, min_contacts), tech_filter)
+    tickets = _typed_tickets(desk).filter(rules.is_waiting())
+    return reports.format_rows(_full(
+        desk, tickets, tech_filter, desk.now, rules.CONTACTS,
+        keep=lambda found: found.filter(rules.contacted_enough(min_contacts))))
 
 
 def contacted_count(desk: Desk, tech_filter: str | None = None,
@@ -293,8 +308,10 @@ def ticket_flow_count(desk: Desk, inter_type: str | None = None,
 def ticket_flow_score(desk: Desk, inter_type: str | None = None,
                       tech_filter: str | None = None) -> DataFrame:
     wanted = _SCORE_FEATURES + ((features.TECHNICIAN,) if tech_filter else ())
+    actions = desk.clean_actions()
     tickets = features.with_action_features(
-        _flow_tickets(desk, inter_type), desk.clean_actions(), *wanted
+        features.assigned_to(_flow_tickets(desk, inter_type), actions, tech_filter),
+        actions, *wanted
     )
     tickets = features.filter_technician(tickets, tech_filter)
     return reports.total_score(_score(desk, tickets, desk.now))

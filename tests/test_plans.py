@@ -97,14 +97,56 @@ def test_registered_queries_keep_the_code_small(spark, conf, key):
     assert largest_method(spark, QUERIES[key](spark, SMALL)) < JIT_LIMIT
 
 
+def below_the_first_shuffle(plan):
+    """What the tasks that read the actions do."""
+    deepest = plan[:plan.index("/actions]")].rindex("Exchange hashpartitioning(AP_AM_REQUEST_ID")
+    return plan[deepest:plan.index("/actions]")]
+
+
 def test_all_row_features_come_from_one_pass_over_the_actions(inputs, big):
     df = flows.ticket_flow_rows(inputs)
     plan = physical(df)
     assert len(scans(plan, "actions")) == 1
-    assert optimized(df).count("Aggregate [") == 1
-    # Reduced in the map task first, then shuffled by ticket, then merged.
-    partial = plan.index("partial_max_by")
-    assert "SortAggregate" in plan and "Exchange hashpartitioning(AP_AM_REQUEST_ID" in plan[:partial]
+    assert optimized(df).count("Aggregate [AP_AM_REQUEST_ID") == 2
+    # Reduced in the map task's hash table first, by ticket and text, then shuffled.
+    reading = below_the_first_shuffle(plan)
+    assert re.search(r"\bHashAggregate\(", reading) and "functions=[partial_" in reading
+
+
+@pytest.mark.parametrize("flow", FLOWS, ids=lambda f: f.__name__)
+def test_actions_are_never_sorted(inputs, big, flow):
+    plan = physical(flow(inputs))
+    if scans(plan, "actions") and "Exchange hashpartitioning(AP_AM_REQUEST_ID" in plan:
+        reading = below_the_first_shuffle(plan)
+        assert "SortAggregate" not in reading and "Sort [" not in reading
+
+
+@pytest.mark.parametrize("flow", [flows.suspended_mail_rows, flows.contacted_rows],
+                         ids=lambda f: f.__name__)
+def test_contacts_ride_on_the_other_features(inputs, big, flow):
+    df = flow(inputs)
+    assert len(scans(physical(df), "actions")) == 1
+    assert optimized(df).count("Aggregate [AP_AM_REQUEST_ID") == 2
+
+
+@pytest.mark.parametrize("flow", [
+    lambda desk: flows.vip_rows(desk, "martin"),
+    lambda desk: flows.suspended_mail_count(desk, "martin"),
+    lambda desk: flows.ticket_flow_score(desk, "incident", "martin"),
+    lambda desk: flows.under_observation_count(desk, "martin"),
+    lambda desk: flows.tickets_by_expiration(desk, "martin"),
+], ids=["rows", "count", "score", "observation", "top"])
+def test_a_technician_is_looked_for_before_anything_is_grouped(inputs, big, flow):
+    """A pattern filters the action scan of a semi join with the tickets."""
+    lines = optimized(flow(inputs)).split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    semi = [i for i, line in enumerate(lines) if "Join LeftSemi" in line]
+    assert any(
+        "martin" in lines[k] and "Filter" in lines[k]
+        for i in semi for k in range(i + 1, len(lines))
+        if all(d > depth[i] for d in depth[i + 1:k + 1])
+        and "LeftOuter" not in "".join(lines[i + 1:k])
+    )
 
 
 def test_score_reads_three_action_columns_more_than_the_cleaning_needs(inputs, big):
@@ -156,7 +198,8 @@ def test_selected_tickets_filter_the_action_scan(inputs, big, flow):
     """A bloom filter of the selected ids runs below the action aggregate."""
     plan = optimized(flow(inputs))
     assert "bloom_filter_agg(xxhash64(AP_SD_REQUEST_ID" in plan
-    assert re.search(r"might_contain\(.*xxhash64\(REQUEST_ID", plan) or "might_contain" in plan
+    below = plan[plan.rindex("Aggregate [AP_AM_REQUEST_ID"):]
+    assert re.search(r"might_contain\(.*xxhash64\((AP_AM_)?REQUEST_ID", below)
 
 
 @pytest.mark.parametrize("flow", [
@@ -267,11 +310,12 @@ def test_a_hot_request_is_reduced_before_the_shuffle(spark, inputs, conf):
     conf("spark.sql.adaptive.enabled", "false")
     actions = _hot_actions(spark).withColumns({
         "RFC_NUMBER": F.lit("x"), "ACTION_TYPE": F.lit("x"), "GROUP_FR": F.lit("x"),
-        "DONE_BY_NAME": F.concat(F.lit("t"), F.col("ACTION_ID").cast("string"))})
+        "DONE_BY_NAME": F.concat(F.lit("t"), (F.col("ACTION_ID") % 5).cast("string"))})
     desk = dataclasses.replace(inputs, actions=actions)
     found = features.action_features(desk.clean_actions(), features.TECHNICIAN)
     rows = {r["AP_AM_REQUEST_ID"]: r for r in found.collect()}
-    assert len(rows) == 300 and rows[0]["AP_AM_DONE_BY_OPERATOR_NAME"] == "t119700"
+    assert len(rows) == 300 and rows[0]["AP_AM_ACTION_ID"] == 119700
+    assert rows[0]["AP_AM_DONE_BY_OPERATOR_NAME"] == "t0"
     metrics = found._jdf.queryExecution().executedPlan()
     shuffled = []
 
@@ -283,5 +327,5 @@ def test_a_hot_request_is_reduced_before_the_shuffle(spark, inputs, conf):
             visit(children.apply(i))
 
     visit(metrics)
-    # At most one row per request and map task, of 120000 actions.
-    assert shuffled and max(shuffled) <= 300 * 8
+    # At most one row per request, operator and map task, of 120000 actions.
+    assert shuffled and max(shuffled) <= 300 * 5 * 8
