@@ -1,17 +1,25 @@
 """Versioned parquet frames that are written together and read together.
 
-A version is a new directory; nothing that may be read is ever overwritten.
-It becomes visible when its line is added to the manifest, which happens
-after all frames are committed, so a lost driver or executor leaves at most
-an unlisted directory behind.
+A version is a new directory; nothing that may be read is ever overwritten.  It
+becomes visible by one small file that names it, which is moved into the manifest
+when all its frames are committed.  The move is atomic and fails if the name is
+taken.  The file of a version that succeeds another is named after that one, so the
+same move claims the base and lists the change: of two changes at once one is refused,
+and a driver lost before the move leaves the base as it was.  The shared folder must
+be on a file system that renames atomically (HDFS and the like).
+
+Frames can be bucketed by a key.  Spark knows buckets from its catalog only, so such
+a frame is read through a table over its files, made in the session on first use.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,10 +29,11 @@ from deskgauge.operators import classification as C
 from deskgauge.sources import extracts
 from deskgauge.sources.extracts import ServiceDesk
 
-_MANIFEST = "kind string, version string, created_at timestamp_ntz"
+_LINE = "base string, kind string, version string, created_at timestamp_ntz"
 
 EXTRACT = "extract"
 CLASSIFICATION = "classification"
+BUCKETS = 64
 
 
 class StaleVersion(RuntimeError):
@@ -35,6 +44,13 @@ def new_version() -> str:
     return str(uuid.uuid4())
 
 
+def _utc_text(moment: dt.datetime | None) -> str:
+    moment = moment or dt.datetime.now(dt.timezone.utc)
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return moment.isoformat()
+
+
 @dataclass(frozen=True)
 class VersionStore:
     """Versions under ``root``, a folder every executor can reach.
@@ -49,18 +65,56 @@ class VersionStore:
     def _path(self, version: str, name: str) -> str:
         return f"{self.root}/versions/{version}/{name}"
 
+    def _table(self, version: str, name: str) -> str:
+        return f"desk_{version.replace('-', '')}_{name}"
+
     def put(self, version: str, name: str, frame: DataFrame) -> DataFrame:
         """Store a frame of a version that is not listed yet; read it back."""
         frame.write.parquet(self._path(version, name))
         return self.read(version, name)
 
+    def put_bucketed(self, version: str, name: str, frame: DataFrame, key: str,
+                     buckets: int) -> DataFrame:
+        """Like :meth:`put`, one file per bucket of ``key``.
+
+        What is grouped or joined by the key later is not shuffled again.
+        """
+        frame.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option(
+            "path", self._path(version, name)).saveAsTable(self._table(version, name))
+        self._create(f"versions/{version}/{name}.buckets.json", {"key": key, "buckets": buckets})
+        return self.read(version, name)
+
+    def _create(self, name: str, content: dict) -> bool:
+        """A small file that appears whole; false if the name is taken."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        fs = jvm.org.apache.hadoop.fs
+        draft, target = fs.Path(f"{self.root}/drafts/{uuid.uuid4()}"), fs.Path(f"{self.root}/{name}")
+        files = target.getFileSystem(conf)
+        draft, target = files.makeQualified(draft), files.makeQualified(target)
+        out = files.create(draft, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        files.mkdirs(target.getParent())
+        no_overwrite = self.spark._sc._gateway.new_array(fs.Options.Rename, 1)
+        no_overwrite[0] = fs.Options.Rename.NONE
+        try:
+            fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, no_overwrite)
+        except Py4JJavaError as error:
+            files.delete(draft, False)
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _list(self, base: str | None, version: str, kind: str,
+              created_at: dt.datetime | None) -> bool:
+        name = f"after-{base}" if base else f"new-{version}"
+        return self._create(f"manifest/{name}.json", {
+            "base": base, "kind": kind, "version": version, "created_at": _utc_text(created_at)})
+
     def publish(self, version: str, kind: str, created_at: dt.datetime | None = None) -> str:
         """List a version whose frames are all stored."""
-        line = self.spark.range(1, numPartitions=1).select(
-            F.lit(kind).alias("kind"), F.lit(version).alias("version"),
-            XT.moment(created_at).alias("created_at"),
-        )
-        line.write.mode("append").parquet(f"{self.root}/manifest")
+        self._list(None, version, kind, created_at)
         return version
 
     def write(self, frames: dict[str, DataFrame], kind: str,
@@ -75,31 +129,30 @@ class VersionStore:
                 created_at: dt.datetime | None = None) -> str:
         """Like :meth:`write`, for frames derived from ``base``.
 
-        Only one version may succeed another: the first to claim it is listed,
-        any other is refused, so that no change is lost.
+        Only one version may succeed another: the first one listed.  Any other is
+        refused, so that no change is lost; it can be made anew on the latest.
         """
         version = new_version()
         for name, frame in frames.items():
             self.put(version, name, frame)
-        claim = self.spark.range(1, numPartitions=1).select(F.lit(version).alias("version"))
-        try:
-            claim.write.mode("errorifexists").parquet(f"{self.root}/successors/{base}")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_ALREADY_EXISTS":
-                raise StaleVersion(f"version {base} already has a successor") from error
-            raise
-        return self.publish(version, kind, created_at)
+        if not self._list(base, version, kind, created_at):
+            raise StaleVersion(f"version {base} already has a successor")
+        return version
 
     def latest(self, kind: str, max_age: dt.timedelta | None = None,
                as_of: dt.datetime | None = None) -> str | None:
-        """Newest listed version of a kind, if younger than ``max_age``."""
+        """Newest listed version of a kind, if younger than ``max_age``.
+
+        A version with a successor is not the latest, whatever their clocks say.
+        """
         try:
-            lines = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
+            lines = self.spark.read.schema(_LINE).json(f"{self.root}/manifest")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        lines = lines.filter(F.col("kind") == kind)
+        followed = lines.select(F.col("base").alias("version")).filter("version IS NOT NULL")
+        lines = lines.filter(F.col("kind") == kind).join(followed, "version", "left_anti")
         if max_age is not None:
             age = XT.seconds_between(F.col("created_at"), XT.moment(as_of))
             lines = lines.filter(age < max_age.total_seconds())
@@ -107,17 +160,56 @@ class VersionStore:
         return newest[0]["version"] if newest else None
 
     def read(self, version: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(version, name))
+        path, table = self._path(version, name), self._table(version, name)
+        if self.spark.catalog.tableExists(table):
+            return self.spark.table(table)
+        frame = self.spark.read.parquet(path)
+        buckets = self._buckets(version, name)
+        if buckets is None:
+            return frame
+        # The files of another session's buckets, made known to this one.
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+        where = path.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+            f"CLUSTERED BY (`{buckets['key']}`) INTO {buckets['buckets']} BUCKETS "
+            f"LOCATION '{where}'")
+        return self.spark.table(table)
+
+    def _buckets(self, version: str, name: str) -> dict | None:
+        try:
+            rows = self.spark.read.schema("key string, buckets int").json(
+                f"{self._path(version, name)}.buckets.json").collect()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        return rows[0].asDict()
+
+
+def evenly_bucketed(frame: DataFrame, key: str, buckets: int, most: float = 2.0) -> bool:
+    """Whether no bucket holds more than ``most`` times its share of the rows.
+
+    One task reads a bucket, so a key with very many rows must not be bucketed.
+    """
+    sizes = frame.groupBy(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")).agg(
+        F.count("*").alias("n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return largest * buckets <= most * total + buckets
 
 
 def take_snapshot(store: VersionStore, desk: ServiceDesk,
                   max_age: dt.timedelta | None = None,
-                  as_of: dt.datetime | None = None) -> str:
+                  as_of: dt.datetime | None = None, buckets: int = BUCKETS) -> str:
     """Version that holds both extracts; a young enough one is reused.
 
     The ids of the open requests and the lookup tables are stored first.  The
     ids are computed once, and whatever meets the big tables has a known size:
     Spark broadcasts it if it is small, and shuffles if it is too large for that.
+
+    Tickets and actions are bucketed alike by request, so flows on the snapshot group
+    and join them without a shuffle; not so (or with ``buckets`` 0) where some request
+    owns so many actions that one task could not read its bucket.
     """
     if max_age is not None:
         young = store.latest(EXTRACT, max_age, as_of)
@@ -129,8 +221,15 @@ def take_snapshot(store: VersionStore, desk: ServiceDesk,
     })
     hotline = store.put(version, "hotline_ids", extracts.open_hotline_ids(desk.am_action))
     wanted = store.put(version, "wanted", extracts.wanted_requests(desk, hotline))
-    store.put(version, "tickets", extracts.extract_tickets(desk, hotline_ids=hotline))
-    store.put(version, "actions", extracts.extract_actions(desk, wanted=wanted))
+    tickets = extracts.extract_tickets(desk, hotline_ids=hotline)
+    actions = extracts.extract_actions(desk, wanted=wanted)
+    extracted = desk.am_action.join(wanted.select("REQUEST_ID"), "REQUEST_ID", "left_semi")
+    if buckets and evenly_bucketed(extracted, "REQUEST_ID", buckets):
+        store.put_bucketed(version, "tickets", tickets, "REQUEST_ID", buckets)
+        store.put_bucketed(version, "actions", actions, "REQUEST_ID", buckets)
+    else:
+        store.put(version, "tickets", tickets)
+        store.put(version, "actions", actions)
     return store.publish(version, EXTRACT, as_of)
 
 

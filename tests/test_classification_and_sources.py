@@ -4,6 +4,7 @@ import datetime as dt
 from unittest import mock
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import action, classification, desk, raw_tickets, ticket, tickets, types, values
 
 from checks import adapter
@@ -73,6 +74,57 @@ def test_stored_classification(spark, tmp_path):
     assert store.latest(kind) == second
 
 
+def test_one_of_two_overlapping_changes_is_refused(spark, tmp_path):
+    store, kind = snapshots.VersionStore(spark, str(tmp_path)), snapshots.CLASSIFICATION
+    day = dt.datetime(2024, 1, 2)
+    rows = {"classification": classification(spark, [(1, 2)])}
+    base = store.write(rows, kind, day)
+    # Its clock runs behind; it is the latest all the same.
+    first = store.succeed(base, rows, kind, day - dt.timedelta(days=1))
+    with pytest.raises(snapshots.StaleVersion):
+        store.succeed(base, rows, kind, day + dt.timedelta(days=1))
+    assert store.latest(kind) == first
+    second = store.succeed(first, rows, kind, day)
+    assert store.latest(kind) == second
+    assert not list((tmp_path / "drafts").glob("[!.]*"))
+
+
+def test_a_driver_lost_before_the_listing_changes_nothing(spark, tmp_path, monkeypatch):
+    store, kind = snapshots.VersionStore(spark, str(tmp_path)), snapshots.CLASSIFICATION
+    rows = {"classification": classification(spark, [(1, 2)])}
+    base = store.write(rows, kind)
+
+    def lost(*_):
+        raise SystemError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots.VersionStore, "_list", lost)
+        with pytest.raises(SystemError):
+            store.succeed(base, rows, kind)
+    assert store.latest(kind) == base
+    assert store.latest(kind) != store.succeed(base, rows, kind) != base
+
+
+def test_bucketed_frames_are_known_to_other_sessions(spark, tmp_path):
+    store = snapshots.VersionStore(spark, str(tmp_path))
+    frame = classification(spark, [(i, 2) for i in range(50)])
+    written = store.put_bucketed("v-1", "classification", frame, "AP_REQUEST_ID", 4)
+    spark.sql("DROP TABLE desk_v1_classification")
+    again = store.read("v-1", "classification")
+    assert values(written.sparkSession.table("desk_v1_classification")) == values(frame) == values(again)
+    plan = again.groupBy("AP_REQUEST_ID").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    spark.sql("DROP TABLE desk_v1_classification")
+
+
+def test_a_request_with_most_actions_is_not_bucketed(spark):
+    even = spark.range(1000).select(F.col("id").alias("k"))
+    assert snapshots.evenly_bucketed(even, "k", 8)
+    hot = even.union(spark.range(500).select(F.lit(7).cast("bigint")))
+    assert not snapshots.evenly_bucketed(hot, "k", 8)
+    assert snapshots.evenly_bucketed(even.limit(0), "k", 8)
+
+
 def test_kinds_share_a_store(spark, tmp_path):
     """A type change after a snapshot does not hide the extracts."""
     store = snapshots.VersionStore(spark, str(tmp_path))

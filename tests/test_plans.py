@@ -15,7 +15,7 @@ from conftest import SMALL
 from deskgauge import schemas
 from deskgauge.operators import features, rules
 from deskgauge.plans import flows
-from deskgauge.sources import extracts
+from deskgauge.sources import extracts, snapshots
 from helpers import values
 
 FLOWS = [
@@ -272,6 +272,30 @@ def test_stored_ids_spare_the_extracts_their_shuffles(spark, conf, tmp_path):
                   "ACTION_ID", "RFC_NUMBER") == whole
 
 
+@pytest.mark.parametrize("flow", [
+    flows.ticket_flow_rows, flows.ticket_flow_score, flows.technician_table,
+    flows.suspended_mail_rows, flows.contacted_count,
+], ids=lambda f: f.__name__)
+def test_flows_on_a_snapshot_do_not_shuffle_the_actions(spark, inputs, big, conf, snapshot, flow):
+    store, version = snapshot
+    desk = dataclasses.replace(inputs, tickets=store.read(version, "tickets"),
+                               actions=store.read(version, "actions"))
+    plan = physical(flow(desk))
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert not [line for line in exchanges if "hashpartitioning(AP_AM_REQUEST_ID" in line]
+    assert not [line for line in exchanges if re.search(r"hashpartitioning\(AP_SD_REQUEST_ID#\d+L, 8", line)]
+    assert "Bucketed: true" in plan
+    plain = dataclasses.replace(
+        inputs, **{n: spark.read.parquet(store._path(version, n)) for n in ("tickets", "actions")})
+    assert values(flow(desk)) == values(flow(plain))
+
+
+@pytest.fixture(scope="module")
+def snapshot(spark, tmp_path_factory):
+    store = snapshots.VersionStore(spark, str(tmp_path_factory.mktemp("store")))
+    return store, snapshots.take_snapshot(store, adapter.service_desk(spark, SMALL), buckets=8)
+
+
 def _hot_actions(spark, hot_rows=60000, tickets=300):
     """One request owns most actions."""
     ids = F.when(F.col("id") < hot_rows, 0).otherwise(F.col("id") % tickets)
