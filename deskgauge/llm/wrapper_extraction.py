@@ -1,39 +1,41 @@
 """Main text of web pages by wrappers inferred per host.
 
 The pages of a host are token streams of tags and text.  Aligning them one after
-another yields a union-free expression: a sequence of tags and text slots in
-which a part that some stream lacks is optional and a part that repeats is a
-repeated group, never an alternative.  Streams are nested by their tags first,
-so that an alignment is one of sibling lists: equal labels are matched in their
-longest common order and aligned inside, the rest becomes optional, and equal
-neighbours fold into one repeated group.  Every node of a wrapper counts the
-pages it was seen on and the words of its slots.
-
-The text of a page is that of all its blocks outside menus, headers, footers,
-sidebars, notices, adverts, forms and comments, wherever they lie.  ``main``
-names the smallest node of a host's wrapper that holds all these words.  Tags,
-roles and hidden parts count by themselves; class names do not hide an article
-or main element, a page's only text, or a part that has most of the words of a
-host and differs on ``DISTINCT`` of its pages.
-
-The text of a block is a literal until a page has its path of labels without it,
-then it is a slot.  What is a literal at the end is template and no text: equal
-blocks on all pages that have the path, at least ``DISTINCT`` different pages and
-half of the host's.  Literals are told by path, not by their place among
-siblings, so the order of lists does not matter for them; in the expression,
-lists of more than ``MOST_SIBLINGS`` different neighbours lose theirs.  A page with
-nothing but literals keeps them.
+another yields a union-free expression: a sequence of tags, literals and text slots in
+which a part that some stream lacks is optional and a part that repeats is a repeated
+group, never an alternative.  Streams are nested by their tags first, so that an
+alignment is one of sibling lists: equal labels are matched in their longest common
+order and aligned inside, the rest becomes optional, and equal neighbours fold into one
+repeated group.  A text is a literal until it is aligned with another one, then a slot.
+
+A page's text is read along its host's wrapper.  What fills a slot is text, wherever it
+lies.  The region of the article is the smallest node of the wrapper that holds two
+thirds of the words of all slots.  Literals outside it are template and fall out; they
+count only where they were aligned on ``DISTINCT`` different pages and on half of the
+host's.  What lies in the region, in an article or in a main element stays, also if it
+is equal on all pages.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and comments are known
+beforehand, by tags, roles, hidden parts and class names, and hold neither region nor
+text; but class names do not hide an article or main element, a page's only text, or a
+part whose slots have more words than all others of the host on ``DISTINCT`` of its
+pages, and a form around the only article or text of a page is no form.  Of an article's
+own header the headings and paragraphs are kept.
+
+Simplified: labels are tag, role and one of 251 signatures of class names; wrappers are
+aligned in the order in which they come, pairwise; lists of more than ``MOST_SIBLINGS``
+different neighbours lose their order; a page with nothing but literals keeps them.
 
 Every page takes part.  Tasks merge the pages they read into one wrapper per
 host, and only those travel, so a host with a third of all pages is as many
-small rows as tasks.  A label is a tag with one of four roles, so the size of a
-wrapper has a bound that does not grow with the pages.
+small rows as tasks.  The size of a wrapper has a bound that does not grow with the
+pages; of a host's wrapper, extraction needs the literals outside the region alone.
 
 Cases: null and empty html give empty text; a page without a host shares the
-wrapper of the empty host; unclosed and stray tags are tolerated; nesting beyond ``DEPTH`` is laid flat, its text is kept and its end
-tags match; a quote opens a value only after "="; svg, math and object are
-elements, and an HTML block ends an open drawing; repeated rows each get their
-result.
+wrapper of the empty host; unclosed and stray tags are tolerated; nesting beyond
+``DEPTH`` is laid flat, its text is kept and its end tags match; a quote opens a value
+only after "="; svg, math and object are elements, and an HTML block ends an open
+drawing; repeated rows each get their result; pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -54,7 +57,8 @@ from deskgauge.llm import common
 DEPTH = 48
 MOST_SIBLINGS = 64
 DISTINCT = 3
-BROADCAST_HOSTS = 100_000
+MOST_HELD = 1000  # hosts a task merges before it hands their wrappers on
+BROADCAST_BYTES = 16_000_000
 
 # Elements and words that mark a part of a page.
 RAW = frozenset("script style noscript template iframe textarea title".split())
@@ -148,13 +152,23 @@ def _role(tag: str, attrs: str) -> str:
     return _named(names)
 
 
+_CLASS = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([^\"'>]*)", re.I)
+
+
+def _signature(attrs: str) -> str:
+    """Class names without their numbers, as one of 251 marks."""
+    names = sorted({re.sub(r"\d+", "", n) for v in _CLASS.findall(attrs) for n in v.split()})
+    return f".{zlib.crc32(' '.join(names).encode()) % 251}" if names else ""
+
+
 class Node:
     """An element: label, children and text pieces in order."""
 
-    __slots__ = ("label", "kids")
+    __slots__ = ("label", "sign", "kids")
 
-    def __init__(self, label: str):
+    def __init__(self, label: str, sign: str = ""):
         self.label = label
+        self.sign = sign
         self.kids: list = []
 
 
@@ -227,7 +241,8 @@ def parse(source: str) -> Node:
             if attrs.endswith("/") and (tag not in KNOWN or tag in FOREIGN):
                 continue
             role = "-" if drawing and tag in DRAWN else _role(tag, attrs)
-            node = Node((tag if tag in KNOWN else "x") + role)
+            sign = _signature(attrs) if attrs and tag not in INLINE else ""
+            node = Node((tag if tag in KNOWN else "x") + role, sign)
             if len(stack) >= DEPTH:  # laid flat; only what is no article is kept apart
                 if tag in INLINE and role != "-":
                     continue
@@ -239,10 +254,43 @@ def parse(source: str) -> Node:
             stack.append(node)
             tags.append(tag)
             opened[tag] += 1
+    _open_forms(root)
     _settle(root)
     return root
 
 
+_FORMS = ("form-", "fieldset-")
+
+
+def _open_forms(root: Node) -> None:
+    """A form around an article, or around all text of a page, is part of the page."""
+    def has_article(node: Node) -> bool:
+        return any(
+            isinstance(kid, Node) and (
+                kid.label.endswith("+") or not kid.label.endswith("-") and has_article(kid))
+            for kid in node.kids)
+
+    def has_text(node: Node) -> bool:
+        return any(
+            not kid.isspace() if isinstance(kid, str)
+            else not kid.label.endswith(("-", "~")) and has_text(kid) for kid in node.kids)
+
+    def forms(node: Node, found: list[Node]) -> list[Node]:
+        for kid in node.kids:
+            if isinstance(kid, Node) and (kid.label in _FORMS or not kid.label.endswith("-")):
+                forms(kid, found)
+                if kid.label in _FORMS:
+                    found.append(kid)
+        return found
+
+    known = forms(root, [])
+    if known:
+        alone = not has_text(root)
+        for node in known:
+            if has_article(node) or alone:
+                node.label = node.label[:-1]
+
+
 def _settle(root: Node) -> None:
     """Class names do not hide the main element, a page's only articles, or all its text."""
     below: list[tuple[Node, ...]] = []
@@ -271,10 +319,15 @@ def _settle(root: Node) -> None:
 
 # ------------------------------------------------------------------------ wrappers
 #
-# A wrapper node is a list: label, optional, repeated, pages, words, children.
-# The label "#" is a text slot.
+# A wrapper node is a list: label, optional, repeated, pages, words, children.  The
+# label "#" is text: a literal while it has its hash, and with hashes of the least
+# ``DISTINCT`` pages that have it in place of children.
+
+LABEL, OPTIONAL, REPEATED, PAGES, WORDS, KIDS, LITERAL = range(7)
 
-LABEL, OPTIONAL, REPEATED, PAGES, WORDS, KIDS = range(6)
+
+def _hash(text: str) -> str:
+    return f"{xxhash.xxh64_intdigest(text):x}"
 
 
 def _folded(kids: list) -> list:
@@ -298,31 +351,35 @@ def _folded(kids: list) -> list:
     return out
 
 
-def page_wrapper(node: Node) -> list:
+def page_wrapper(node: Node, page: str | None = None) -> list:
     """The wrapper of one page alone."""
-    kids, words = [], 0
+    if page is None:
+        page = _hash("\n".join(words for _, words in runs(node)))
+    kids = []
     for kid in node.kids:
         if isinstance(kid, str):
-            n = len(kid.split())
-            if n:
-                kids.append(["#", False, False, 1, n, []])
+            words = kid.split()
+            if words:
+                kids.append(["#", False, False, 1, len(words), [page], _hash(" ".join(words))])
         elif kid.label != "br":
-            kids.append(page_wrapper(kid))
+            kids.append(page_wrapper(kid, page))
     kids = _folded(kids)
     words = 0 if node.label.endswith(("-", "~")) else sum(k[WORDS] for k in kids)
-    return [node.label, False, False, 1, words, kids]
+    return [node.label + node.sign, False, False, 1, words, kids]
 
 
 def _aligned(a: list, b: list, one_page: bool = False) -> list:
     """Union-free generalisation of two wrappers with one label."""
     left, right = a[KIDS], b[KIDS]
-    if [k[LABEL] for k in left] == [k[LABEL] for k in right]:
-        kids = [_aligned(x, y, one_page) for x, y in zip(left, right)]
-    else:
-        kids = _folded(_common_order(left, right, one_page))
     pages = max(a[PAGES], b[PAGES]) if one_page else a[PAGES] + b[PAGES]
-    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages,
-            a[WORDS] + b[WORDS], kids]
+    whole = [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages,
+             a[WORDS] + b[WORDS]]
+    if a[LABEL] == "#":  # texts that differ are a slot
+        same = a[LITERAL] if a[LITERAL] == b[LITERAL] and not one_page else None
+        return [*whole, sorted({*left, *right})[:DISTINCT], same]
+    if [k[LABEL] for k in left] == [k[LABEL] for k in right]:
+        return [*whole, [_aligned(x, y, one_page) for x, y in zip(left, right)]]
+    return [*whole, _folded(_common_order(left, right, one_page))]
 
 
 def _common_order(left: list, right: list, one_page: bool) -> list:
@@ -351,26 +408,113 @@ def _common_order(left: list, right: list, one_page: bool) -> list:
 def expression(wrapper: list) -> str:
     """The wrapper as a union-free regular expression."""
     label = wrapper[LABEL]
-    inner = "".join(expression(k) for k in wrapper[KIDS])
+    inner = "" if label == "#" else "".join(expression(k) for k in wrapper[KIDS])
     body = "#" if label == "#" else f"<{label}>{inner}</{label}>" if label else inner
     mark = ("*" if wrapper[REPEATED] else "?") if wrapper[OPTIONAL] else "+" if wrapper[REPEATED] else ""
     return f"({body}){mark}" if mark else body
 
 
-def main_path(wrapper: list) -> str:
-    """Labels from the root to the smallest node with all words, joined by "/"."""
-    node, path = wrapper, ""
+def _is_literal(text: list, pages: int) -> bool:
+    """Whether a text of a host with so many pages is template."""
+    return (text[LITERAL] is not None and len(text[KIDS]) >= DISTINCT
+            and 2 * text[PAGES] >= pages)
+
+
+def _plain(label: str) -> str:
+    return label.partition(".")[0]
+
+
+def slot_words(node: list, pages: int) -> int:
+    """Words of the slots below a node, but of parts that are no article."""
+    if node[LABEL] == "#":
+        return 0 if _is_literal(node, pages) else node[WORDS]
+    if _plain(node[LABEL]).endswith(("-", "~")):
+        return 0
+    return sum(slot_words(kid, pages) for kid in node[KIDS])
+
+
+def main_path(wrapper: list) -> list[str]:
+    """Labels from the root to the smallest node with two thirds of all slots' words."""
+    node, path = wrapper, []
+    least = 2 * slot_words(wrapper, wrapper[PAGES])
     while True:
-        inner = [k for k in node[KIDS] if k[WORDS]]
+        inner = [k for k in node[KIDS] if 3 * slot_words(k, wrapper[PAGES]) >= max(least, 1)]
         if len(inner) != 1 or inner[0][LABEL] == "#" or inner[0][REPEATED]:
             return path
-        node, path = inner[0], f"{path}/{inner[0][LABEL]}"
+        node = inner[0]
+        path.append(node[LABEL])
+
+
+def _kept_parts(wrapper: list) -> list[str]:
+    """Parts that are no article by their class names, but whose slots have more words
+    than all others, on ``DISTINCT`` pages."""
+    words: Counter = Counter()
+    names: dict[str, set] = {}
+
+    def look(node: list, path: str, part: str) -> None:
+        for kid in node[KIDS]:
+            if kid[LABEL] == "#":
+                if not _is_literal(kid, wrapper[PAGES]):
+                    words[part] += kid[WORDS]
+                names.setdefault(part, set()).update(kid[KIDS])
+            elif not _plain(kid[LABEL]).endswith("-"):
+                below = _path_below(path, _plain(kid[LABEL]))
+                look(kid, below, part or (below if below.endswith("~") else ""))
+
+    look(wrapper, "", "")
+    return sorted(p for p, n in words.items()
+                  if p and n > words[""] and len(names[p]) >= DISTINCT)
+
+
+def _path_below(path: str, label: str) -> str:
+    return path if label.rstrip("+") in INLINE else f"{path}/{label}"
+
+
+def _template(node: list, region: list[str] | None, pages: int) -> list | None:
+    """[label, kids, text hash, whether the region] of a node with literals outside the
+    region below it; of other nodes the label, for their place among their siblings."""
+    if node[LABEL] == "#":
+        return ["#", [], node[LITERAL] if _is_literal(node, pages) else None, False]
+    if _plain(node[LABEL]).endswith("-"):
+        return [node[LABEL], [], None, False]
+    if region == []:
+        return [node[LABEL], [], None, True]
+    inner = max((k for k in node[KIDS] if region and k[LABEL] == region[0]),
+                key=lambda k: slot_words(k, pages), default=None)
+    kids = [_template(kid, region[1:] if kid is inner else None, pages) for kid in node[KIDS]]
+    told = any(k[1] or k[2] or k[3] for k in kids)
+    return [node[LABEL], kids if told else [], None, False]
+
+
+def host_final(wrapper: list) -> str:
+    """What extraction needs of a host's wrapper, as JSON."""
+    region = main_path(wrapper)
+    return json.dumps({"keep": _kept_parts(wrapper),
+                       "template": _template(wrapper, region, wrapper[PAGES])})
 
 
 # ---------------------------------------------------------------------- extraction
 
-def runs(root: Node) -> list[tuple[str, str]]:
-    """Path of labels and text of each block of a page, but of "-" parts."""
+class _Reader:
+    """Follows a template along a page: which of its nodes stands where."""
+
+    def __init__(self, template: list | None):
+        self.kids = template[1] if template else []
+        self.region = bool(template and template[3])
+        self.at = 0
+
+    def next(self, label: str) -> list | None:
+        """The template's node for the next child of this label, in order if possible."""
+        for at in (*range(self.at, len(self.kids)), *range(self.at)):
+            if self.kids[at][0] == label:
+                self.at = at
+                return self.kids[at]
+        return None
+
+
+def runs(root: Node, template: list | None = None) -> list[tuple[str, str]]:
+    """Path of labels and text of each block of a page, but of "-" parts and of the
+    template's literals outside its region and outside articles."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
 
@@ -380,31 +524,39 @@ def runs(root: Node) -> list[tuple[str, str]]:
         if words:
             out.append((path, words))
 
-    def block(node: Node, path: str, above: str) -> None:
+    def block(node: Node, path: str, above: str, place: list | None, inside: bool) -> None:
         flush(above)
-        walk(node, path)
+        walk(node, path, place, inside)
         flush(path)
 
-    def walk(node: Node, path: str) -> None:
+    def walk(node: Node, path: str, place: list | None, inside: bool) -> None:
+        reader = _Reader(place)
+        inside = inside or reader.region or node.label.startswith(("article", "main"))
         for kid in node.kids:
             if isinstance(kid, str):
+                if reader.kids and not inside and not kid.isspace():
+                    text = reader.next("#")
+                    if text and text[2] and text[2] == _hash(" ".join(kid.split())):
+                        held.append(" ")
+                        continue
                 held.append(kid)
                 continue
             label = kid.label
+            below = reader.next(label + kid.sign) if reader.kids and label != "br" else None
             if label == "header-" and node.label.startswith(("article", "main")):
-                for heading in kid.kids:  # the title of the article itself
-                    if isinstance(heading, Node) and re.fullmatch(r"h[1-6]", heading.label):
-                        block(heading, f"{path}/{label}/{heading.label}", path)
+                for part in kid.kids:  # the title and the lead of the article itself
+                    if isinstance(part, Node) and re.fullmatch(r"h[1-6]|p|hgroup", part.label):
+                        block(part, f"{path}/{label}/{part.label}", path, None, True)
             elif label == "br" or label.endswith("-"):
                 held.append(" ")
             elif label.endswith("~"):
-                block(kid, f"{path}/{label}", path)
+                block(kid, f"{path}/{label}", path, below, inside)
             elif label.rstrip("+") in INLINE:
-                walk(kid, path)
+                walk(kid, path, below, inside)
             else:
-                block(kid, f"{path}/{label}", path)
+                block(kid, f"{path}/{label}", path, below, inside)
 
-    block(root, "", "")
+    block(root, "", "", template, False)
     return out
 
 
@@ -414,74 +566,23 @@ def _named_part(path: str) -> str:
     return path[:at + 1] if at >= 0 else ""
 
 
-def _literal(path: str, words: str) -> str:
-    return f"{xxhash.xxh64_intdigest(f'{path}\0{words}'):x}"
-
-
-# What a task knows of a host: [pages, {path: [pages, words, hashes, literals]}], the
-# hashes those of the least ``DISTINCT`` pages, the literals {hash of a block: words}
-# of the blocks that all these pages have there; a block that some page lacks is a slot.
-
-def host_state(pages: Iterable[str | Node]) -> list:
-    """The blocks of pages by path."""
-    state: list = [0, {}]
-    for page in pages:
-        found = runs(page if isinstance(page, Node) else parse(page))
-        name = xxhash.xxh64_intdigest("\n".join(words for _, words in found))
-        paths: dict[str, list] = {}
-        for path, words in found:
-            part = paths.setdefault(path, [1, 0, [name], {}])
-            n, key = len(words.split()), _literal(path, words)
-            part[1] += n
-            part[3][key] = part[3].get(key, 0) + n
-        state = host_merged(state, [1, paths])
-    return state
-
-
-def host_merged(a: list, b: list) -> list:
-    paths = a[1]  # changed in place
-    for path, there in b[1].items():
-        here = paths.get(path)
-        paths[path] = there if here is None else [
-            here[0] + there[0], here[1] + there[1],
-            sorted({*here[2], *there[2]})[:DISTINCT],
-            {k: min(n, there[3][k]) for k, n in here[3].items() if k in there[3]}]
-    return [a[0] + b[0], paths]
-
-
-def host_final(state: list) -> str:
-    """As JSON, the ``literals`` of the host's template, and the parts to ``keep`` in
-    spite of their class names: what changes there has more words than all elsewhere."""
-    total, paths = state
-    words: Counter = Counter()
-    names: dict[str, set] = {}
-    literals: list[str] = []
-    for path, (pages, n, found, same) in paths.items():
-        part = _named_part(path)
-        words[part] += n
-        names.setdefault(part, set()).update(found)
-        if len(found) >= DISTINCT and 2 * pages >= total:
-            literals += same
-            words[part] -= pages * sum(same.values())
-    keep = sorted(p for p, n in words.items()
-                  if p and n > words[""] and len(names[p]) >= DISTINCT)
-    return json.dumps({"keep": keep, "literals": sorted(literals)})
-
-
 @lru_cache(256)
-def _host(raw: str) -> tuple[frozenset, frozenset]:
+def _host(raw: str) -> tuple[frozenset, list | None]:
     host = json.loads(raw)
-    return frozenset(host["keep"]), frozenset(host["literals"])
+    return frozenset(host["keep"]), host["template"]
 
 
 def extract(source: str, host: str | None = None) -> str:
     """Main text of a page: its blocks but the parts that are not the article and
     the literals of its host, unless it has nothing else."""
-    keep, literals = _host(host) if host else (frozenset(), frozenset())
-    found = [(path, words) for path, words in runs(parse(source))
-             if not (part := _named_part(path)) or part in keep]
-    own = [words for path, words in found if not literals or _literal(path, words) not in literals]
-    return " ".join(own or [words for _, words in found])
+    keep, template = _host(host) if host else (frozenset(), None)
+    page = parse(source)
+
+    def words(template: list | None) -> list[str]:
+        return [words for path, words in runs(page, template)
+                if not (part := _named_part(path)) or part in keep]
+
+    return " ".join(words(template) or words(None))
 
 
 def host_of(url: str | None) -> str:
@@ -492,84 +593,73 @@ def host_of(url: str | None) -> str:
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host``, its ``wrapper`` (as JSON), ``expression``, ``main`` path and ``parts``."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, tuple[list, list]] = {}
-        held = 0
+        found: dict[str, list] = {}
         for batch in batches:
             for url, source in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
-                host, page = host_of(url), parse(source or "")
-                own = page_wrapper(page), host_state([page])
+                host, own = host_of(url), page_wrapper(parse(source or ""))
                 at = found.get(host)
-                held -= _size(at)
-                found[host] = own if at is None else _both(at, own)
-                held += _size(found[host])
-                if len(found) > 20_000 or held > 1_000_000:  # hand on and start again
+                found[host] = own if at is None else _aligned(at, own)
+                if len(found) > MOST_HELD:  # hand on and start again
                     yield _rows(found)
-                    found, held = {}, 0
+                    found = {}
         yield _rows(found)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None
         for batch in batches:
-            for host, *raw in zip(*(c.to_pylist() for c in batch.columns)):
-                own = tuple(map(json.loads, raw))
+            for host, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                own = json.loads(raw)
                 if host != at:
                     if held is not None:
-                        yield _final(at, *held)
+                        yield _final(at, held)
                     at, held = host, own
                 else:
-                    held = _both(held, own)
+                    held = _aligned(held, own)
         if held is not None:
-            yield _final(at, *held)
+            yield _final(at, held)
 
     return (
         pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
-        .mapInArrow(partial, "host string, wrapper string, state string")
-        .repartition("host").sortWithinPartitions("host", "wrapper", "state")
+        .mapInArrow(partial, "host string, wrapper string")
+        .repartition("host").sortWithinPartitions("host", "wrapper")
         .mapInArrow(whole, "host string, wrapper string, expression string, main string, "
                            "parts string")
     )
 
 
-def _both(a: tuple[list, list], b: tuple[list, list]) -> tuple[list, list]:
-    return _aligned(a[0], b[0]), host_merged(a[1], b[1])
-
-
-def _size(held: tuple[list, list] | None) -> int:
-    return sum(1 + len(v[3]) for v in held[1][1].values()) if held else 0
-
-
-def _rows(found: dict[str, tuple[list, list]]) -> pa.RecordBatch:
+def _rows(found: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(found), pa.string()),
-         *(pa.array([json.dumps(v[k]) for v in found.values()], pa.string()) for k in (0, 1))],
-        ["host", "wrapper", "state"])
+         pa.array([json.dumps(v) for v in found.values()], pa.string())], ["host", "wrapper"])
 
 
-def _final(host: str, wrapper: list, state: list) -> pa.RecordBatch:
+def _final(host: str, wrapper: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([v], pa.string()) for v in
-         (host, json.dumps(wrapper), expression(wrapper), main_path(wrapper), host_final(state))],
+         (host, json.dumps(wrapper), expression(wrapper), "/".join(main_path(wrapper)),
+          host_final(wrapper))],
         ["host", "wrapper", "expression", "main", "parts"])
 
 
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 
-def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``page_id``, ``url``, main ``text`` and its length of every page.
 
-    What is known of the hosts is broadcast up to ``broadcast_hosts`` hosts; beyond that
-    the pages are joined with them by host, which adaptive execution splits
+    What is known of the hosts is broadcast if it is smaller than ``broadcast_bytes``;
+    beyond that the pages are joined with it by host, which adaptive execution splits
     where a host is large.
     """
     folder = common.scratch(pages.sparkSession)
     hosts = common.stored(wrappers(pages).select("host", "parts"), folder, "wrappers")
+    size = hosts.agg(F.coalesce(F.sum(F.length("host") + F.length("parts")), F.lit(0))).first()[0]
     rows = pages.select(
         F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"),
         F.lower(F.regexp_extract(
             F.coalesce(F.col("url").cast("string"), F.lit("")),
             r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"))
-    if hosts.count() <= broadcast_hosts:
+    if size < broadcast_bytes:
         hosts = F.broadcast(hosts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,8 +165,8 @@ def test_articles_of_a_host(spark, opening, closing):
              ARTICLE.format(i=i, open=opening, close=closing, more=more + str(i))) for i in range(12)]
     wanted = [(i, u, f"Title {i} First & bold {i} line {more}{i}") for i, u, _ in rows]
     frame = spark.createDataFrame(rows, PAGES).withColumns({"text": F.lit("t"), "main": F.lit("m")})
-    for hosts in (100, 0):
-        found = W.main_text(frame.repartition(5), broadcast_hosts=hosts)
+    for size in (1_000_000, 0):
+        found = W.main_text(frame.repartition(5), broadcast_bytes=size)
         assert samples.rows(found) == sorted(((i, u, t, len(t)) for i, u, t in wanted), key=repr)
 
 
@@ -256,15 +256,57 @@ def test_class_words_hide_the_rest(spark):
     assert all(BIG.strip() in r["text"] for r in found.collect())
 
 
-def test_template_blocks_of_a_host_are_no_text(spark):
-    page = ("<article><h1>Title {i}</h1><p>Tell your friends</p><p>Own {i} text</p><p>an <b>equal</b> word {i}</p>"
-            "<div>Buy now</div></article>")
-    rows = [(i, "https://h.org", page.format(i=i)) for i in range(5)]
-    rows += [(5, "https://h.org", "<article><p>Tell your friends</p></article>"),
-             (6, "https://h.org", "<table><tr><td>Tell your friends</td></tr></table>")]
-    rows += [(i, "https://two.org", "<p>the same</p><p>on two</p>") for i in (7, 8)]
+def texts_of(spark, rows, parts=3):
+    found = W.main_text(spark.createDataFrame(rows, PAGES).repartition(parts))
+    return {r["page_id"]: r["text"] for r in found.collect()}
+
+
+TEMPLATE = ("<div class='top'>Tell your friends</div><div class='main-column'><h1>Title {i}</h1>"
+            "<p>Own {i} text</p><p>Serves four people.</p></div>{extra}<div class='end'>Buy <b>now</b></div>")
+
+
+def test_literals_outside_the_region_are_template(spark):
+    rows = [(i, "https://h.org", TEMPLATE.format(i=i, extra="<hr><ul><li>all pages</ul>" * (i % 2)))
+            for i in range(7)]
+    rows += [(7, "https://h.org", "<table><tr><td>Tell your friends</td></tr></table>")]
+    rows += [(i, "https://two.org", "<p>the same</p><p>on two</p>") for i in (8, 9)]
+    rows += [(i, "https://copies.org", "<p>a copy</p>") for i in (10, 11, 12, 13)]
     for parts in (1, 4):
-        found = W.main_text(spark.createDataFrame(rows, PAGES).repartition(parts))
-        texts = {r["page_id"]: r["text"] for r in found.collect()}
-        assert texts == {i: f"Title {i} Own {i} text an equal word {i}" for i in range(5)} | {
-            5: "Tell your friends", 6: "Tell your friends", 7: "the same on two", 8: "the same on two"}
+        texts = texts_of(spark, rows, parts)
+        wanted = {i: f"Title {i} Own {i} text Serves four people." for i in range(7)}
+        # The list is on fewer than half of the pages; the table is aligned with nothing.
+        for i in (1, 3, 5):
+            wanted[i] += " all pages"
+        assert texts == wanted | {7: "Tell your friends", 8: "the same on two", 9: "the same on two"} | {
+            i: "a copy" for i in (10, 11, 12, 13)}
+
+
+def test_the_text_comes_through_the_alignment(spark, monkeypatch):
+    rows = [(i, "https://h.org", TEMPLATE.format(i=i, extra="")) for i in range(5)]
+    wrapper = None
+    for _, _, page in rows:
+        own = W.page_wrapper(W.parse(page))
+        wrapper = own if wrapper is None else W._aligned(wrapper, own)
+    assert len(W.main_path(wrapper)) == 1
+    page = rows[0][2]
+    assert W.extract(page, W.host_final(wrapper)) == "Title 0 Own 0 text Serves four people."
+    # Without an alignment, one page for all, nothing is known to be template.
+    assert W.extract(page, W.host_final(W.page_wrapper(W.parse(page)))) == (
+        "Tell your friends Title 0 Own 0 text Serves four people. Buy now")
+
+
+def test_articles_keep_what_is_equal_on_all_pages(spark):
+    page = ("<p>Site line</p><article><h1>Title {i}</h1><p>Serves four people.</p><p>Own {i}</p>"
+            "<div class='tip'>A tip</div></article>")
+    texts = texts_of(spark, [(i, "https://h.org", page.format(i=i)) for i in range(5)])
+    assert texts == {i: f"Title {i} Serves four people. Own {i} A tip" for i in range(5)}
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ("<form id=aspnet><nav>menu</nav><article>Text</article><input></form>", "Text"),
+    ("<form><div>All <p>text</p><select><option>no</select></div></form>", "All text"),
+    ("<p>Text</p><form><p>Your mail</p></form>", "Text"),
+    ("<article><header><h1>T</h1><p>Lead</p><nav>n</nav></header><p>x</p></article>", "T Lead x"),
+    ("<header><h1>Site</h1><p>slogan</p></header><article>x</article>", "x")])
+def test_forms_and_headers(page, wanted):
+    assert W.extract(page) == wanted
