@@ -12,10 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the session names."""
+    """A new folder below the shared folder that the session names.
+
+    Whoever owns that folder clears it; nothing in it is needed after the job.  Without
+    it the warehouse serves, on a cluster only if it is not a folder of one machine.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.conf.get("spark.sql.warehouse.dir")
+        if shared.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/llm-{uuid.uuid4()}"
 
 

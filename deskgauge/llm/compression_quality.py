@@ -9,13 +9,13 @@ logistic curve fitted on labelled texts that neither dictionary has seen turns
 them into a probability of label 1.
 
 The fit reads a bounded sample of the labelled rows (``SAMPLE_ROWS`` per label,
-smallest hash of the id first; ``SAMPLE_BYTES`` of their pieces per dictionary);
-scores read every text whole.
+smallest hash of the id first), the only bound; scores read every text whole.
 
 Cases: a null or empty text has no difference and gets the curve's value there;
 with one label or too few texts to train on, every score is the share of label 1
-(0.5 without labels), every text is predicted good and accepted; repeated rows repeat their score; a document with several
-labels counts with its greatest.
+(0.5 without labels), predicted by the same threshold, but every document is accepted;
+repeated rows repeat their score; a document with several labels counts with its
+greatest.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from deskgauge.llm import common
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 8_000_000
 PIECE = 2048
 DICTIONARY = 262_144
 LEVEL = 3
@@ -89,7 +88,7 @@ def _dictionary(sample: DataFrame, label: int) -> bytes:
     parts = (
         sample.filter((F.col("label") == label) & ~F.col("curve")).select("text")
         .mapInArrow(run, "piece binary")
-        .orderBy(F.xxhash64("piece"), "piece").limit(SAMPLE_BYTES // PIECE)
+        .orderBy(F.xxhash64("piece"), "piece")
         .toArrow().column("piece").to_pylist()
     )
     size = min(DICTIONARY, sum(map(len, parts)) // 4)
@@ -143,7 +142,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             values = scorer.scores(common.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(held, pa.bool_()), pa.array(values, pa.float64()),
-                 pa.array(model.keeps(values).astype(np.int32))],
+                 pa.array((values >= THRESHOLD).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
 
     return common.documents(docs).mapInArrow(

@@ -15,13 +15,13 @@ not seen makes them a probability.
 
 The fit reads a bounded sample of the labelled rows (``SAMPLE_ROWS`` per label,
 smallest hash of the id first), counts their n-grams as a Spark job and brings
-one row per distinct n-gram to the driver, ``GRAMS`` of each order at most, the
-most frequent first; of the words likewise ``WORDS``, in most toxic texts.  Scores read every text whole.
+one row per distinct n-gram and per word in ``LEAST_TEXTS`` toxic texts to the driver:
+the sampled rows are the only bound.  Scores read every text whole.
 
 Words are runs of anything but ASCII white space, ASCII capitals lowered.
 Cases: a null or empty text has all features 0; with one label only, or none,
-every score is the share of label 1, nothing is predicted toxic and every document
-accepted; repeated rows repeat their score.
+every score is the share of label 1, predicted by the same threshold, but every document
+is accepted; repeated rows repeat their score.
 """
 
 from __future__ import annotations
@@ -39,12 +39,10 @@ from deskgauge.llm import common
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS = 6000
-GRAMS = 2_000_000
 ORDER = 5          # bytes of an n-gram; packed in one 64-bit number
 SHARED = 3         # orders below this one are pooled over both classes
 DISCOUNT = 0.9
 LEAST_TEXTS, DRAWN = 3, 3.0
-WORDS = 200_000
 THRESHOLD = 0.3
 BLOCK = 3_000_000    # bytes of text in memory at a time
 
@@ -87,7 +85,7 @@ class Model:
     words: dict[bytes, float]   # log odds
     weights: np.ndarray
 
-    def toxic(self, scores: np.ndarray) -> np.ndarray:
+    def rejects(self, scores: np.ndarray) -> np.ndarray:
         """Without trained models no text is."""
         return (scores >= THRESHOLD) & bool(self.orders)
 
@@ -233,7 +231,6 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 def _log_odds(counted: DataFrame, counts: dict[int, int]) -> dict[bytes, float]:
     """Log odds of words over those of the labels."""
     rows = (counted.filter(F.col("toxic_texts") >= LEAST_TEXTS)
-            .orderBy(F.desc("toxic_texts"), "ordinary_texts", "word").limit(WORDS)
             .select("word", "toxic_texts", "ordinary_texts").toArrow())
     share = float(common.logistic(np.zeros((1, 0)), np.array([common.prior(counts)]))[0])
     toxic, ordinary = (rows.column(c).to_numpy() for c in ("toxic_texts", "ordinary_texts"))
@@ -264,9 +261,7 @@ def _gram_counts(words: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     counted = common.stored(counted, common.scratch(words.sparkSession), "grams")
     tables = []
     for n in range(1, ORDER + 1):
-        rows = (counted.filter(F.col("order") == n)
-                .orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(GRAMS)
-                .select("gram", "toxic", "ordinary").toArrow())
+        rows = counted.filter(F.col("order") == n).select("gram", "toxic", "ordinary").toArrow()
         keys = rows.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         tables.append((keys[order], np.stack(
@@ -321,7 +316,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             values = scorer.scores(common.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(held, pa.bool_()), pa.array(values, pa.float64()),
-                 pa.array(model.toxic(values).astype(np.int32))],
+                 pa.array((values >= THRESHOLD).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
 
     return common.documents(docs).mapInArrow(
@@ -334,6 +329,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(ids, texts):
         model = shared.value
-        return ~model.toxic(Scorer(model).scores(common.utf8(texts)))
+        return ~model.rejects(Scorer(model).scores(common.utf8(texts)))
 
     return common.filtered(docs, keep)

@@ -8,11 +8,13 @@ against today's list.
 Patterns are of three kinds: a host, a domain (the host itself and everything
 below it) and a prefix (host and path, at a slash).  So a URL meets its patterns
 by equality: its host, each suffix of the host and each prefix of the path are
-its keys.  Intervals are filed under every month they touch and captures under
-the month of their fetch, so the as-of join is an equality join of narrow rows on
-kind, key and month with a check of the instant: a host with a third of all
-captures spreads over months, adaptive execution splits what is left, and no
-group of captures is sorted or collected.
+its keys.  Time is cut into nested periods, of 32 days, 32 times 32 days and so on, as
+many levels as the fetch times need; an interval is filed under the few largest periods
+that make it up, 62 a level at most, and a capture under its own of each level.  So the
+as-of join is an equality join of narrow rows on kind, key and period with a check of
+the instant: a host with a third of all captures spreads over periods, adaptive
+execution splits what is left, no group of captures is sorted or collected, and one late
+capture adds a level, not a row per month until then.
 
 A capture is blocked if a pattern of a blocking list is active and no pattern of
 an allowing list at least as long is.
@@ -20,7 +22,9 @@ an allowing list at least as long is.
 Cases: entries without pattern, list, kind or instant are void; at one instant an
 addition beats a removal; a repeated addition or removal changes nothing; a
 removal of what was never added is void; a capture without URL or fetch time
-matches nothing and is not blocked; repeated captures each get their row.
+matches nothing and is not blocked; repeated captures each get their row; ids are any
+64-bit numbers or null and only carried along; URLs of any length have a key per label
+of their host and step of their path.
 """
 
 from __future__ import annotations
@@ -106,21 +110,20 @@ def filter_captures(captures: DataFrame, valid: DataFrame) -> DataFrame:
     numbered = common.stored(
         captures.select("page_id", "url", "fetched_at",
                         F.monotonically_increasing_id().alias("row")), folder, "captures")
-    first, last = numbered.agg(F.min("fetched_at"), F.max("fetched_at")).first()
-    if first is None:
-        first = last = "1970-01-01"
-    months = F.sequence(
-        _month_of(F.greatest("valid_from", F.lit(first).cast("timestamp_ntz"))),
-        _month_of(F.least(F.coalesce("valid_to", F.lit(last).cast("timestamp_ntz")),
-                          F.lit(last).cast("timestamp_ntz"))),
-        F.expr("interval 1 month"))
-    touches = (F.col("valid_from") <= F.lit(last).cast("timestamp_ntz")) & (
-        F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(first).cast("timestamp_ntz")))
-    filed = valid.filter(touches).select("*", F.explode(months).alias("month"))
+    first, last = numbered.agg(
+        F.min(_period(F.col("fetched_at"))), F.max(_period(F.col("fetched_at")))).first()
+    first, last = (0, -1) if first is None else (first, last)
+    levels = levels_of(first, last)
+    since = F.greatest(_period(F.col("valid_from")), F.lit(first))
+    until = F.least(F.coalesce(_period(F.col("valid_to")), F.lit(last)), F.lit(last))
+    filed = valid.filter(since <= until).select(
+        "*", F.inline(periods(since, until, levels)))
+    own = F.array(*[_place(k, F.shiftright(_period(F.col("fetched_at")), _STEP * k))
+                    for k in range(levels)])
     asked = (
         numbered.filter(F.col("fetched_at").isNotNull())
-        .select("row", "fetched_at", _month("fetched_at").alias("month"),
-                F.inline(keys(F.col("url"))))
+        .select("row", "fetched_at", own.alias("own"), F.inline(keys(F.col("url"))))
+        .select("row", "fetched_at", "kind", "key", F.inline("own"))
     )
     active = (F.col("valid_from") <= F.col("fetched_at")) & (
         F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
@@ -129,7 +132,7 @@ def filter_captures(captures: DataFrame, valid: DataFrame) -> DataFrame:
     met = (
         asked.join(filed.withColumnRenamed("kind", "of"),
                    (F.col("key") == F.col("pattern")) & (F.col("kind") == F.col("of"))
-                   & (asked["month"] == filed["month"]))
+                   & (asked["level"] == filed["level"]) & (asked["number"] == filed["number"]))
         .filter(active)
         .groupBy("row").agg(
             F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"),
@@ -142,15 +145,52 @@ def filter_captures(captures: DataFrame, valid: DataFrame) -> DataFrame:
         F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
-def _month_of(value: Column) -> Column:
-    return F.trunc(value, _MONTH)
+_STEP = 5  # bits: a period holds 32 of the level below
+
+
+def _period(at: Column) -> Column:
+    """Number of the 32 days an instant lies in."""
+    return F.shiftright(F.unix_date(at.cast("date")), _STEP)
+
+
+def levels_of(first: int, last: int) -> int:
+    """Levels until the periods from first to last lie in 32 neighbours."""
+    levels = 1
+    while (last >> _STEP * (levels - 1)) - (first >> _STEP * (levels - 1)) >= 1 << _STEP:
+        levels += 1
+    return levels
+
+
+def _place(level: int, number: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), number.alias("number"))
+
+
+def periods(first: Column, last: Column, levels: int) -> Column:
+    """The largest periods that make up those from first to last, inclusive."""
+    none = F.array().cast("array<struct<level:int,number:int>>")
+
+    def span(level: int, low: Column, high: Column) -> Column:
+        return F.when(low <= high, F.transform(
+            F.sequence(low, high), lambda n: _place(level, n))).otherwise(none)
+
+    low, high, found = first, last, []
+    for level in range(levels - 1):
+        upper_low = F.shiftright(low + ((1 << _STEP) - 1), _STEP)
+        upper_high = F.shiftright(high + 1, _STEP) - 1
+        whole = upper_low <= upper_high
+        found.append(F.when(whole, F.concat(
+            span(level, low, F.shiftleft(upper_low, _STEP) - 1),
+            span(level, F.shiftleft(upper_high + 1, _STEP), high))).otherwise(span(level, low, high)))
+        low, high = F.when(whole, upper_low), F.when(whole, upper_high)
+    found.append(span(levels - 1, low, high))
+    return F.concat(*[F.coalesce(part, none) for part in found])
 
 
 # ------------------------------------------------- captures and lists from pages
 
 def captures_of(pages: DataFrame) -> DataFrame:
     """Pages with a fetch time spread over 2024 by their id."""
-    minute = F.pmod(F.col("page_id") * 7919, F.lit(525_600))
+    minute = F.pmod(F.pmod(F.col("page_id").cast("bigint"), F.lit(525_600)) * 7919, F.lit(525_600))
     return pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
         _after(minute * 60).alias("fetched_at"))

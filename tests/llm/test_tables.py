@@ -137,6 +137,33 @@ def test_captures_as_of_their_fetch(spark, web):
     assert url_lists.filter_captures(frame.limit(0), valid).count() == 0
 
 
+@pytest.mark.parametrize("late", [dt.datetime(2031, 1, 1), dt.datetime(9999, 12, 31), dt.datetime(1, 1, 2)])
+def test_one_far_capture_changes_nothing_for_the_others(spark, web, late):
+    entries, captures = web
+    captures = [*captures, (2**62, "https://evil.org/en", late), (-2**63, "https://evil.org", late)]
+    valid = url_lists.intervals(spark.createDataFrame(entries, ENTRIES))
+    frame = spark.createDataFrame(captures, CAPTURES)
+    assert samples.rows(url_lists.filter_captures(frame, valid)) == plain_filter(entries, captures)
+
+
+@pytest.mark.parametrize("first, last", [(0, 0), (-5, 40), (31, 32), (3, 5000), (-70_000, 90_001), (640, 1663)])
+def test_periods_make_up_the_whole(spark, first, last):
+    levels = url_lists.levels_of(first, last)
+    row = spark.range(1).select(url_lists.periods(F.lit(first), F.lit(last), levels).alias("p")).first()
+    covered = [n for r in row["p"] for n in range(r["number"] << 5 * r["level"], (r["number"] + 1) << 5 * r["level"])]
+    assert sorted(covered) == list(range(first, last + 1)) and len(row["p"]) <= 62 * levels + 2
+
+
+def test_captures_of_any_id(spark):
+    ids = [2**62, -2**63, 2**63 - 1, None, -1, 12]
+    pages = spark.createDataFrame([(i, "https://" + "a." * 40 + "org/" + "x/" * 3000) for i in ids], CAPTURES.rsplit(",", 1)[0])
+    found = url_lists.captures_of(pages).collect()
+    assert [(r["fetched_at"] - dt.datetime(2024, 1, 1)) // dt.timedelta(minutes=1) for r in found
+            if r["page_id"] is not None] == [i * 7919 % 525_600 for i in ids if i is not None]
+    valid = url_lists.intervals(url_lists.lists_of(pages))
+    assert url_lists.filter_captures(url_lists.captures_of(pages), valid).count() == len(ids)
+
+
 def test_intervals(spark):
     e = lambda day, adds, pattern="p.org": ("l", False, "host", pattern, adds, T0 + day * DAY)
     entries = [e(0, False), e(1, True), e(1, False), e(2, True), e(40, True), e(90, False), e(95, False),
