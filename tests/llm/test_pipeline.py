@@ -12,13 +12,14 @@ import corpus_pipeline
 from checks import compare
 from conftest import SMALL
 from deskgauge.llm import byte_bpe, common, compression_quality, decontamination, queries, toxicity
+from llm import samples
 from llm.test_near_duplicates import linked, plain_components, plain_fingerprint
 from llm.test_text_operators import plain_report
 
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {n[:n.index("_") + 1] for n in names if n[:2] == "op"}
+    assert {f"op{n}_" for n in range(1, 14)} <= {n[:n.index("_") + 1] for n in names if n[:2] == "op"}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
     assert set(queries.ORACLE) <= names
 
@@ -49,6 +50,28 @@ def test_pipeline(spark):
         assert found[i]["n_tokens"] == len(ids) // 4
 
 
+def written(folder, **frames):
+    for name, frame in frames.items():
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Without labels and benchmark only copies go."""
+    long = "word " * 40_000
+    rows = [(1, None), (2, ""), (None, ""), (3, "some text of its own"), (3, "some text of its own"),
+            (None, "some text of its own"), (None, "another one"), (5, long), (6, long)]
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    benchmark = spark.createDataFrame([], "item_id string, text string")
+    sf = written(tmp_path / "a", documents=samples.documents(spark, rows), labels=labels,
+                 benchmark=benchmark)
+    found = samples.rows(corpus_pipeline.run(spark, sf), "doc_id", "n_tokens")
+    assert [i for i, _ in found] == [1, 3, 5, None]
+    assert dict(found)[1] == 0 and dict(found)[5] > 10_000
+    sf = written(tmp_path / "b", documents=samples.empty(spark), labels=labels, benchmark=benchmark)
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
 def test_stages_keep_the_columns(spark):
     docs = common.table(spark, SMALL, "documents").withColumn("score", F.lit("x"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
