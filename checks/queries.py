@@ -89,7 +89,11 @@ def text_of_date(column):
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared folder the session names, else the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+        if shared.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/deskgauge-{uuid.uuid4()}"
 
 

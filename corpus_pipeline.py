@@ -1,4 +1,14 @@
-"""The corpus pipeline: each stage reads what the one before it kept."""
+"""The corpus pipeline: each stage reads what the one before it kept.
+
+Cases: a document with a null or empty text is judged like any other by the models'
+curves, has the zero fingerprint and so one component with its like, holds no benchmark
+window and encodes to no token.  A null id is carried along; of repeated rows, and of
+rows that are near copies, one stays, the one with the smallest id (null last).  Texts
+of any length are read whole.  Where labels are lacking, so that a model cannot be
+trained, its stage keeps every document; without a benchmark nothing is contaminated;
+an empty table of documents gives an empty result.  Extra columns are carried through
+all stages but the last.
+"""
 
 from __future__ import annotations
 
