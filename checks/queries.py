@@ -5,6 +5,7 @@ A query takes (spark, sf_dir) and returns a DataFrame over the whole tables.
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +22,7 @@ from deskgauge.operators import (
 )
 from deskgauge.operators import selectors as S
 from deskgauge.plans import flows
-from deskgauge.sources import extracts, readers, sinks, snapshots
+from deskgauge.sources import extracts, mirror, readers, sinks, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,6 +168,57 @@ def _(spark, sf):
     ).agg(F.count("*").alias("actions"))
 
 
+def changed_desk(spark, sf):
+    """The source tables, and their state before the changes of 2001."""
+    now = adapter.service_desk(spark, sf)
+    now = dataclasses.replace(
+        now, am_action=now.am_action.withColumn("LAST_UPDATE", F.col("START_DATE_UT")))
+    late = F.coalesce(F.col("LAST_UPDATE") >= F.lit("2001-01-01").cast("timestamp_ntz"), F.lit(False))
+    stale = now.sd_request.withColumns({
+        "SD_CATALOG_ID": F.when(late, 1000).otherwise(F.col("SD_CATALOG_ID")).cast("bigint"),
+        "STATUS_ID": F.when(late, 12).otherwise(F.col("STATUS_ID")).cast("bigint"),
+        "LAST_UPDATE": F.when(~late, F.col("LAST_UPDATE")),
+    })
+    return now, dataclasses.replace(now, sd_request=stale, am_action=now.am_action.filter(~late))
+
+
+def incremental(spark, sf, name) -> DataFrame:
+    """An extract from a mirror that was copied before the changes and then refreshed."""
+    now, before = changed_desk(spark, sf)
+    store = snapshots.VersionStore(spark, scratch(spark))
+    mirror.take_mirror(store, before)
+    return store.read(mirror.take_incremental_snapshot(store, now), name)
+
+
+@query("s1_incremental_extract", O.star_tickets("open_request"))
+def _(spark, sf):
+    return incremental(spark, sf, "tickets").select(*_STAR_COLUMNS)
+
+
+@query("s2_incremental_extract", O.star_actions(_EXTRACTED))
+def _(spark, sf):
+    return incremental(spark, sf, "actions").select(*_ACTION_COLUMNS)
+
+
+@query("e_report_of_snapshot",
+       f"""SELECT 'unparsed appointment' AS expectation, count(*) AS violations
+           FROM ({O.star_actions(_EXTRACTED)}) z
+           WHERE DESCRIPTION LIKE '%rdv:%'
+               AND try_strptime(regexp_extract(DESCRIPTION, 'rdv:(.*)', 1), '%d/%m/%Y') IS NULL
+               AND NOT (START_DATE_UT IS NULL AND DONE_BY_NAME IS NULL AND ACTION_LABEL_FR IS NULL)
+           UNION ALL SELECT 'repeated action', count(*) FROM (
+               SELECT ACTION_ID FROM ({O.star_actions(_EXTRACTED)}) z
+               GROUP BY ACTION_ID HAVING count(*) > 1)""")
+def _(spark, sf):
+    """What a snapshot measured while it was written, beside what is counted after."""
+    store = snapshots.VersionStore(spark, scratch(spark))
+    version = snapshots.take_snapshot(store, adapter.service_desk(spark, sf))
+    desk = dataclasses.replace(adapter.desk(spark, sf), **{
+        name: store.read(version, name) for name in ("tickets", "actions")})
+    report = flows.quality_report(desk, snapshots.action_measures(store, version))
+    return report.filter(F.col("expectation").isin("unparsed appointment", "repeated action"))
+
+
 @query("s8_append_missing",
        "SELECT t.id, CAST(coalesce(cl.itype, 1) AS BIGINT) AS itype FROM t LEFT JOIN cl USING (id)")
 def _(spark, sf):

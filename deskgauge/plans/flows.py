@@ -332,10 +332,13 @@ def technician_table(desk: Desk) -> DataFrame:
     return reports.technician_totals(_score(desk, tickets, desk.now))
 
 
-def quality_report(desk: Desk) -> DataFrame:
-    """Violations of the expectations on the extracts of a desk."""
+def quality_report(desk: Desk, measured: dict | None = None) -> DataFrame:
+    """Violations of the expectations on the extracts of a desk.
+
+    ``measured`` is what a snapshot noted (``snapshots.action_measures``).
+    """
     return quality.report(
-        desk.clean_tickets(), desk.clean_actions(), desk.now, desk.answers
+        desk.clean_tickets(), desk.clean_actions(), desk.now, desk.answers, measured
     )
 
 

@@ -20,12 +20,11 @@ import uuid
 from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from deskgauge import schemas
 from deskgauge.functions import time as XT
-from deskgauge.operators import classification as C
+from deskgauge.operators import classification as C, quality
 from deskgauge.sources import extracts
 from deskgauge.sources.extracts import ServiceDesk
 
@@ -68,22 +67,48 @@ class VersionStore:
     def _table(self, version: str, name: str) -> str:
         return f"desk_{version.replace('-', '')}_{name}"
 
-    def put(self, version: str, name: str, frame: DataFrame) -> DataFrame:
-        """Store a frame of a version that is not listed yet; read it back."""
+    def put(self, version: str, name: str, frame: DataFrame,
+            measures: list[Column] | None = None) -> DataFrame:
+        """Store a frame of a version that is not listed yet; read it back.
+
+        ``measures``, named aggregates of the frame, are taken while it is written and
+        kept beside it, see :meth:`measured`.
+        """
+        frame, note = self._watched(version, name, frame, measures)
         frame.write.parquet(self._path(version, name))
+        note()
         return self.read(version, name)
 
     def put_bucketed(self, version: str, name: str, frame: DataFrame, key: str,
-                     buckets: int) -> DataFrame:
+                     buckets: int, measures: list[Column] | None = None) -> DataFrame:
         """Like :meth:`put`, one file per bucket of ``key``.
 
         What is grouped or joined by the key later is not shuffled again.
         """
-        frame.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option(
+        frame, note = self._watched(version, name, frame.repartition(buckets, key), measures)
+        frame.write.format("parquet").bucketBy(buckets, key).option(
             "path", self._path(version, name)).saveAsTable(self._table(version, name))
+        note()
         self._create(f"versions/{version}/{name}.buckets.json", {"key": key, "buckets": buckets})
         return self.read(version, name)
 
+    def _watched(self, version: str, name: str, frame: DataFrame,
+                 measures: list[Column] | None):
+        """The frame as it is to be written, and what notes its measures after that.
+
+        They are taken in the stage that writes, of which each task counts once,
+        however often executors are lost.
+        """
+        if not measures:
+            return frame, lambda: None
+        seen = Observation()
+        return frame.observe(seen, *measures), lambda: self._create(
+            f"versions/{version}/{name}.measures.json", seen.get)
+
+    def measured(self, version: str, name: str, schema: str) -> dict | None:
+        """The measures noted with a frame, none if it was stored without."""
+        return self._note(f"{self._path(version, name)}.measures.json", schema)
+
     def _create(self, name: str, content: dict) -> bool:
         """A small file that appears whole; false if the name is taken."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -135,6 +160,11 @@ class VersionStore:
         version = new_version()
         for name, frame in frames.items():
             self.put(version, name, frame)
+        return self.follow(base, version, kind, created_at)
+
+    def follow(self, base: str, version: str, kind: str,
+               created_at: dt.datetime | None = None) -> str:
+        """List a version whose frames are all stored as the successor of ``base``."""
         if not self._list(base, version, kind, created_at):
             raise StaleVersion(f"version {base} already has a successor")
         return version
@@ -145,12 +175,9 @@ class VersionStore:
 
         A version with a successor is not the latest, whatever their clocks say.
         """
-        try:
-            lines = self.spark.read.schema(_LINE).json(f"{self.root}/manifest")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
+        if not self._exists(f"{self.root}/manifest"):
+            return None
+        lines = self.spark.read.schema(_LINE).json(f"{self.root}/manifest")
         followed = lines.select(F.col("base").alias("version")).filter("version IS NOT NULL")
         lines = lines.filter(F.col("kind") == kind).join(followed, "version", "left_anti")
         if max_age is not None:
@@ -177,14 +204,17 @@ class VersionStore:
         return self.spark.table(table)
 
     def _buckets(self, version: str, name: str) -> dict | None:
-        try:
-            rows = self.spark.read.schema("key string, buckets int").json(
-                f"{self._path(version, name)}.buckets.json").collect()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        return rows[0].asDict()
+        return self._note(f"{self._path(version, name)}.buckets.json", "key string, buckets int")
+
+    def _note(self, path: str, schema: str) -> dict | None:
+        """The content of a small file, none if there is no such file."""
+        if not self._exists(path):
+            return None
+        return self.spark.read.schema(schema).json(path).first().asDict()
+
+    def _exists(self, path: str) -> bool:
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(file)
 
 
 def evenly_bucketed(frame: DataFrame, key: str, buckets: int, most: float = 2.0) -> bool:
@@ -209,7 +239,8 @@ def take_snapshot(store: VersionStore, desk: ServiceDesk,
 
     Tickets and actions are bucketed alike by request, so flows on the snapshot group
     and join them without a shuffle; not so (or with ``buckets`` 0) where some request
-    owns so many actions that one task could not read its bucket.
+    owns so many actions that one task could not read its bucket.  What the quality
+    report asks of single actions is measured while they are written.
     """
     if max_age is not None:
         young = store.latest(EXTRACT, max_age, as_of)
@@ -223,16 +254,22 @@ def take_snapshot(store: VersionStore, desk: ServiceDesk,
     wanted = store.put(version, "wanted", extracts.wanted_requests(desk, hotline))
     tickets = extracts.extract_tickets(desk, hotline_ids=hotline)
     actions = extracts.extract_actions(desk, wanted=wanted)
+    measures = quality.extract_measures()
     extracted = desk.am_action.join(wanted.select("REQUEST_ID"), "REQUEST_ID", "left_semi")
     if buckets and evenly_bucketed(extracted, "REQUEST_ID", buckets):
         store.put_bucketed(version, "tickets", tickets, "REQUEST_ID", buckets)
-        store.put_bucketed(version, "actions", actions, "REQUEST_ID", buckets)
+        store.put_bucketed(version, "actions", actions, "REQUEST_ID", buckets, measures)
     else:
         store.put(version, "tickets", tickets)
-        store.put(version, "actions", actions)
+        store.put(version, "actions", actions, measures)
     return store.publish(version, EXTRACT, as_of)
 
 
+def action_measures(store: VersionStore, version: str) -> dict | None:
+    """What :func:`take_snapshot` measured on the actions, for ``quality.report``."""
+    return store.measured(version, "actions", quality.MEASURES)
+
+
 def complete_classification(store: VersionStore, version: str, tickets: DataFrame) -> str:
     """New version with one row per stored request and per ticket."""
     whole = C.complete(tickets, store.read(version, "classification"))
