@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 _LOWERED = ("translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
-_QUALITY_RULES_SQL = r"""
+_LEDGER_SQL = r"""
     WITH d AS (
         SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -73,20 +73,38 @@ _QUALITY_RULES_SQL = r"""
                + CASE WHEN 100 * n_capitals > 50 * n_letters THEN 32 ELSE 0 END
                + CASE WHEN 10 * word_chars < 20 * n_words THEN 64 ELSE 0 END
                + CASE WHEN word_chars > 20 * n_words THEN 128 ELSE 0 END AS failed
-        FROM f)
+        FROM f)"""
+
+_QUALITY_RULES_SQL = _LEDGER_SQL + """
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           len(lines)::BIGINT AS n_lines, n_top_word::BIGINT AS n_top_word,
+           n_letters::BIGINT AS n_letters, n_capitals::BIGINT AS n_capitals,
            (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-           failed = 0 AS kept, failed::BIGINT AS failed
+           '2' AS policy, failed = 0 AS kept, failed::BIGINT AS failed
     FROM b"""
 
+_ABLATIONS_SQL = _LEDGER_SQL + """,
+    rules(rule, bit) AS (VALUES
+        ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8),
+        ('one_word', 16), ('capitals', 32), ('short_words', 64), ('long_words', 128))
+    SELECT '2' AS policy, rule, (SELECT count(*) FROM b WHERE failed & bit <> 0) AS n_failed,
+           (SELECT count(*) FROM b WHERE failed = bit) AS n_only
+    FROM rules"""
+
 
 @query("op1_quality_rules", _QUALITY_RULES_SQL)
 def _(spark, sf_dir):
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     judged = quality_rules.verdicts(rows, quality_rules.STRICT)
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        quality_rules.fails(quality_rules.BASE).alias("base_failed"), "kept", "failed")
+        "doc_id", *quality_rules.MEASURES,
+        quality_rules.fails(quality_rules.BASE).alias("base_failed"), "policy", "kept", "failed")
+
+
+@query("quality_rule_ablations", _ABLATIONS_SQL)
+def _(spark, sf_dir):
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return quality_rules.ablations(rows, quality_rules.STRICT)
 
 
 @query("op2_simhash_pigeonring")
