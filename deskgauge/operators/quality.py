@@ -91,9 +91,11 @@ def report(tickets: DataFrame, actions: DataFrame, as_of: Column,
     }
     if answers is not None:
         counts["repeated answer"] = repeated_answers(answers).agg(F.count("*"))
-    whole = _measured(actions, measured).select(
-        F.explode(single).alias("expectation", "violations"))
-    for name, found in counts.items():
-        whole = whole.unionByName(
-            found.toDF("violations").select(F.lit(name).alias("expectation"), "violations"))
+    rows = [found.toDF("violations").select(F.lit(name).alias("expectation"), "violations")
+            for name, found in counts.items()]
+    rows.append(_measured(actions, measured).select(
+        F.explode(single).alias("expectation", "violations")))
+    whole = rows[0]
+    for row in rows[1:]:
+        whole = whole.unionByName(row)
     return whole
