@@ -118,23 +118,34 @@ def logistic_fit(features, labels, counts: dict[int, int], ridge: float = 1e-4,
                  steps: int = 50) -> np.ndarray:
     """Weights (last: intercept) of a ridge logistic regression by Newton's method.
 
-    Features are scaled to unit deviation for the ridge.  ``counts`` are the
+    Features are scaled to unit deviation for the ridge, those without any left as they are.  ``counts`` are the
     labels' numbers in the whole corpus; the intercept is moved from the shares
-    in the sample to theirs.
+    in the sample to theirs.  A step that would raise the loss is halved, so that
+    labels which a feature nearly separates cannot throw the weights away.
     """
     features = np.asarray(features, float)
     scale = features.std(axis=0) + 1e-12
+    scale[scale < 2e-12] = 1  # equal on all texts
     x = np.column_stack([features / scale, np.ones(len(features))])
     y = np.asarray(labels, float)
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge * max(1, len(y)))
     penalty[-1] = 1e-6
+
+    def loss(w):
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(penalty * w * w))
+
+    at = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         gradient = x.T @ (p - y) + penalty * w
         hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
+        while (after := loss(w - step)) > at + 1e-9 * abs(at) and np.abs(step).max() > 1e-9:
+            step /= 2
         w -= step
+        at = after
         if np.abs(step).max() < 1e-9:
             break
     w[:-1] /= scale
