@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -110,6 +111,114 @@ def test_toxic_models_are_probabilities(spark, made):
         assert np.allclose(total, 1)
 
 
+def plain_byte_model(texts):
+    """Interpolated Kneser-Ney over the bytes of words, by recursion: (byte, context, class) -> P.
+
+    ``texts``: (text, class) with class 0 toxic and 1 ordinary, as the model's columns.
+    """
+    n_max, pad = toxicity.ORDER, b"\0" * (toxicity.ORDER - 1)
+    seen = {n: (collections.Counter(), collections.Counter()) for n in range(1, n_max + 1)}
+    for text, k in texts:
+        for word in text.lower().split():
+            raw = pad + word + b" "
+            for i in range(len(pad), len(raw)):
+                for n in range(1, n_max + 1):
+                    seen[n][k][raw[i - n + 1:i + 1]] += 1
+
+    def count(gram, k):
+        n = len(gram)
+        if n == n_max:
+            return seen[n][k][gram]
+        classes = (k,) if n >= toxicity.SHARED else (0, 1)
+        longer = set().union(*[seen[n + 1][c] for c in classes])
+        return sum(g[1:] == gram for g in longer)
+
+    def probability(byte, context, k):
+        lower = 1 / 256 if not context else probability(byte, context[1:], k)
+        counts = [count(context + bytes([b]), k) for b in range(256)]
+        total = sum(counts)
+        if not total:
+            return lower
+        kept = max(counts[byte] - toxicity.DISCOUNT, 0) / total
+        return kept + toxicity.DISCOUNT * sum(c > 0 for c in counts) / total * lower
+
+    return probability
+
+
+@pytest.fixture(scope="module")
+def two_classes(spark):
+    texts = [(b"aba cab", 0), (b"cab cab  bad", 0), (b"cab", 0), (b"cab bad aba", 0), (b"", 0),
+             (b"cab aba ab", 1), (b"bb aba", 1), (b"dab\nBAD", 1), (b"cab bb", 1)]
+    sample = spark.createDataFrame([(t.decode(), 1 - k) for t, k in texts], "text string, label int")
+    words = toxicity._word_counts(sample)
+    orders = toxicity._build(toxicity._gram_counts(words))
+    return texts, words, orders
+
+
+def test_byte_probabilities_are_those_of_plain_recursion(two_classes):
+    texts, _, orders = two_classes
+    plain = plain_byte_model(texts)
+    for context in (b"\0\0\0\0", b"\0\0\0c", b"\0\0ca", b"\0cab", b"zzzz", b"zzab"):
+        for byte in b"abz ":
+            gram = np.array([int.from_bytes(context + bytes([byte]), "big")], np.uint64)
+            found = toxicity._probability(list(orders), gram, toxicity.ORDER)[:, 0]
+            assert np.allclose(found, [plain(byte, context, k) for k in (0, 1)], rtol=1e-9)
+
+
+def test_word_level_is_that_of_plain_sums(two_classes):
+    """A word of more toxic texts than the discount, against the smoothed definition."""
+    texts, words, orders = two_classes
+    plain = plain_byte_model(texts)
+    having = [collections.Counter(w for t, c in texts if c == k for w in set(t.lower().split()))
+              for k in (0, 1)]
+
+    def spelled(word, k):
+        raw = b"\0" * (toxicity.ORDER - 1) + word + b" "
+        at = range(toxicity.ORDER - 1, len(raw))
+        return math.prod(plain(raw[i], raw[i - toxicity.ORDER + 1:i], k) for i in at)
+
+    def probability(word, k):
+        d, total = toxicity.WORD_DISCOUNT[k], sum(having[k].values())
+        left = sum(min(n, d) for n in having[k].values()) / total
+        shared = (spelled(word, 0) + spelled(word, 1)) / 2
+        return max(having[k][word] - d, 0) / total + left * shared
+
+    difference = lambda w: math.log(probability(w, 0) / probability(w, 1))
+    found = toxicity._word_level(words, orders)
+    assert set(found) == {w for w, n in having[0].items() if n > toxicity.WORD_DISCOUNT[0]} == {b"cab"}
+    assert found[b"cab"] == pytest.approx(difference(b"cab") - difference(b"qq"), rel=1e-9)
+
+
+def test_the_curve_takes_equal_and_separated_features():
+    for features in ([[3.0, 7.0]] * 4, [[0.0, 0.0]] * 4, [[-9.0, 1.0], [-8.0, 1.0], [8.0, 1.0], [9.0, 1.0]]):
+        weights = common.logistic_fit(features, [0, 0, 1, 1], {0: 2, 1: 2})
+        score = common.logistic(features, weights)
+        assert np.isfinite(score).all() and (np.diff(score) >= -1e-9).all()
+
+
+def test_compression_feature_is_that_of_plain_compression(made):
+    docs, labels = made
+    model = compression_quality.fit(docs, labels)
+    assert model.good and model.bad
+
+    def size(text, raw):
+        squeeze = zstandard.ZstdCompressor(
+            level=compression_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw),
+            write_content_size=False, write_dict_id=False)
+        step = compression_quality.PIECE
+        return sum(len(squeeze.compress(text[i:i + step])) for i in range(0, len(text), step))
+
+    wanted = {}
+    for r in docs.limit(60).collect():
+        text = r["text"].encode()
+        good, bad = size(text, model.good), size(text, model.bad)
+        share = (good + 50) / (len(text) + 100)
+        z = np.dot(model.weights, [(bad - good) / (len(text) + 200), share, share ** 2, 1])
+        wanted[r["doc_id"]] = 1 / (1 + math.exp(-z))
+    found = {r["doc_id"]: r["score"] for r in compression_quality.score(docs, model).collect()}
+    assert all(found[i] == pytest.approx(p, abs=1e-9) for i, p in wanted.items())
+
+
 def test_rare_labels_still_train(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
     scores = {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
@@ -148,6 +257,8 @@ def test_toxic_recall_by_language(spark):
     assert found.filter("toxic = 0").agg(F.avg("predicted")).first()[0] < 0.03
     recall = {r["lang"]: r["r"] for r in found.filter("toxic = 1").groupBy("lang").agg(F.avg("predicted").alias("r")).collect()}
     assert len(recall) == 4 and min(recall["en"], recall["de"], recall["fr"]) > 0.8
+    # 22 Spanish toxic texts to learn from, few of which share a word four times.
+    assert recall["es"] > 0.3, recall
 
 
 # ------------------------------------------------------------------- Pitman-Yor
