@@ -371,3 +371,45 @@ def test_arrays_survive_packing():
               np.random.default_rng(0).random(9).astype(np.float32)]
     for a, b in zip(arrays, P.unpack(P.pack(*arrays))):
         assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_history_is_the_whole_word_before(spark):
+    """Words with the same ending are contexts of their own."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2][:200]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, " ".join(("rotes", "haus") if i % 2 else ("weites", "land"))) for i in ids]
+    rows += list(zip(held, ("rotes haus", "rotes land", "weites land", "weites haus")))
+    found = P.score_documents(samples.documents(spark, rows)).collect()
+    score = {r["doc_id"]: r["score"] for r in found}
+    a, b, c, d = (score[i] for i in held)
+    assert a > b + 1 and c > d + 1  # ten times likelier
+
+
+def test_ranges_are_told_the_totals_of_all_ranges():
+    """Customers and tables of every context are those summed over all ranges."""
+    rng = np.random.default_rng(3)
+    tails = np.arange(40, dtype=np.uint16) * 9 + 0x2061
+    codes = np.sort(P._contexts(rng.integers(0, 2**63, 40).astype(np.uint64) * np.uint64(2), tails))
+    counts = []
+    for _ in range(3):
+        pairs = np.unique(rng.integers(0, 50 * 40, 300))
+        counts.append(P.Counts(np.arange(50, dtype=np.uint64), pairs // 40, codes[pairs % 40],
+                               rng.geometric(0.4, len(pairs)), np.unique(codes[pairs % 40])))
+    parts = {}
+    for number, c in enumerate(counts):
+        for part, raw in P._said(P.Seating.first(P.Counts.unpacked(c.packed())), 4):
+            parts.setdefault(part, []).append((number, raw))
+    told, short = {}, []
+    for part in sorted(parts):
+        for number, raw in P._summed(parts[part]):
+            short.append(raw) if number < 0 else told.setdefault(number, []).append((0, raw))
+    totals = P._short_totals(short, None)
+    context = np.concatenate([c.context for c in counts])
+    n = np.concatenate([c.n for c in counts])
+    assert totals.tokens == n.sum() and totals.customers[1].sum() == totals.tables[1].sum() + sum(
+        len(c.n) - len(np.unique(c.word * P._TAILS + c.context % P._TAILS)) for c in counts)
+    for number, c in enumerate(counts):
+        (own,) = P._chain(told[number], [totals], c.places)
+        for place, customers, tables in zip(c.places, own.customers[2], own.tables[2]):
+            assert customers == n[context == place].sum() and tables == (context == place).sum()
+        assert own.at(2, np.array([5]))[0] == len(c.places) and own.customers[2][-1] == 0
