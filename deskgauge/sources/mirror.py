@@ -21,7 +21,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from deskgauge.sources import snapshots
+from deskgauge.sources import idsets, snapshots
 from deskgauge.sources.extracts import ServiceDesk
 from deskgauge.sources.snapshots import VersionStore
 
@@ -29,6 +29,8 @@ MIRROR = "mirror"
 KEYS = {"sd_request": "REQUEST_ID", "am_action": "ACTION_ID"}
 CHANGED_AT = "LAST_UPDATE"
 OVERLAP = dt.timedelta(hours=1)
+# Written once, read a few times, never a side that Spark might broadcast.
+CODEC = "zstd"
 
 _ABOUT = "base string, name string, mark timestamp_ntz"
 
@@ -47,17 +49,21 @@ def newest(reads: list[DataFrame], key: str) -> DataFrame:
     Equal times are settled by the values, so a task that runs again agrees.
     """
     columns = reads[0].columns
+    # The key and the time are not carried twice.
+    rest = [c for c in columns if c not in (key, CHANGED_AT)] or [key]
+    shown = {key: F.col("key"), CHANGED_AT: F.col("last.at")}
 
     def ranked(number: int, frame: DataFrame) -> DataFrame:
         rank = [F.lit(number).alias("read"), F.col(CHANGED_AT).alias("at")]
         return frame.filter(F.col(key).isNotNull()).select(
             F.col(key).alias("key"),
-            F.struct(*rank, F.struct(*columns).alias("row")).alias("ranked"))
+            F.struct(*rank, F.struct(*rest).alias("row")).alias("ranked"))
 
     rows = ranked(0, reads[0])
     for number, frame in enumerate(reads[1:], 1):
         rows = rows.unionByName(ranked(number, frame))
-    return rows.groupBy("key").agg(F.max("ranked").alias("last")).select("last.row.*")
+    return rows.groupBy("key").agg(F.max("ranked").alias("last")).select(
+        *[shown.get(c, F.col(f"last.row.`{c}`")).alias(c) for c in columns])
 
 
 def _latest_mark(frame: DataFrame) -> dt.datetime | None:
@@ -83,7 +89,7 @@ def take_mirror(store: VersionStore, desk: ServiceDesk,
 def _copied(store: VersionStore, tables: dict[str, DataFrame], before: str | None,
             created_at: dt.datetime | None) -> str:
     version = snapshots.new_version()
-    about = [(version, name, _latest_mark(store.put(version, name, table)))
+    about = [(version, name, _latest_mark(store.put(version, name, table, codec=CODEC)))
              for name, table in tables.items()]
     _describe(store, version, about)
     if before is None:
@@ -109,7 +115,9 @@ def refresh_mirror(store: VersionStore, desk: ServiceDesk, most_changed: float =
         reads = [changed_since(getattr(desk, name), since)]
         if base != before:
             reads.insert(0, store.read(before, f"{name}_changes").select(*reads[0].columns))
-        changes = store.put(version, f"{name}_changes", newest(reads, KEYS[name]))
+        changes = store.put(version, f"{name}_changes", newest(reads, KEYS[name]), codec=CODEC)
+        if idsets.whole_numbers(changes, KEYS[name]):
+            store.put(version, f"{name}_changed", idsets.bitmaps(changes, KEYS[name]))
         seen = [m for m in (mark, _latest_mark(changes)) if m is not None]
         about.append((base, name, max(seen, default=None)))
         large |= changes.count() > most_changed * store.read(base, name).count()
@@ -124,9 +132,15 @@ def _merged(store: VersionStore, version: str, name: str, base: str) -> DataFram
     copy = store.read(base, name)
     if base == version:
         return copy
-    changes = store.read(version, f"{name}_changes")
-    kept = copy.join(changes.select(KEYS[name]), KEYS[name], "left_anti")
-    return kept.select(*copy.columns).unionByName(changes)
+    key, changes = KEYS[name], store.read(version, f"{name}_changes")
+    # None of keys that are not whole numbers, nor with versions of before there were any.
+    changed = f"{name}_changed"
+    bits = store.read(version, changed) if store.holds(version, changed) else None
+    if bits is not None and idsets.can_be_sent(bits):
+        kept = idsets.without(copy, key, bits)
+    else:
+        kept = copy.join(changes.select(key), key, "left_anti").select(*copy.columns)
+    return kept.unionByName(changes)
 
 
 def mirrored(store: VersionStore, version: str, desk: ServiceDesk) -> ServiceDesk:

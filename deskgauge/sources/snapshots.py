@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from deskgauge import schemas
 from deskgauge.functions import time as XT
 from deskgauge.operators import classification as C, quality
-from deskgauge.sources import extracts
+from deskgauge.sources import extracts, idsets
 from deskgauge.sources.extracts import ServiceDesk
 
 _LINE = "base string, kind string, version string, created_at timestamp_ntz"
@@ -68,14 +68,14 @@ class VersionStore:
         return f"desk_{version.replace('-', '')}_{name}"
 
     def put(self, version: str, name: str, frame: DataFrame,
-            measures: list[Column] | None = None) -> DataFrame:
+            measures: list[Column] | None = None, codec: str = "snappy") -> DataFrame:
         """Store a frame of a version that is not listed yet; read it back.
 
         ``measures``, named aggregates of the frame, are taken while it is written and
         kept beside it, see :meth:`measured`.
         """
         frame, note = self._watched(version, name, frame, measures)
-        frame.write.parquet(self._path(version, name))
+        frame.write.parquet(self._path(version, name), compression=codec)
         note()
         return self.read(version, name)
 
@@ -186,6 +186,9 @@ class VersionStore:
         newest = lines.orderBy(F.desc("created_at"), F.desc("version")).limit(1).collect()
         return newest[0]["version"] if newest else None
 
+    def holds(self, version: str, name: str) -> bool:
+        return self._exists(self._path(version, name))
+
     def read(self, version: str, name: str) -> DataFrame:
         path, table = self._path(version, name), self._table(version, name)
         if self.spark.catalog.tableExists(table):
@@ -235,7 +238,8 @@ def take_snapshot(store: VersionStore, desk: ServiceDesk,
 
     The ids of the open requests and the lookup tables are stored first.  The
     ids are computed once, and whatever meets the big tables has a known size:
-    Spark broadcasts it if it is small, and shuffles if it is too large for that.
+    Spark broadcasts it if it is small, and shuffles if it is too large for that.  Then
+    only rows of open requests are shuffled: the ids, as bitmaps, filter both scans.
 
     Tickets and actions are bucketed alike by request, so flows on the snapshot group
     and join them without a shuffle; not so (or with ``buckets`` 0) where some request
@@ -252,6 +256,12 @@ def take_snapshot(store: VersionStore, desk: ServiceDesk,
     })
     hotline = store.put(version, "hotline_ids", extracts.open_hotline_ids(desk.am_action))
     wanted = store.put(version, "wanted", extracts.wanted_requests(desk, hotline))
+    big = {name: getattr(desk, name) for name in ("sd_request", "am_action")}
+    if all(idsets.whole_numbers(table, "REQUEST_ID") for table in big.values()):
+        ids = store.put(version, "wanted_bits", idsets.bitmaps(wanted, "REQUEST_ID"))
+        if idsets.can_be_sent(ids):
+            desk = replace(desk, **{
+                name: idsets.possible(table, "REQUEST_ID", ids) for name, table in big.items()})
     tickets = extracts.extract_tickets(desk, hotline_ids=hotline)
     actions = extracts.extract_actions(desk, wanted=wanted)
     measures = quality.extract_measures()

@@ -14,7 +14,7 @@ from conftest import SMALL
 from deskgauge.functions.time import moment
 from deskgauge.operators import quality
 from deskgauge.plans import flows
-from deskgauge.sources import extracts, mirror, snapshots
+from deskgauge.sources import extracts, idsets, mirror, snapshots
 from helpers import values
 
 CUT = dt.datetime(2001, 1, 1)
@@ -138,3 +138,73 @@ def test_report_scans(spark, tmp_path):
         report = quality.report(desk.clean_tickets(), desk.clean_actions(),
                                 moment("2024-04-10 10:00:00"), None, {"unparsed": 0, "oldest": oldest})
         assert dict(values(report))["no old action"] == violations
+
+
+IDS = [-70_000, -32_768, -1, 0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 5 * 10**12]
+
+
+def test_bitmaps_hold_the_ids(spark):
+    near = sorted({i + step for i in IDS for step in (-1, 0, 1)})
+    rows = spark.createDataFrame([(i, n) for i in near for n in "ab"] + [(None, "a")], "k bigint, n string")
+    ids = spark.createDataFrame([(i,) for i in IDS + IDS[:3] + [None]], "k bigint")
+    for kind in ("bigint", "int"):
+        few = rows.filter("k IS NULL OR abs(k) < 100000").withColumn("k", F.col("k").cast(kind))
+        table, chosen = (rows, ids) if kind == "bigint" else (few, ids.filter("k < 100000"))
+        bits = idsets.bitmaps(chosen, "k")
+        same(idsets.without(table, "k", bits), table.join(chosen, "k", "left_anti").select("k", "n"))
+        same(idsets.possible(table, "k", bits),
+             table.join(chosen, "k", "left_semi").unionByName(table.filter("k IS NULL")))
+    none = idsets.bitmaps(ids.limit(0), "k")
+    assert none.isEmpty() and idsets.without(rows, "k", none).count() == rows.count()
+    assert values(idsets.possible(rows, "k", none), "k") == [(None,)]
+    assert idsets.whole_numbers(rows, "k") and not idsets.whole_numbers(rows, "n")
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_the_copy_is_not_shuffled_by_a_merge(spark, tmp_path, conf, monkeypatch, few):
+    """However many changes: their keys are sent as bitmaps, and joined only beyond a bound."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    now, before = changed_desk(spark, SMALL)
+    store = snapshots.VersionStore(spark, str(tmp_path))
+    mirror.take_mirror(store, before)
+    version = mirror.refresh_mirror(store, now, most_changed=9.0)
+    if not few:
+        monkeypatch.setattr(idsets, "MOST_BITMAPS", 0)
+    desk = mirror.mirrored(store, version, now)
+    for name in ROWS:
+        plan = getattr(desk, name)._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange hashpartitioning" not in plan) == few
+        same(getattr(desk, name), getattr(now, name))
+
+
+@pytest.mark.parametrize("most", [0, idsets.MOST_BITMAPS])
+def test_rows_of_closed_requests_are_not_shuffled(spark, tmp_path, monkeypatch, most):
+    """A snapshot is the same with and without bitmaps, whatever rows lack or repeat a request."""
+    source = adapter.service_desk(spark, SMALL)
+    odd = F.when(F.col("REQUEST_ID") % 7 != 0, F.col("REQUEST_ID"))
+    desk = dataclasses.replace(source, **{
+        name: getattr(source, name).unionByName(getattr(source, name).filter("REQUEST_ID % 5 = 0"))
+        .withColumn("REQUEST_ID", odd) for name in ROWS})
+    tables = []
+    monkeypatch.setattr(idsets, "MOST_BITMAPS", most)
+    kept = extracts.extract_actions
+    monkeypatch.setattr(extracts, "extract_actions",
+                        lambda desk, **options: tables.append(desk.am_action) or kept(desk, **options))
+    store = snapshots.VersionStore(spark, str(tmp_path))
+    version = snapshots.take_snapshot(store, desk)
+    assert (tables[0].count() < desk.am_action.count() / 2) == (most > 0)
+    assert not extracts.extract_tickets(desk).filter("REQUEST_ID IS NULL").isEmpty()
+    same(store.read(version, "tickets"), extracts.extract_tickets(desk))
+    same(store.read(version, "actions"), kept(desk))
+
+
+def test_keys_that_are_no_whole_numbers(spark, tmp_path):
+    now, before = (dataclasses.replace(desk, **{
+        name: getattr(desk, name).withColumn("REQUEST_ID", F.concat(F.lit("R"), "REQUEST_ID"))
+        for name in ROWS}) for desk in changed_desk(spark, SMALL))
+    store = snapshots.VersionStore(spark, str(tmp_path))
+    mirror.take_mirror(store, before)
+    version = mirror.refresh_mirror(store, now, most_changed=9.0)
+    assert [store.holds(version, f"{name}_changed") for name in ROWS] == [False, True]
+    desk = mirror.mirrored(store, version, now)
+    same(desk.sd_request, now.sd_request)
