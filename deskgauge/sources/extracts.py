@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from deskgauge import constants as K
 from deskgauge import schemas
 from deskgauge.functions import text as X
+from deskgauge.sources import idsets
 
 
 @dataclass(frozen=True)
@@ -67,11 +68,16 @@ def open_hotline_ids(actions: DataFrame) -> DataFrame:
     ).select("REQUEST_ID").distinct()
 
 
-def open_request_ids(desk: ServiceDesk, hotline_ids: DataFrame | None = None) -> DataFrame:
-    """Distinct requests of either kind."""
+def open_ids(desk: ServiceDesk, hotline_ids: DataFrame | None = None) -> DataFrame:
+    """Requests of either kind, those of both kinds twice."""
     hotline = open_hotline_ids(desk.am_action) if hotline_ids is None else hotline_ids
     arrivals = desk.sd_request.filter(is_open_new_arrival()).select("REQUEST_ID")
-    return hotline.union(arrivals).distinct()
+    return hotline.union(arrivals)
+
+
+def open_request_ids(desk: ServiceDesk, hotline_ids: DataFrame | None = None) -> DataFrame:
+    """Distinct requests of either kind."""
+    return open_ids(desk, hotline_ids).distinct()
 
 
 def wanted_requests(desk: ServiceDesk, hotline_ids: DataFrame | None = None) -> DataFrame:
@@ -80,17 +86,23 @@ def wanted_requests(desk: ServiceDesk, hotline_ids: DataFrame | None = None) ->
                   "REQUEST_ID", "REQUEST_ID", {"RFC_NUMBER": "RFC_NUMBER"})
 
 
-def open_requests(desk: ServiceDesk, hotline_ids: DataFrame | None = None) -> DataFrame:
+def open_requests(desk: ServiceDesk, hotline_ids: DataFrame | None = None,
+                  hotline_bits: DataFrame | None = None) -> DataFrame:
     """Ticket rows to extract.
 
     New arrivals are a plain filter of the ticket scan.  Only the others meet
-    the open ids, in a semi join; an OR of both would shuffle every ticket.
+    the open ids, in a semi join; an OR of both would shuffle every ticket.  With
+    the ids as bitmaps too, ``hotline_bits``, no ticket is shuffled to meet them.
     """
-    hotline = open_hotline_ids(desk.am_action) if hotline_ids is None else hotline_ids
     requests = desk.sd_request
     others = requests.filter(
-        ~is_open_new_arrival() & F.col("MAX_RESOLUTION_DATE_UT").isNotNull()
-    ).join(hotline, "REQUEST_ID", "left_semi")
+        ~is_open_new_arrival() & F.col("MAX_RESOLUTION_DATE_UT").isNotNull())
+    if hotline_bits is not None:
+        others = idsets.possible(
+            others.filter(F.col("REQUEST_ID").isNotNull()), "REQUEST_ID", hotline_bits)
+    else:
+        hotline = open_hotline_ids(desk.am_action) if hotline_ids is None else hotline_ids
+        others = others.join(hotline, "REQUEST_ID", "left_semi")
     return requests.filter(is_open_new_arrival()).unionByName(others)
 
 
@@ -122,14 +134,18 @@ def star_join_tickets(desk: ServiceDesk, requests: DataFrame) -> DataFrame:
     return df.select(*schemas.TICKETS.names)
 
 
-def star_join_actions(desk: ServiceDesk, actions: DataFrame) -> DataFrame:
-    """Action rows that already carry RFC_NUMBER, with their lookups."""
+def named_actions(desk: ServiceDesk, actions: DataFrame) -> DataFrame:
+    """Action rows with their lookups."""
     df = lookup(actions, desk.am_action_type, "ACTION_TYPE_ID", "ACTION_TYPE_ID",
                 {"NAME_FR": "ACTION_TYPE"})
     df = lookup(df, desk.am_group, "GROUP_ID", "GROUP_ID", {"GROUP_FR": "GROUP_FR"})
-    df = lookup(df, desk.am_employee, "DONE_BY_ID", "EMPLOYEE_ID",
-                {"LAST_NAME": "DONE_BY_NAME"})
-    return df.select(*schemas.ACTIONS.names)
+    return lookup(df, desk.am_employee, "DONE_BY_ID", "EMPLOYEE_ID",
+                  {"LAST_NAME": "DONE_BY_NAME"})
+
+
+def star_join_actions(desk: ServiceDesk, actions: DataFrame) -> DataFrame:
+    """Action rows that already carry RFC_NUMBER, with their lookups."""
+    return named_actions(desk, actions).select(*schemas.ACTIONS.names)
 
 
 def _first(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
@@ -137,32 +153,44 @@ def _first(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
 
 
 def extract_tickets(desk: ServiceDesk, limit: int | None = None,
-                    hotline_ids: DataFrame | None = None) -> DataFrame:
+                    hotline_ids: DataFrame | None = None,
+                    hotline_bits: DataFrame | None = None) -> DataFrame:
     """Open tickets; ``limit`` keeps the lowest request ids, default all.
 
     ``hotline_ids`` is a stored result of :func:`open_hotline_ids`: its size
-    is known when the join is planned.
+    is known when the join is planned.  ``hotline_bits`` are their bitmaps.
     """
-    tickets = star_join_tickets(desk, open_requests(desk, hotline_ids))
+    tickets = star_join_tickets(desk, open_requests(desk, hotline_ids, hotline_bits))
     return _first(tickets, limit, "REQUEST_ID")
 
 
 def extract_actions(desk: ServiceDesk, limit: int | None = None,
-                    wanted: DataFrame | None = None) -> DataFrame:
+                    wanted: DataFrame | None = None, buckets: int = 0) -> DataFrame:
     """Actions of open tickets.
 
     The wanted ids take their RFC number along, so the actions, the big side,
     meet the ticket side in a single join.  ``wanted`` is a stored result of
     :func:`wanted_requests`.
+
+    With ``buckets`` the desk holds only actions of open tickets already.  They meet
+    the wanted ids last, in as many partitions by request: stored in as many buckets
+    they are not shuffled again.
     """
     if wanted is None:
         wanted = wanted_requests(desk)
     kept = desk.am_action.filter(
         ~F.col("ACTION_TYPE_ID").isin(*K.ACTION_NOT_EXTRACTED)
     )
-    actions = lookup(kept, wanted, "REQUEST_ID", "REQUEST_ID",
-                     {"RFC_NUMBER": "RFC_NUMBER"}, "inner")
-    return _first(star_join_actions(desk, actions), limit, "REQUEST_ID", "ACTION_ID")
+    rfc = {"RFC_NUMBER": "RFC_NUMBER"}
+    if buckets:
+        named = named_actions(desk, kept.filter(F.col("REQUEST_ID").isNotNull()))
+        actions = lookup(named.repartition(buckets, "REQUEST_ID"),
+                         wanted.repartition(buckets, "REQUEST_ID"),
+                         "REQUEST_ID", "REQUEST_ID", rfc, "inner").select(*schemas.ACTIONS.names)
+    else:
+        actions = lookup(kept, wanted, "REQUEST_ID", "REQUEST_ID", rfc, "inner")
+        actions = star_join_actions(desk, actions)
+    return _first(actions, limit, "REQUEST_ID", "ACTION_ID")
 
 
 def extract_answers(desk: ServiceDesk, limit: int | None = None) -> DataFrame:

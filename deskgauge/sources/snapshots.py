@@ -239,7 +239,8 @@ def take_snapshot(store: VersionStore, desk: ServiceDesk,
     The ids of the open requests and the lookup tables are stored first.  The
     ids are computed once, and whatever meets the big tables has a known size:
     Spark broadcasts it if it is small, and shuffles if it is too large for that.  Then
-    only rows of open requests are shuffled: the ids, as bitmaps, filter both scans.
+    only rows of open requests are shuffled: the ids, as bitmaps, filter both scans, and
+    the actions, named first, go to their buckets and to the ids in one shuffle.
 
     Tickets and actions are bucketed alike by request, so flows on the snapshot group
     and join them without a shuffle; not so (or with ``buckets`` 0) where some request
@@ -255,18 +256,27 @@ def take_snapshot(store: VersionStore, desk: ServiceDesk,
         name: store.put(version, name, getattr(desk, name)) for name in extracts.LOOKUPS
     })
     hotline = store.put(version, "hotline_ids", extracts.open_hotline_ids(desk.am_action))
-    wanted = store.put(version, "wanted", extracts.wanted_requests(desk, hotline))
     big = {name: getattr(desk, name) for name in ("sd_request", "am_action")}
+    hotline_bits = None
     if all(idsets.whole_numbers(table, "REQUEST_ID") for table in big.values()):
-        ids = store.put(version, "wanted_bits", idsets.bitmaps(wanted, "REQUEST_ID"))
-        if idsets.can_be_sent(ids):
+        bits = store.put(version, "wanted_bits", idsets.bitmaps(
+            extracts.open_ids(desk, hotline), "REQUEST_ID"))
+        if idsets.can_be_sent(bits):
+            # No more of them than of all open requests.
+            hotline_bits = store.put(version, "hotline_bits", idsets.bitmaps(hotline, "REQUEST_ID"))
             desk = replace(desk, **{
-                name: idsets.possible(table, "REQUEST_ID", ids) for name, table in big.items()})
-    tickets = extracts.extract_tickets(desk, hotline_ids=hotline)
-    actions = extracts.extract_actions(desk, wanted=wanted)
+                name: idsets.possible(table, "REQUEST_ID", bits) for name, table in big.items()})
+    wanted = store.put(version, "wanted", extracts.wanted_requests(desk, hotline))
+    tickets = extracts.extract_tickets(desk, hotline_ids=hotline, hotline_bits=hotline_bits)
+    if hotline_bits is not None:
+        extracted = desk.am_action.filter(F.col("REQUEST_ID").isNotNull())
+    else:
+        extracted = desk.am_action.join(wanted.select("REQUEST_ID"), "REQUEST_ID", "left_semi")
+    even = buckets and evenly_bucketed(extracted, "REQUEST_ID", buckets)
+    actions = extracts.extract_actions(
+        desk, wanted=wanted, buckets=buckets if even and hotline_bits is not None else 0)
     measures = quality.extract_measures()
-    extracted = desk.am_action.join(wanted.select("REQUEST_ID"), "REQUEST_ID", "left_semi")
-    if buckets and evenly_bucketed(extracted, "REQUEST_ID", buckets):
+    if even:
         store.put_bucketed(version, "tickets", tickets, "REQUEST_ID", buckets)
         store.put_bucketed(version, "actions", actions, "REQUEST_ID", buckets, measures)
     else:

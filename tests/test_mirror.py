@@ -199,6 +199,32 @@ def test_rows_of_closed_requests_are_not_shuffled(spark, tmp_path, monkeypatch,
     same(store.read(version, "actions"), kept(desk))
 
 
+def test_a_snapshot_shuffles_whole_rows_once_by_request(spark, tmp_path, conf, monkeypatch):
+    """Neither to meet open requests nor, being where their buckets are, a second time to be stored."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    desk = adapter.service_desk(spark, SMALL)
+    asked, shuffles = [], {}
+    wanted, put = extracts.wanted_requests, snapshots.VersionStore.put_bucketed
+
+    def stored(store, version, name, frame, key, buckets, *rest):
+        plan = frame.repartition(buckets, key)._jdf.queryExecution().executedPlan().toString()
+        shuffles[name] = [line.partition("Exchange ")[2] for line in plan.splitlines()
+                          if "Exchange hashpartitioning(REQUEST_ID" in line]
+        return put(store, version, name, frame, key, buckets, *rest)
+
+    monkeypatch.setattr(extracts, "wanted_requests", lambda desk, *ids: asked.append(desk) or wanted(desk, *ids))
+    monkeypatch.setattr(snapshots.VersionStore, "put_bucketed", stored)
+    store = snapshots.VersionStore(spark, str(tmp_path))
+    version = snapshots.take_snapshot(store, desk, buckets=4)
+    # The tickets to their buckets; the actions to theirs, and the open requests.
+    assert [len(shuffles[name]) for name in ("tickets", "actions")] == [1, 2]
+    assert all(", 4)" in line for lines in shuffles.values() for line in lines)
+    # RFC numbers are looked up in rows of open requests only.
+    assert asked[0].sd_request.count() < desk.sd_request.count() / 2
+    same(store.read(version, "tickets"), extracts.extract_tickets(desk))
+    same(store.read(version, "actions"), extracts.extract_actions(desk))
+
+
 def test_keys_that_are_no_whole_numbers(spark, tmp_path):
     now, before = (dataclasses.replace(desk, **{
         name: getattr(desk, name).withColumn("REQUEST_ID", F.concat(F.lit("R"), "REQUEST_ID"))
